@@ -99,6 +99,7 @@ def exact_groups(
 
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row"))
     groups = lists.groupBy("recipe", "variants").agg(F.min(order).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    groups = written(groups)  # read anew, it is dealt by the join itself, which can then split a large group's rows
     a, b = lists.alias("a"), groups.alias("b")
     joined = a.join(b, (F.col("a.recipe") == F.col("b.recipe")) & (F.col("a.variants") == F.col("b.variants")), "left")
     alone = F.col("b.size").isNull()

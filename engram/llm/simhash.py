@@ -115,7 +115,8 @@ def _links_of(lists: DataFrame) -> DataFrame:
 def links(distinct_prints: DataFrame, large: int = 4096) -> DataFrame:
     """a, b: links among distinct fingerprints that connect all that are within 3 bits, directly or over others."""
     keys = ring_keys(distinct_prints)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # tables between aggregation and join: the join deals both sides itself and can split a large key's rows
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     shared = written(keys.join(sizes, "key"))
     usual = shared.filter(F.col("n") <= large).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     hot = shared.filter(F.col("n") > large)
@@ -163,6 +164,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = written(components(links(prints.select("fp").distinct())))
     least = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = written(least)
-    named = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = written(least.groupBy("root").agg(F.min("least_id").alias("component_id")))
     members = least.join(named, "root").select("fp", "component_id")
     return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "th")
