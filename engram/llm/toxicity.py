@@ -33,9 +33,9 @@ _CLASSES[97:123] = np.arange(1, 27)
 _CLASSES[65:91] = np.arange(1, 27)
 _CLASSES[128:] = 27
 _N = 28
-_SPACED = re.compile(r"(?<!\S)(?:\w[ \t]){2,}\w(?=[\s.,!?;:]|$)")
+_RUN = re.compile(r"([^\W\d_])\1\1")
 _LETTER = r"[^\W\d_]"
-_DISGUISED = re.compile(rf"(?=\S*{_LETTER})\S*(?:{_LETTER}[0-9@$!|+€.\-_*~^'`]+{_LETTER}|[0-9@$!|+€]{_LETTER}{{2}}|({_LETTER})\1\1|{_LETTER}{{2}}[01345789])\S*")
+_ODD = re.compile(rf"{_LETTER}[0-9@$!|+€.\-_*~^'`]+{_LETTER}|^[0-9@$!|+€]{_LETTER}{{2}}|{_LETTER}{{2}}[01345789]$")
 _EDGE = ".,;:!?\"()[]{}<>%&#*$'`~^|_-+"
 
 
@@ -106,35 +106,47 @@ def restore(token: str, model: np.ndarray) -> str:
     return min((cost + model[a, b, 0], out) for (a, b), (cost, out) in best.items())[1]
 
 
-class Deobfuscator:
-    """Finds the disguised tokens of a text and restores them; readings are kept for tokens seen before."""
-
-    def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
-
-    def __call__(self, text: str) -> list[str]:
-        """The restored tokens, in order."""
-        low = text.lower()
-        found = [m[0].replace(" ", "").replace("\t", "") for m in _SPACED.finditer(low)]
-        found += [m[0] for m in _DISGUISED.finditer(low)]
-        out = []
-        for token in found:
-            token = token.strip(_EDGE) if token[-1:] != "$" else token.lstrip(_EDGE).rstrip(".,;:?")
-            if not token or len(token) > 64:  # no word; the plain text is scored all the same
-                continue
-            if token not in self.known:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                self.known[token] = restore(token, self.model)
-            out.append(self.known[token])
-        return out
+class Deobfuscator(dict):
+    """Raw token to plain word: its marks at the edges stripped, and restored if it is disguised.
+
+    Tokens seen before are looked up; ``disguised`` has those among them that were restored."""
+
+    def __init__(self, model: np.ndarray, most: int = 300_000):
+        self.model, self.most, self.disguised = model, most, set()
+
+    def __missing__(self, token: str) -> str:
+        word = token.strip(_EDGE) if token[-1:] != "$" or token[-2:] == "$$" else token.lstrip(_EDGE).rstrip(".,;:?")
+        # longer tokens are no words; they stay as they are
+        if len(word) <= 64 and (_RUN.search(word) if word.isalpha() else _ODD.search(word) or _RUN.search(word)):
+            word = restore(word, self.model)
+            self.disguised.add(token)
+        self[token] = word
+        return word
+
+    def read(self, text: str) -> tuple[set[str], int]:
+        """The distinct raw tokens of a text, spaced letters joined, and how many of them are disguised."""
+        if len(self) > self.most:
+            self.clear()
+            self.disguised.clear()
+        words = text.lower().split()
+        tokens = set(words)
+        sizes = bytes(min(len(w), 2) for w in words)
+        joined = set()
+        at = sizes.find(b"\1\1\1")
+        while at >= 0:
+            end = at + len(sizes[at:]) - len(sizes[at:].lstrip(b"\1"))
+            if len(run := "".join(words[at:end])) <= 64 and run.isalnum():
+                joined.add(run)
+            at = sizes.find(b"\1\1\1", end)
+        tokens |= joined
+        for t in tokens:
+            self[t]  # noqa: B018  looks the token up
+        return tokens, len(self.disguised & tokens) + len(joined - self.disguised)
 
 
 def words_of(text: str, deobfuscate: Deobfuscator) -> set[str]:
-    words = {w.strip(_EDGE) for w in set(text.lower().split())}
-    words.update(deobfuscate(text))
-    words.discard("")
-    return words
+    tokens, _ = deobfuscate.read(text)
+    return {deobfuscate[t] for t in tokens} - {""}
 
 
 def beginnings(word: str) -> list[str]:
@@ -150,11 +162,14 @@ class Model:
 
 
 class _Weights(dict):
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+    """Plain word to its largest weight; of raw tokens if they are read through a deobfuscator."""
 
-    def __missing__(self, word: str) -> float:
-        w = self[word] = max(map(self.lexicon.get, beginnings(word), [0.0] * 8))
+    def __init__(self, lexicon: dict[str, float], plain: dict[str, str] | None = None):
+        self.lexicon, self.plain = lexicon, plain
+
+    def __missing__(self, token: str) -> float:
+        word = token if self.plain is None else self.plain[token]
+        w = self[token] = max(map(self.lexicon.get, beginnings(word), [0.0] * 8)) if word else 0.0
         return w
 
 
@@ -232,19 +247,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     language, lexicon, coefficients = model.language, model.lexicon, model.weights
 
     def scored(batches):
-        deobfuscate, weights = Deobfuscator(language), _Weights(lexicon)
+        deobfuscate = Deobfuscator(language)
+        weights = _Weights(lexicon, deobfuscate)
         for b in batches:
             x, restored = [], []
             for t in b.column("t").to_pylist():
-                text = t.decode("utf-8", "replace")
-                words = {w.strip(_EDGE) for w in set(text.lower().split())}
-                more = deobfuscate(text)
-                words.update(more)
-                words.discard("")
-                x.append(features(words, weights))
-                restored.append(len(more))
-            if len(weights) > 400_000:
-                weights.clear()
+                tokens, n = deobfuscate.read(t.decode("utf-8", "replace"))
+                if len(weights) > deobfuscate.most:
+                    weights.clear()
+                x.append(features(tokens, weights))
+                restored.append(n)
             p = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, 7) @ coefficients, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(restored, pa.int64()), b.column("th"), *(b.column(c) for c in carried)],

@@ -240,9 +240,11 @@ def test_disguised_words_are_restored(spark):
     plain = "you idiot are a worthless moron and the clown is here to stay with the good people of the nation "
     docs = spark.createDataFrame([(i, plain * 5) for i in range(20)], "doc_id long, text string")
     model = toxicity.language_model(toxicity.character_counts(docs))
-    restore = toxicity.Deobfuscator(model)
-    assert restore("An 1d1ot and a m.o.r.o.n, w0rthl3ss; i d i o t here, idiooooot cl0wn!") == ["idiot", "idiot", "moron", "worthless", "idiooooot".replace("ooooo", "o"), "clown"]
-    assert restore("nothing odd here, at all.") == []
+    reader = toxicity.Deobfuscator(model)
+    found = toxicity.words_of("An 1d1ot and a m.o.r.o.n, w0rthl3ss; i d i o t here, idiooooot cl0wn!", reader)
+    assert {"idiot", "moron", "worthless", "clown"} <= found and not any(w[:4] in ("1d1o", "m.o.", "w0rt", "cl0w", "idio") for w in found - {"idiot"})
+    tokens, n = reader.read("nothing odd here, at all.")
+    assert n == 0 and {reader[t] for t in tokens} == {"nothing", "odd", "here", "at", "all"}
 
 
 def test_attention_gradients():
