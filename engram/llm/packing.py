@@ -80,6 +80,18 @@ def _table(path: str, most: int = 600_000) -> _Ids:
     return _TABLES[path]
 
 
+def _blocks(column, most: int = 2_000_000):
+    """The texts of a column, a few MB at a time: split into words, a text takes ten times its size."""
+    block, size = [], 0
+    for text in column:
+        block.append(text.as_py())
+        size += len(block[-1])
+        if size >= most:
+            yield block
+            block, size = [], 0
+    yield block
+
+
 def _pieces(batches, path: str, capacity: int, end_id: int, partition_bits: int):
     from pyspark import TaskContext
 
@@ -88,20 +100,21 @@ def _pieces(batches, path: str, capacity: int, end_id: int, partition_bits: int)
     ids, rows, pieces, starts, sizes, sums = [], [], [], [], [], []
     before = 0
     for b in batches:
-        table = _table(path)
-        split = [t.split() for t in b.column("t").to_pylist()]
-        table.add({w for words in split for w in set(words) if w not in table})
         ids.append(b.column("doc_id"))
-        for i, words in enumerate(split, before):
-            stream = b"".join(map(table.__getitem__, words)) + end
-            for piece, at in enumerate(range(0, len(stream), 4 * capacity)):
-                cut = stream[at : at + 4 * capacity]
-                rows.append(i)
-                pieces.append(piece)
-                starts.append(at // 4)
-                sizes.append(len(cut) // 4)
-                sums.append(zlib.crc32(cut))
-        before += len(split)
+        for block in _blocks(b.column("t")):
+            table = _table(path)
+            split = [t.split() for t in block]
+            table.add(set().union(*split) - table.keys())
+            for i, words in enumerate(split, before):
+                stream = b"".join(map(table.__getitem__, words)) + end
+                for piece, at in enumerate(range(0, len(stream), 4 * capacity)):
+                    cut = stream[at : at + 4 * capacity]
+                    rows.append(i)
+                    pieces.append(piece)
+                    starts.append(at // 4)
+                    sizes.append(len(cut) // 4)
+                    sums.append(zlib.crc32(cut))
+            before += len(split)
     if not sizes:
         return
     at = best_fit(sizes, capacity)
