@@ -57,23 +57,41 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def add(self, words: set[bytes]) -> None:
         """The tokenizer drops white space and splits at it, so each word is encoded alone. A full stop or comma after a
         plain letter is a piece of its own and is looked up apart, so that fewer words are encoded."""
         cores = {w: w[:-1].lower() if w[-1:] in b".," and w[-2:-1].isalpha() and b"<" not in w else w.lower() if b"<" not in w else w for w in words}
-        new = {c for c in cores.values() if c not in self} | {c for c in (b".", b",") if c not in self}
-        ordered = sorted(new)
-        for core, found in zip(ordered, self.tokenizer.encode_batch_fast([c.decode() for c in ordered], add_special_tokens=False), strict=True):
-            self[core] = np.array(found.ids, "<u4").tobytes()
+        new = sorted(({*cores.values(), b".", b","}) - self.keys())
+        letters = [c for c in new if c.decode().isalpha()]
+        self._encode_together(letters)
+        self._encode([c for c in new if c not in self])
         for w, c in cores.items():
             self[w] = self[c] + self[w[-1:]] if len(c) < len(w) else self[c]
 
+    def _encode(self, words: list[bytes]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self[word] = np.array(found.ids, "<u4").tobytes()
+
+    def _encode_together(self, words: list[bytes], block: int = 2000) -> None:
+        """Words of letters only, many in one text: each is one piece, whose last token alone ends a word. A block of which
+        that isn't true (lower-casing can add marks) is left out."""
+        blocks = [words[i : i + block] for i in range(0, len(words), block)]
+        for own, found in zip(blocks, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(own):
+                raw = ids.tobytes()
+                self.update(zip(own, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
 
 _TABLES: dict[str, _Ids] = {}
 
 
-def _table(path: str, most: int = 600_000) -> _Ids:
+def _table(path: str, most: int = 900_000) -> _Ids:
     """One for each worker process; emptied between batches when it has grown beyond a bound."""
     if path not in _TABLES or len(_TABLES[path]) > most:
         _TABLES[path] = _Ids(path)
