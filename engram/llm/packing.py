@@ -12,6 +12,7 @@ by the corpus.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 
@@ -54,6 +55,7 @@ class _Ids(dict):
     """Word (no white space in it) to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has its one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,7 +67,7 @@ class _Ids(dict):
         """The tokenizer drops white space and splits at it, so each word is encoded alone. A full stop or comma after a
         plain letter is a piece of its own and is looked up apart, so that fewer words are encoded."""
         cores = {w: w[:-1].lower() if w[-1:] in b".," and w[-2:-1].isalpha() and b"<" not in w else w.lower() if b"<" not in w else w for w in words}
-        new = sorted(({*cores.values(), b".", b","}) - self.keys())
+        new = {*cores.values(), b".", b","} - self.keys()
         letters = [c for c in new if c.decode().isalpha()]
         self._encode_together(letters)
         self._encode([c for c in new if c not in self])
@@ -93,8 +95,10 @@ _TABLES: dict[str, _Ids] = {}
 
 def _table(path: str, most: int = 900_000) -> _Ids:
     """One for each worker process; emptied between batches when it has grown beyond a bound."""
-    if path not in _TABLES or len(_TABLES[path]) > most:
+    if path not in _TABLES:
         _TABLES[path] = _Ids(path)
+    if len(_TABLES[path]) > most:
+        _TABLES[path].clear()
     return _TABLES[path]
 
 
