@@ -218,7 +218,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     found = rows.mapInArrow(segments, f"doc_id {id_type(rows)}, th bigint, h array<bigint>, s array<bigint>, p array<int>, d array<int>")
     found = written(found.withColumn("row", F.monotonically_increasing_id()))
     names = found.select("row", "doc_id", "th")
-    grams = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # tables between aggregation and join: the join deals both sides itself and can split the rows of a hot gram
+    grams = written(found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     entries = found.select("row", F.inline(F.arrays_zip("h", "s", "p", "d")))
     entries = written(entries.join(grams, "h"))  # segments whose gram is repeated
     kinds = written(entries.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("row", "p", "d")).alias("one")))
@@ -284,6 +285,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     shared = runs.groupBy("bucket").applyInPandas(merged, "h bigint, s bigint, least int, most int")
     whole = kinds.filter("n > 1").select("h", "s", F.col("one.d").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("least"), F.shiftright("one.d", 16).cast("int").alias("most"))
     ranges = whole.unionByName(shared).groupBy("h", "s").agg(F.collect_list(F.struct("least", "most")).alias("ranges"))
+    ranges = written(ranges)
     spans = entries.join(ranges, ["h", "s"]).select(
         "row", F.transform("ranges", lambda r: F.struct((F.col("p") - r["most"]).alias("from"), (F.col("p") - r["least"] + length).alias("to"))).alias("spans")
     )
