@@ -126,7 +126,8 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
                 out.append(x[np.unique(np.linspace(0, len(x) - 1, most_passages).astype(int))].tobytes())
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(out, pa.binary())], ["label", "bag"])
 
-    sample = rows.mapInArrow(bags, "label int, bag binary").orderBy(F.xxhash64("bag")).toPandas()
+    sample = rows.mapInArrow(bags, "label int, bag binary").toPandas()
+    sample = sample.sort_values(["bag", "label"], ignore_index=True)  # in whatever order tasks end, the same fit
     net = Network()
     if sample["label"].nunique() == 2:
         net.fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in sample["bag"]], sample["label"].to_numpy(np.float32))
