@@ -31,7 +31,7 @@ _HASHES = _Hashes()
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > 400_000:
+    if len(_HASHES) > 250_000:
         _HASHES.clear()
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
@@ -84,6 +84,7 @@ def _fingerprints(rows: DataFrame, spans: list[int], whole: int | None, keys: li
                     [*(b.column(k).take(row) for k in keys), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))],
                     [*keys, "place", "hash"],
                 )
+        _HASHES.clear()  # workers are used again by other stages
 
     kinds = ", ".join(f"{k} {id_type(rows, k)}" for k in keys)
     return rows.mapInArrow(prints, f"{kinds}, place int, hash bigint")
@@ -177,6 +178,7 @@ def contamination(
                 ],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans", "th", *carried],
             )
+        _HASHES.clear()
 
     return joined.mapInArrow(
         judged,

@@ -111,7 +111,7 @@ class Deobfuscator(dict):
 
     Tokens seen before are looked up; ``disguised`` has those among them that were restored."""
 
-    def __init__(self, model: np.ndarray, most: int = 300_000):
+    def __init__(self, model: np.ndarray, most: int = 200_000):
         self.model, self.most, self.disguised = model, most, set()
 
     def __missing__(self, token: str) -> str:
