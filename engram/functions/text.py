@@ -62,3 +62,17 @@ def event_time(ts: Column) -> Column:
 def epoch_ms(x: Column) -> Column:
     """Epoch seconds or milliseconds (from 1e12 on) to milliseconds."""
     return F.when(x >= 1_000_000_000_000, x).otherwise(x * 1000)
+
+
+def shingles(words: Column, width: int = 2) -> Column:
+    """Runs of so many words, joined by blanks."""
+    at = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, width), " "))
+
+
+def choice(answer: Column) -> Column:
+    """The choice that an answer names, as (b): written (b), b), b. or as a lone letter; null if none."""
+    text = collapsed(F.lower(answer))
+    forms = [r"\(([a-z])\)", r"\b([a-z])\)", r"\b([a-z])\.", r"^([a-z])$"]
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in forms])
+    return F.concat(F.lit("("), found, F.lit(")"))

@@ -41,3 +41,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -
     a, b = old.alias("a"), new.withColumn("given", F.lit(True)).alias("b")
     joined = a.join(b, keys, "full")
     return joined.select(*keys, *[F.when(F.col("b.given"), F.col(f"b.{v}")).otherwise(F.col(f"a.{v}")).alias(v) for v in values])
+
+
+def merge_pair(old: DataFrame, new: DataFrame, keys: list[str], scalars: list[str], lists: list[str]) -> DataFrame:
+    """One profile of each key: scalars of new win unless null, lists are joined without repeats."""
+    joined = old.alias("a").join(new.alias("b"), keys, "full")
+    each = [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in scalars]
+    given = lambda x: F.coalesce(F.col(x), F.array())
+    return joined.select(*keys, *each, *[F.array_union(given(f"a.{c}"), given(f"b.{c}")).alias(c) for c in lists])

@@ -33,13 +33,13 @@ def lucene_terms(posts: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def bm25_parts(queries: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
-    """query_id, doc_id, term, part. queries: query_id, term, weight. The query side is reduced to its terms before it meets the postings."""
+    """query_id, doc_id, term, tf, part. queries: query_id, term, weight. The query side is reduced to its terms before it meets the postings."""
     wanted = queries.join(terms, "term")
     tf, dl = F.col("tf"), F.col("dl")
     return (
         posts.join(wanted, "term")
         .join(F.broadcast(stats.select("avgdl")))
-        .select("query_id", "doc_id", "term", (F.col("weight") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))).alias("part"))
+        .select("query_id", "doc_id", "term", "tf", (F.col("weight") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))).alias("part"))
     )
 
 
@@ -96,3 +96,28 @@ def rerank(hits: DataFrame, scores: DataFrame, least_success: float = 0.3) -> Da
     joined = joined.withColumn("reranked", share >= least_success)
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("reranked"), -F.col("rerank_score")).asc_nulls_last(), "rank")
     return joined.withColumn("new_rank", F.row_number().over(order))
+
+
+def merge_rounds(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
+    """query_id, doc_id, origin, place: the first round's hits in order, then those that only the second has, at most ``most``."""
+    new = second.join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    of = lambda hits, name: hits.select("query_id", "doc_id", F.lit(name).alias("origin"), "rank")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("origin", "rank")).cast("long")
+    both = of(first, "round1").unionByName(of(new, "round2")).withColumn("place", place)
+    return both.filter(F.col("place") <= most).select("query_id", "doc_id", "origin", "place")
+
+
+def explain(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "unit_id", text_col: str = "narrative", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, term, tf, part: what each term adds to the BM25 score of the k best of each query."""
+    posts, stats = postings(docs, id_col, text_col), corpus_stats(docs, id_col, text_col)
+    words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    parts = bm25_parts(words, posts, okapi_terms(posts, stats), stats, k1, b)
+    best = top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k).select("query_id", "doc_id")
+    return parts.join(best, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "term", "tf", F.round("part", 6).alias("part"))
+
+
+def normalised(hits: DataFrame, by: str, score: str) -> DataFrame:
+    """Scores of each group from 0 to 1: the sigmoid if all are below 1, else by minimum and maximum, 0.5 where those are equal."""
+    w, x = Window.partitionBy(by), F.col(score)
+    most, least = F.max(score).over(w), F.min(score).over(w)
+    return hits.withColumn(score, F.when(most < 1, 1 / (1 + F.exp(-x))).when(most == least, F.lit(0.5)).otherwise((x - least) / F.nullif(most - least, F.lit(0.0))))

@@ -1,0 +1 @@
+from engram.plans import lookups, queries  # noqa: F401  both register their queries

@@ -41,6 +41,19 @@ def test_base62(spark, n, code):
     assert one(spark, X.base62(F.lit(n))) == code
 
 
+@pytest.mark.parametrize(("answer", "found"), [("(B)", "(b)"), ("b)", "(b)"), ("B.", "(b)"), (" b ", "(b)"), ("no choice", None)])
+def test_choice(spark, answer, found):
+    assert one(spark, X.choice(F.lit(answer))) == found
+
+
+def test_normalised(spark):
+    rows = spark.createDataFrame([("low", 0.0), ("low", 0.5), ("flat", 2.0), ("flat", 2.0), ("wide", 1.0), ("wide", 3.0)], "q string, x double")
+    found = defaultdict(list)
+    for r in rank.normalised(rows, "q", "x").orderBy("q", "x").collect():
+        found[r.q].append(round(r.x, 4))
+    assert found == {"low": [0.5, 0.6225], "flat": [0.5, 0.5], "wide": [0.0, 1.0]}
+
+
 def test_text_score(spark):
     assert one(spark, X.text_score(F.lit("Hello World 你好世界"))) == pytest.approx(2 * 1.5 + 2 * 0.3 + 4 * 1.0)
     assert one(spark, X.text_score(F.lit("a1, é"))) == pytest.approx(1.5 + 0.8 + 0.5 + 0.3 + 0.5)
