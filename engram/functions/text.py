@@ -76,3 +76,19 @@ def choice(answer: Column) -> Column:
     forms = [r"\(([a-z])\)", r"\b([a-z])\)", r"\b([a-z])\.", r"^([a-z])$"]
     found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in forms])
     return F.concat(F.lit("("), found, F.lit(")"))
+
+
+def decisions(answer: Column) -> Column:
+    """The clusters that an answer names, comma-joined; NEW if none."""
+    named = F.regexp_extract_all(answer, F.lit(r"(gec_[0-9]+)"), F.lit(1))
+    return F.coalesce(F.nullif(F.array_join(named, ","), F.lit("")), F.lit("NEW"))
+
+
+def session_time(shown: Column) -> Column:
+    """Epoch seconds of a time like 6:07 pm on 13 January, 2023; null if it isn't one."""
+    return F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.regexp_replace(shown, "(?i) am on ", " AM on "), "(?i) pm on ", " PM on "), F.lit("h:mm a 'on' d MMMM, yyyy")))
+
+
+def json_in(answer: Column) -> Column:
+    """From the first opening to the last closing brace of an answer; null if it has none."""
+    return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def neighbours(hits: DataFrame, members: DataFrame, per_hit: int = 3) -> DataFrame:
     """hits: query_id, doc_id; members: cluster_id, doc_id, seq (order in time). The co-members of each hit nearest in
-    time: after, before, second after, second before ...; query_id, doc_id, member_id, nth."""
+    time: after, before, second after, second before ...; query_id, doc_id, cluster_id, member_id, nth."""
     placed = members.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy("seq", "doc_id")))
     mine = hits.join(placed, "doc_id").select("query_id", "doc_id", "cluster_id", F.col("place").alias("at"))
     # a member further than per_hit places away can't be among the nearest, so only those places are looked up
@@ -18,7 +18,7 @@ def neighbours(hits: DataFrame, members: DataFrame, per_hit: int = 3) -> DataFra
     others = placed.select("cluster_id", F.col("doc_id").alias("member_id"), "place")
     found = near.join(others, ["cluster_id", "place"])
     order = Window.partitionBy("query_id", "doc_id", "cluster_id").orderBy(F.abs("d"), F.desc("d"))
-    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_hit).select("query_id", "doc_id", "member_id", "nth")
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_hit).select("query_id", "doc_id", "cluster_id", "member_id", "nth")
 
 
 def online_clusters(units: DataFrame, group: str = "group_id", least: float = 0.65, most_gap: float = 7 * 86400.0) -> DataFrame:
@@ -56,3 +56,36 @@ def online_clusters(units: DataFrame, group: str = "group_id", least: float = 0.
 
     kinds = {f.name: f.dataType.simpleString() for f in units.schema}
     return units.select(group, "unit_id", "at", "vector").groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, unit_id {kinds['unit_id']}, cluster_id string, similarity double")
+
+
+def insert_after_hits(hits: DataFrame, members: DataFrame, per_hit: int = 3, share: float = 0.3, most: int = 10, decay: float = 0.7, most_hits: int = 20) -> DataFrame:
+    """hits: query_id, doc_id, rank, score, at most most_hits a query; members: cluster_id, doc_id, seq.
+
+    After each hit come its co-members nearest in time that were not shown yet, per_hit from each cluster, with decay times
+    its score; a query gets at most ``most`` of them and at most ``share`` of its number of hits. A hit that was already
+    shown as a co-member isn't repeated. query_id, place (from 1), doc_id, score, hit_id (null: itself a hit).
+
+    A query's fold needs its hits and, of each, as many neighbours as could have been shown before, so its rows are bounded.
+    """
+    near = neighbours(hits.select("query_id", "doc_id"), members, per_hit + most_hits + most)
+    rows = hits.filter(F.col("rank") <= most_hits).join(near, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", "score", "cluster_id", "member_id", "nth")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "cluster_id", "nth"])
+        budget = min(most, int(rows["rank"].nunique() * share))
+        shown, out, added = set(), [], 0
+        for (_, hit, score), own in rows.groupby(["rank", "doc_id", "score"], sort=False):
+            if hit not in shown:
+                shown.add(hit)
+                out.append((hit, score, None))
+            for _, cluster in own.dropna(subset=["member_id"]).groupby("cluster_id", sort=False):
+                new = [m for m in cluster["member_id"].astype(own["doc_id"].dtype) if m not in shown][:per_hit]
+                for m in new[: budget - added]:
+                    shown.add(m)
+                    out.append((m, score * decay, hit))
+                    added += 1
+        found = pd.DataFrame(out, columns=["doc_id", "score", "hit_id"], dtype=object)
+        return found.assign(query_id=rows["query_id"].iloc[0], place=range(1, len(out) + 1))[["query_id", "place", "doc_id", "score", "hit_id"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
+    return rows.groupBy("query_id").applyInPandas(fold, f"query_id {kinds['query_id']}, place long, doc_id {kinds['doc_id']}, score double, hit_id {kinds['doc_id']}")

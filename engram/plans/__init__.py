@@ -1 +1 @@
-from engram.plans import lookups, queries  # noqa: F401  both register their queries
+from engram.plans import lifecycle, lookups, queries  # noqa: F401  each registers its queries

@@ -373,7 +373,7 @@ def w4_gaps(spark, sf):
 )
 def w5_time_neighbours(spark, sf):
     e = T.read(spark, sf, "embeddings").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("seq"))
-    return clusters.neighbours(e.select(F.col("doc_id").alias("query_id"), "doc_id"), e).withColumn("nth", F.col("nth").cast("long"))
+    return clusters.neighbours(e.select(F.col("doc_id").alias("query_id"), "doc_id"), e).select("query_id", "doc_id", "member_id", F.col("nth").cast("long").alias("nth"))
 
 
 @query(f"SELECT conv_id, turn, array_to_string(list(turn::VARCHAR) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ',') AS context FROM {_MESSAGES}")

@@ -80,6 +80,27 @@ def test_neighbours(spark):
     assert [r.member_id for r in clusters.neighbours(hits, members).orderBy("nth").collect()] == ["015", "003", "023"]
 
 
+def test_insert_after_hits(spark):
+    members = spark.createDataFrame([("c", d, d) for d in range(1, 8)] + [("e", 20, 1), ("e", 21, 2)], "cluster_id string, doc_id long, seq long")
+    hits = [("q", 4, 1, 1.0), ("q", 5, 2, 0.9), ("q", 20, 3, 0.8), ("q", 99, 4, 0.7)]
+    frame = spark.createDataFrame(hits, "query_id string, doc_id long, rank int, score double")
+    found = [(r.doc_id, round(r.score, 3), r.hit_id) for r in clusters.insert_after_hits(frame, members, share=2.0, most=6).orderBy("place").collect()]
+    # 5 comes as a neighbour of 4, so it isn't repeated; its own neighbours still follow, and the budget ends them
+    assert found == [(4, 1.0, None), (5, 0.7, 4), (3, 0.7, 4), (6, 0.7, 4), (7, 0.63, 5), (2, 0.63, 5), (1, 0.63, 5), (20, 0.8, None), (99, 0.7, None)]
+    none = clusters.insert_after_hits(frame, members.filter("cluster_id = 'x'")).orderBy("place").collect()
+    assert [r.doc_id for r in none] == [4, 5, 20, 99]
+
+
+@pytest.mark.parametrize(("shown", "at"), [("6:07 pm on 13 January, 2023", 1673633220), ("Unknown", None)])
+def test_session_time(spark, shown, at):
+    assert one(spark, X.session_time(F.lit(shown))) == at
+
+
+def test_json_in_text(spark):
+    assert one(spark, X.json_in(F.lit('a {"b": {"c": 1}} d'))) == '{"b": {"c": 1}}' and one(spark, X.json_in(F.lit("none"))) is None
+    assert one(spark, X.decisions(F.lit("gec_001, then gec_12"))) == "gec_001,gec_12" and one(spark, X.decisions(F.lit("?"))) == "NEW"
+
+
 def test_gap_buckets(spark):
     rows = spark.createDataFrame([("a", i, t) for i, t in enumerate([0, 59, 119, 3719, 90119, 90118])], "k string, i int, at long")
     found = [r.bucket for r in state.gaps(rows, "k", ["i"]).orderBy("i").collect()]
