@@ -92,3 +92,90 @@ def session_time(shown: Column) -> Column:
 def json_in(answer: Column) -> Column:
     """From the first opening to the last closing brace of an answer; null if it has none."""
     return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def truncated(text: Column, most: float, weights: dict[str, float] | None = None, suffix: str = "...") -> Column:
+    """The text's first tokens, as many as ``most`` allows by the scores of their classes; a word or number that begins
+    within the bound may exceed it by 5 %. Texts within the bound stay; so do those of which nothing would be left."""
+    weights = weights or {k: w for k, (w, _) in TEXT_SCORES.items()} | {"other": 0.5}
+    classes = "|".join(p for _, p in TEXT_SCORES.values())
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)({classes}|.)"), F.lit(1))
+    state = lambda total, length, full: F.struct(total.alias("total"), length.alias("length"), full.alias("full"))
+
+    def add(s: Column, piece: Column) -> Column:
+        score = F.lit(float(weights["other"]))
+        for k, (_, p) in reversed(TEXT_SCORES.items()):
+            score = F.when(F.regexp_like(piece, F.lit(f"^(?:{p})$")), F.lit(float(weights[k]))).otherwise(score)
+        total, longer = s["total"] + score, s["length"] + F.length(piece)
+        whole = F.regexp_like(piece, F.lit("^([A-Za-z]+|[0-9]+)$")) & (s["total"] > 0) & (total <= most * 1.05)
+        return F.when(s["full"], s).when(total <= most, state(total, longer, F.lit(False))).when(whole, state(total, longer, F.lit(True))).otherwise(state(s["total"], s["length"], F.lit(True)))
+
+    end = F.aggregate(pieces, state(F.lit(0.0), F.lit(0), F.lit(False)), add)
+    cut = F.regexp_replace(F.left(text, end["length"]), r"\s+$", "")
+    return F.when(end["full"] & (end["length"] < F.length(text)) & (cut != ""), F.concat(cut, F.lit(suffix))).otherwise(text)
+
+
+def relative_dates(text: Column, base: Column) -> Column:
+    """Puts the date after phrases like last month, counted from the date base; months are their last day. Phrases with a date
+    after them stay, so doing it twice changes nothing. Null base: the text as it is."""
+    day = {0: base, 1: F.date_add(base, 1), -1: F.date_add(base, -1), 7: F.date_add(base, 7), -7: F.date_add(base, -7)}
+    month = {n: F.last_day(F.add_months(F.trunc(base, "month"), n)) for n in (-1, 0, 1)}
+    # fixed values: the phrases and what each means
+    phrases = [
+        (r"\btoday\b", day[0]), (r"\btomorrow\b", day[1]), (r"\byesterday\b", day[-1]),
+        (r"\bthis week\b", day[0]), (r"\blast week\b", day[-7]), (r"\bnext week\b", day[7]),
+        (r"\bthis month\b", month[0]), (r"\blast month\b", month[-1]), (r"\bnext month\b", month[1]),
+        ("今天", day[0]), ("明天", day[1]), ("昨天", day[-1]), ("本周|这周", day[0]), ("上周", day[-7]), ("下周", day[7]),
+        ("本月|这个月", month[0]), ("上个月", month[-1]), ("下个月", month[1]),
+    ]
+    out = text
+    for pattern, when in phrases:
+        out = F.regexp_replace(out, F.lit(rf"(?iU)(?:{pattern})(?!\s*[（(]\d{{4}}-\d{{2}}-\d{{2}})"), F.concat(F.lit("$0 ("), F.date_format(when, "yyyy-MM-dd"), F.lit(")")))
+    return F.coalesce(out, text)
+
+
+def mentions(text: Column, refs: Column) -> Column:
+    """Names after @ become @name(user_id:x). refs: array of struct name, user_id; of one name the first counts. Idempotent."""
+
+    def add(t: Column, ref: Column) -> Column:
+        shown = F.concat(F.lit("@"), ref["name"], F.lit("(user_id:"), ref["user_id"].cast("string"), F.lit(")"))
+        name = F.concat(F.lit(r"@\Q"), ref["name"], F.lit(r"\E(?!\(user_id:)"))
+        usable = (F.coalesce(ref["name"], F.lit("")) != "") & (F.coalesce(ref["user_id"].cast("string"), F.lit("")) != "")
+        return F.when(usable & ~F.contains(t, shown), F.regexp_replace(t, name, F.regexp_replace(shown, r"([\\$])", r"\\$1"))).otherwise(t)
+
+    return F.when(refs.isNull(), text).otherwise(F.aggregate(refs, text, add))
+
+
+#: Parts of addresses of decorative images.
+DECORATIVE = ["icon", "logo", "avatar", "button", "pixel", "spacer", "blank", "transparent", "1x1", "tracking"]
+
+
+def absolute_url(src: Column, base: Column) -> Column:
+    origin, path = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1), F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    return (
+        F.when(F.regexp_like(src, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), src)
+        .when(src.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), src))
+        .when(src.startswith("/"), F.concat(origin, src))
+        .otherwise(F.concat(folder, src))
+    )
+
+
+def first_image(html: Column, base: Column, least: int = 100) -> Column:
+    """Address of the first image that is neither decorative by its address nor known to be smaller than ``least``."""
+    attribute = lambda tag, name: F.trim(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']?([^"'>\s]*)""", 1))
+
+    def usable(tag: Column) -> Column:
+        src = attribute(tag, "src")
+        w, h = (attribute(tag, n).try_cast("int") for n in ("width", "height"))
+        small = F.coalesce((w < least) | (h < least), F.lit(False)) & w.isNotNull() & h.isNotNull()
+        return (src != "") & ~F.regexp_like(F.lower(src), F.lit("|".join(DECORATIVE))) & ~small
+
+    tag = F.try_element_at(F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1)), usable), F.lit(1))
+    return F.when(tag.isNotNull(), absolute_url(attribute(tag, "src"), base))
+
+
+def fact_text(time: Column, facts: Column) -> Column:
+    """time：facts; one of them alone where the other is missing."""
+    part = lambda c: F.nullif(c, F.lit(""))
+    return F.concat_ws("：", part(time), part(F.array_join(facts, " ")))

@@ -1 +1 @@
-from engram.plans import lifecycle, lookups, queries  # noqa: F401  each registers its queries
+from engram.plans import language, lifecycle, lookups, queries  # noqa: F401  each registers its queries
