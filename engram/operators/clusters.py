@@ -58,12 +58,13 @@ def online_clusters(units: DataFrame, group: str = "group_id", least: float = 0.
     return units.select(group, "unit_id", "at", "vector").groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, unit_id {kinds['unit_id']}, cluster_id string, similarity double")
 
 
-def insert_after_hits(hits: DataFrame, members: DataFrame, per_hit: int = 3, share: float = 0.3, most: int = 10, decay: float = 0.7, most_hits: int = 20) -> DataFrame:
+def insert_after_hits(hits: DataFrame, members: DataFrame, per_hit: int = 3, share: float = 0.3, most: int = 10, decay: float = 0.7, most_hits: int = 20, place: str = "after") -> DataFrame:
     """hits: query_id, doc_id, rank, score, at most most_hits a query; members: cluster_id, doc_id, seq.
 
     After each hit come its co-members nearest in time that were not shown yet, per_hit from each cluster, with decay times
     its score; a query gets at most ``most`` of them and at most ``share`` of its number of hits. A hit that was already
     shown as a co-member isn't repeated. query_id, place (from 1), doc_id, score, hit_id (null: itself a hit).
+    place="end": co-members that aren't hits come after all hits (a reranker may order them); "score": the same, by score.
 
     A query's fold needs its hits and, of each, as many neighbours as could have been shown before, so its rows are bounded.
     """
@@ -73,19 +74,73 @@ def insert_after_hits(hits: DataFrame, members: DataFrame, per_hit: int = 3, sha
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rank", "cluster_id", "nth"])
         budget = min(most, int(rows["rank"].nunique() * share))
-        shown, out, added = set(), [], 0
+        shown, added = set() if place == "after" else set(rows["doc_id"]), 0
+        hits_out, more = [], []
+        if place == "after":
+            more = hits_out  # one list: co-members stand behind their hit
         for (_, hit, score), own in rows.groupby(["rank", "doc_id", "score"], sort=False):
-            if hit not in shown:
+            if place != "after" or hit not in shown:
                 shown.add(hit)
-                out.append((hit, score, None))
+                hits_out.append((hit, score, None))
             for _, cluster in own.dropna(subset=["member_id"]).groupby("cluster_id", sort=False):
                 new = [m for m in cluster["member_id"].astype(own["doc_id"].dtype) if m not in shown][:per_hit]
                 for m in new[: budget - added]:
                     shown.add(m)
-                    out.append((m, score * decay, hit))
+                    more.append((m, score * decay, hit))
                     added += 1
+        out = hits_out if place == "after" else hits_out + more
+        if place == "score":
+            out.sort(key=lambda x: -x[1])
         found = pd.DataFrame(out, columns=["doc_id", "score", "hit_id"], dtype=object)
         return found.assign(query_id=rows["query_id"].iloc[0], place=range(1, len(out) + 1))[["query_id", "place", "doc_id", "score", "hit_id"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
     return rows.groupBy("query_id").applyInPandas(fold, f"query_id {kinds['query_id']}, place long, doc_id {kinds['doc_id']}, score double, hit_id {kinds['doc_id']}")
+
+
+def rerank_by_cluster(hits: DataFrame, members: DataFrame, most_clusters: int = 3, each: int = 15, most: int = 30, originals: int = 10, total: int = 40) -> DataFrame:
+    """hits: query_id, doc_id, rank, score; members: cluster_id, doc_id, seq. A query's clusters with most hits (ties: the one
+    hit first), their members in order of time, ``each`` at most and ``most`` in all, none twice, score 1 less 0.1 for each
+    cluster before; then hits not among them with 0.8 times their score, up to ``originals`` and ``total``. Queries of which no
+    hit is in a cluster keep their hits. query_id, place, doc_id, score, cluster_id (null: a hit).
+
+    A fold sees of each cluster only the first members that could be taken, so a query's rows are bounded by the parameters.
+    """
+    found = hits.join(members.select("cluster_id", "doc_id"), "doc_id").groupBy("query_id", "cluster_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "first", "cluster_id"))
+    chosen = found.withColumn("pos", nth).filter(F.col("pos") <= most_clusters).select("query_id", "cluster_id", "pos")
+    early = F.row_number().over(Window.partitionBy("cluster_id").orderBy("seq", "doc_id"))
+    firsts = members.withColumn("at", early).filter(F.col("at") <= each + most).select("cluster_id", "doc_id", "at")
+    rows = chosen.join(firsts, "cluster_id").select("query_id", "pos", "at", "doc_id", F.lit(None).cast("double").alias("score"), "cluster_id")
+    own = hits.filter(F.col("rank") <= total).select("query_id", F.lit(most_clusters + 1).alias("pos"), F.col("rank").alias("at"), "doc_id", "score", F.lit(None).cast(members.schema["cluster_id"].dataType).alias("cluster_id"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        clustered = rows["pos"].min() <= most_clusters
+        for pos, part in rows.sort_values(["pos", "at"]).groupby("pos"):
+            ours = pos <= most_clusters
+            room = min(each, most - len(out)) if ours else min(originals, total - len(out)) if clustered else len(part)
+            part = part[~part["doc_id"].isin(taken)].head(max(room, 0))
+            taken.update(part["doc_id"])
+            scores = [1 - 0.1 * (pos - 1)] * len(part) if ours else part["score"] * (0.8 if clustered else 1.0)
+            out += zip(part["doc_id"], scores, [c if ours else None for c in part["cluster_id"]], strict=True)
+        done = pd.DataFrame(out, columns=["doc_id", "score", "cluster_id"], dtype=object)
+        return done.assign(query_id=rows["query_id"].iloc[0], place=range(1, len(out) + 1))[["query_id", "place", "doc_id", "score", "cluster_id"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*hits.schema, *members.schema]}
+    return rows.unionByName(own).groupBy("query_id").applyInPandas(fold, f"query_id {kinds['query_id']}, place long, doc_id {kinds['doc_id']}, score double, cluster_id {kinds['cluster_id']}")
+
+
+#: Named strategies: hits and members to ordered documents (query_id, place, doc_id, score).
+STRATEGIES = {
+    "agentic_only": lambda hits, members: hits.select("query_id", F.col("rank").cast("long").alias("place"), "doc_id", "score"),
+    "gec_insert_after_hit": lambda hits, members: insert_after_hits(hits, members).select("query_id", "place", "doc_id", "score"),
+    "gec_cluster_rerank": lambda hits, members: rerank_by_cluster(hits, members).select("query_id", "place", "doc_id", "score"),
+}
+
+
+def by_strategy(hits: DataFrame, members: DataFrame, routed: DataFrame) -> DataFrame:
+    """Each query's hits as its strategy orders them. routed: query_id, strategy, one row a query."""
+    named = hits.join(routed, "query_id")
+    parts = [f(named.filter(F.col("strategy") == name).drop("strategy"), members).withColumn("strategy", F.lit(name)) for name, f in STRATEGIES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.functions.text import tokens
+from engram.functions.text import text_score, tokens
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None) -> DataFrame:
@@ -121,3 +121,27 @@ def normalised(hits: DataFrame, by: str, score: str) -> DataFrame:
     w, x = Window.partitionBy(by), F.col(score)
     most, least = F.max(score).over(w), F.min(score).over(w)
     return hits.withColumn(score, F.when(most < 1, 1 / (1 + F.exp(-x))).when(most == least, F.lit(0.5)).otherwise((x - least) / F.nullif(most - least, F.lit(0.0))))
+
+
+def boosted(queries: DataFrame, docs: DataFrame, k: int, allowed: Column | None = None, id_col: str = "unit_id", text_col: str = "narrative", words: int = 10) -> DataFrame:
+    """Keyword search: of a query its ``words`` words with the highest text score count, each boosted by it; at least one must
+    be found. Only documents for which ``allowed`` holds are hits; frequencies are those of all. query_id, doc_id, score, rank."""
+    posts, stats = postings(docs, id_col, text_col), corpus_stats(docs, id_col, text_col)
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("weight", text_score(F.col("term")))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))
+    asked = asked.withColumn("nth", nth).filter(F.col("nth") <= words).select("query_id", "term", "weight")
+    some = posts if allowed is None else postings(docs.filter(allowed), id_col, text_col)
+    parts = bm25_parts(asked, some, lucene_terms(posts, stats), stats, 1.2, 0.75)
+    return top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
+
+
+def two_rounds(first: DataFrame, second: DataFrame, sufficient: DataFrame, scores: DataFrame, k: int = 20, most: int = 40) -> DataFrame:
+    """Queries whose first hits are sufficient (query_id, is_sufficient; unknown: they are) keep the best k of them; of the others the
+    first and second round are merged, at most ``most``, and reordered by scores (query_id, doc_id, rerank_score), the best k kept."""
+    known = first.select("query_id").union(second.select("query_id")).distinct().join(sufficient, "query_id", "left")
+    enough = known.select("query_id", F.coalesce("is_sufficient", F.lit(True)).alias("enough"))
+    done = first.join(enough.filter("enough"), "query_id").filter(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").cast("long").alias("place"), F.lit(1).alias("rounds"))
+    open_ids = enough.filter("not enough").select("query_id")
+    merged = merge_rounds(first.filter(F.col("rank") <= k).join(open_ids, "query_id"), second.join(open_ids, "query_id"), most).withColumnRenamed("place", "rank")
+    again = rerank(merged, scores).filter(F.col("new_rank") <= k)
+    return done.unionByName(again.select("query_id", "doc_id", F.col("new_rank").cast("long").alias("place"), F.lit(2).alias("rounds")))
