@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranks of level labels, English and Chinese; others rank 0.
@@ -49,3 +49,63 @@ def merge_pair(old: DataFrame, new: DataFrame, keys: list[str], scalars: list[st
     each = [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in scalars]
     given = lambda x: F.coalesce(F.col(x), F.array())
     return joined.select(*keys, *each, *[F.array_union(given(f"a.{c}"), given(f"b.{c}")).alias(c) for c in lists])
+
+
+def payload_rows(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """Loose JSON payloads as rows: key, seq, value, evidence (null: none), level. Shapes: an object with value, evidences and level; an
+    object of values and their evidences; a list of either, where a list entry's own evidences hold for all its values; a list of texts; a
+    text. The names evidences and level in an object are no values."""
+    text = F.trim(payload)
+    entries = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    each = rows.select(key, F.posexplode(entries).alias("no", "e"), text.startswith("[").alias("listed"))
+    is_object = F.trim("e").startswith("{")
+    fields = F.from_json(F.when(is_object, F.col("e")), "map<string,string>")
+    get = lambda n: F.try_element_at(F.col("fields"), F.lit(n))
+    named = F.filter(F.map_keys("fields"), lambda k: ~k.isin("evidences", "level"))
+    values = (
+        F.when(F.col("fields").isNull(), F.array(F.struct(F.col("e").alias("value"), F.lit(None).cast("string").alias("found"))))
+        .when(get("value").isNotNull(), F.array(F.struct(get("value").alias("value"), get("evidences").alias("found"))))
+        .otherwise(F.transform(named, lambda k: F.struct(k.alias("value"), F.when(F.col("listed") & get("evidences").isNotNull(), get("evidences")).otherwise(F.col("fields")[k]).alias("found"))))
+    )
+    each = each.withColumn("fields", fields)
+    each = each.select(key, "no", get("level").alias("level"), F.posexplode(values).alias("nth", "v"))
+    found = F.trim("v.found")
+    lists = F.when(found.startswith("["), F.from_json(found, "array<string>")).when(found != "", F.array(found))
+    each = each.select(key, "no", "nth", "level", F.trim("v.value").alias("value"), F.posexplode_outer(lists).alias("place", "evidence"))
+    seq = F.col("no").cast("long") * 1_000_000 + F.col("nth") * 1000 + F.coalesce("place", F.lit(0))
+    return each.filter("value <> ''").select(key, seq.alias("seq"), "value", "evidence", "level")
+
+
+def pruned(fields: Column) -> Column:
+    """An array of struct field, entries (array of struct with evidences) without entries that have no evidence and empty fields."""
+    kept = F.transform(fields, lambda f: f.withField("entries", F.filter(f["entries"], lambda e: F.size(F.coalesce(e["evidences"], F.array())) > 0)))
+    return F.filter(kept, lambda f: F.size(f["entries"]) > 0)
+
+
+def merge_evidences(old: DataFrame, new: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """old: keys, evidence, pos; new: keys, evidence, at. Old evidences in their order, then new ones in order of time, none twice, the
+    last ``most``. keys, evidences (array), last_at (the latest time of a kept new one)."""
+    evidence = F.col("evidence").cast("string").alias("evidence")
+    none = F.lit(None).cast("long")
+    rows = old.select(*keys, evidence, F.lit(0).alias("part"), F.col("pos").cast("long").alias("ord"), none.alias("at"))
+    rows = rows.unionByName(new.select(*keys, evidence, F.lit(1).alias("part"), F.col("at").cast("long").alias("ord"), F.col("at").cast("long").alias("at")))
+    one = rows.groupBy(*keys, "evidence").agg(F.min(F.struct("part", "ord")).alias("first"), F.max("at").alias("at"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("first"), F.desc("evidence")))
+    kept = one.withColumn("nth", nth).filter(F.col("nth") <= most)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("nth", "evidence")), False), lambda x: x["evidence"])
+    return kept.groupBy(*keys).agg(ordered.alias("evidences"), F.max("at").alias("last_at"))
+
+
+#: The roles that a group profile knows.
+ROLES = ["decision_maker", "opinion_leader", "topic_initiator", "execution_promoter", "core_contributor", "coordinator", "info_summarizer"]
+
+
+def merge_groups(rows: DataFrame, level_fields: list[str]) -> DataFrame:
+    """One profile of each user from those of their groups. rows: user_id, group_id, important (null counts as true), field, value,
+    level, evidence, seq. Only important groups count, all where none is; fields with levels keep the highest, others the last."""
+    important = F.coalesce("important", F.lit(True))
+    some = rows.groupBy("user_id").agg(F.max(important).alias("some"))
+    used = rows.join(some, "user_id").filter(important | ~F.col("some"))
+    of = lambda cond, keep: merge_values(used.filter(cond), ["user_id", "field"], keep)
+    levelled = F.col("field").isin(level_fields)
+    return of(levelled, "highest").unionByName(of(~levelled, "last"))

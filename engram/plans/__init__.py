@@ -1 +1 @@
-from engram.plans import language, lifecycle, lookups, queries, scopes  # noqa: F401  each registers its queries
+from engram.plans import language, lifecycle, lookups, queries, scopes, upkeep  # noqa: F401  each registers its queries

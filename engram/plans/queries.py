@@ -294,10 +294,10 @@ _EVIDENCE_SQL = """WITH r AS (SELECT p_brand AS value, l_suppkey AS user_id, l_o
     SELECT f.user_id, f.value, array_to_string(list(f.evidence ORDER BY f.seq), ',') AS evidences, any_value(l.level) AS level FROM f JOIN l ON f.user_id = l.user_id AND f.value = l.value GROUP BY ALL"""
 
 
-def _value_rows(spark, sf, level):
-    l, p = T.read(spark, sf, "lineitem"), T.read(spark, sf, "part").select("p_partkey", "p_brand")
+def _value_rows(spark, sf, level, *more):
+    l, p = T.read(spark, sf, "lineitem"), T.read(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
     rows = l.join(p, l.l_partkey == p.p_partkey)
-    return rows.select(F.col("l_suppkey").alias("user_id"), F.col("p_brand").alias("value"), level.alias("level"), F.col("l_orderkey").alias("evidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return rows.select(F.col("l_suppkey").alias("user_id"), F.col("p_brand").alias("value"), level.alias("level"), F.col("l_orderkey").alias("evidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), *more)
 
 
 @query(_EVIDENCE_SQL.format(level="CASE WHEN l_linenumber > 4 THEN '' ELSE l_returnflag END", pick="arg_max(level, CASE WHEN level <> '' THEN seq END)"))
