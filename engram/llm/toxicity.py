@@ -2,8 +2,8 @@
 
 Noisy channel: a hidden writer takes plain words and disguises them, by leetspeak (1d1ot), marks between letters (i.d.i.o.t),
 spaces between letters (i d i o t) or repeated letters (idiooot). Each disguised token becomes a lattice, whose steps are the
-letters that a character may stand for, nothing for a mark, or one or two letters for a run. A Viterbi search over letter
-pairs finds its likeliest reading under a character trigram model, whose counts cover all documents. The restored text is scored.
+letters that a character may stand for, nothing for a mark, one or two letters for a run, or nothing or a word's end for a space
+between single letters; long runs of those are read in overlapping windows. A Viterbi search over letter pairs finds its likeliest reading under a character trigram model, whose counts cover all documents. The restored text is scored.
 
 The scorer's lexicon (words and word beginnings) comes from one half of the training labels, its logistic weights from the other.
 """
@@ -26,7 +26,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 #: Marks that may stand between letters.
 MARKS = ".-_*~^'`"
 #: What a step of the channel costs, as a negative log probability.
-COSTS = {"same": 0.0, "leet": 1.5, "mark": 1.0, "single": 0.3, "double": 0.9}
+COSTS = {"same": 0.0, "leet": 1.5, "mark": 1.0, "single": 0.3, "double": 0.9, "edge": 4.0}
 
 _CLASSES = np.full(256, 0, np.int64)
 _CLASSES[97:123] = np.arange(1, 27)
@@ -35,8 +35,15 @@ _CLASSES[128:] = 27
 _N = 28
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _LETTER = r"[^\W\d_]"
-_ODD = re.compile(rf"{_LETTER}[0-9@$!|+€.\-_*~^'`]+{_LETTER}|^[0-9@$!|+€]{_LETTER}{{2}}|{_LETTER}{{2}}[01345789]$")
+_ODD = re.compile(rf"{_LETTER}[0-9@$!|+€.\-_*~^'`]+{_LETTER}|[0-9@$!|+€]{_LETTER}{{2}}|{_LETTER}{{2}}[01345789]|{_LETTER}[01345789@$!|+€]{{2}}")
 _EDGE = ".,;:!?\"()[]{}<>%&#*$'`~^|_-+"
+#: Symbols at a token's edge that are marks, or letters in leetspeak.
+_EITHER = "$!|+@€"
+_SOFT = "".join(set(_EDGE) - set(_EITHER))
+_BREAK = re.compile(r"[^\w@$!|+€]+")
+_SINGLE = re.compile(b"\1+")
+#: Characters of a spaced run that are read at once, and from one reading's start to the next one's: words under 40 letters are inside of one.
+_WINDOW, _STEP = 64, 24
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -71,7 +78,8 @@ def _class(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else (0 if not ch.isalpha() else 27)
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
+def _lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """Of spaced letters, without their spaces: between two steps there is nothing or a word's end, and marks may be one."""
     steps: list[list[tuple[str, float]]] = []
     for m in re.finditer(r"(.)\1*", token):
         ch, run = m[1], len(m[0])
@@ -83,14 +91,24 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [(x * run, c * run) for x, c in readings]
         if ch in MARKS or not readings:
             options.append(("", COSTS["mark"]))
+        if spaced:
+            options += [(x + " " + x, c * 2) for x, c in readings if run > 1]
+            if not ch.isalnum():
+                options.append((" ", COSTS["same"]))
+            if steps:
+                steps.append([("", COSTS["same"]), (" ", COSTS["same"])])
         steps.append(options)
     return steps
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest plain reading of a lower-case token without white space."""
+def restore(token: str, model: np.ndarray, spaced: bool = False) -> str:
+    """The likeliest plain reading of a lower-case token without white space; of spaced letters, words between spaces."""
+    return _reading(token, model, spaced)[1]
+
+
+def _reading(token: str, model: np.ndarray, spaced: bool = False) -> tuple[float, str]:
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in _lattice(token):
+    for options in _lattice(token, spaced):
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, out) in best.items():
             for letters, more in options:
@@ -103,50 +121,88 @@ def restore(token: str, model: np.ndarray) -> str:
                 if key not in new or total < new[key][0]:
                     new[key] = (total, out + letters)
         best = new
-    return min((cost + model[a, b, 0], out) for (a, b), (cost, out) in best.items())[1]
+    return min((cost + model[a, b, 0], out) for (a, b), (cost, out) in best.items())
 
 
 class Deobfuscator(dict):
     """Raw token to plain word: its marks at the edges stripped, and restored if it is disguised.
 
-    Tokens seen before are looked up; ``disguised`` has those among them that were restored."""
+    Tokens seen before are looked up; ``disguised`` has those among them that were restored. ``also`` has a second reading of
+    tokens with symbols at an edge: as letters ($hit). ``spaced`` has the words of windows of spaced letters."""
 
     def __init__(self, model: np.ndarray, most: int = 200_000):
-        self.model, self.most, self.disguised = model, most, set()
+        self.model, self.most, self.disguised, self.also, self.spaced = model, most, set(), {}, {}
 
     def __missing__(self, token: str) -> str:
-        word = token.strip(_EDGE) if token[-1:] != "$" or token[-2:] == "$$" else token.lstrip(_EDGE).rstrip(".,;:?")
+        outer = token.strip(_SOFT)
+        word = core = outer.strip(_EDGE + _EITHER)
         # longer tokens are no words; they stay as they are
-        if len(word) <= 64 and (_RUN.search(word) if word.isalpha() else _ODD.search(word) or _RUN.search(word)):
-            word = restore(word, self.model)
-            self.disguised.add(token)
+        if len(outer) <= 64:
+            if _RUN.search(core) if core.isalpha() else _ODD.search(core) or _RUN.search(core):
+                word = restore(core, self.model)
+                self.disguised.add(token)
+            if outer != core and any(map(str.isalpha, core)):
+                cost, letters = _reading(outer, self.model)
+                if letters != word:
+                    self.also[token] = letters
+                    if cost < _reading(core, self.model)[0] + (COSTS["edge"] if outer.rstrip("!") != core else 0.0):
+                        self.disguised.add(token)
         self[token] = word
         return word
 
+    def readings(self, token: str) -> tuple[str, ...]:
+        word = self[token]
+        return (word, self.also[token]) if token in self.also else (word,)
+
     def read(self, text: str) -> tuple[set[str], int]:
-        """The distinct raw tokens of a text, spaced letters joined, and how many of them are disguised."""
-        if len(self) > self.most:
-            self.clear()
-            self.disguised.clear()
+        """The distinct raw tokens of a text, with the words of spaced letters, and how many of them are disguised."""
+        if len(self) + len(self.also) + len(self.spaced) > self.most:
+            for known in (self, self.disguised, self.also, self.spaced):
+                known.clear()
         words = text.lower().split()
         tokens = set(words)
-        sizes = bytes(min(len(w), 2) for w in words)
-        joined = set()
-        at = sizes.find(b"\1\1\1")
-        while at >= 0:
-            end = at + len(sizes[at:]) - len(sizes[at:].lstrip(b"\1"))
-            if len(run := "".join(words[at:end])) <= 64 and run.isalnum():
+        joined, more = set(), set()
+        for m in _SINGLE.finditer(bytes([min(len(w), 2) for w in words])):
+            first, end = m.span()
+            # the token before belongs to the run if it is a character after marks, the token after it if one before marks
+            if first and 1 in (len(words[first - 1].lstrip(_EDGE)), len(words[first - 1].lstrip(_SOFT))):
+                first -= 1
+            if end < len(words) and 1 in (len(words[end].rstrip(_EDGE)), len(words[end].rstrip(_SOFT))):
+                end += 1
+            if end - first < 3:
+                continue
+            run = "".join(words[first:end])
+            if sum(c.isalnum() or c in LEET for c in run) >= 3 and any(map(str.isalpha, run)):
                 joined.add(run)
-            at = sizes.find(b"\1\1\1", end)
-        tokens |= joined
+                more |= self._words(run)
+                more.update(part for part in _BREAK.split(run) if 3 <= len(part) < len(run) and len(part) <= 64)
+        tokens |= more
+        tokens.update(run for run in joined if len(run) <= 64)
         for t in tokens:
             self[t]  # noqa: B018  looks the token up
         return tokens, len(self.disguised & tokens) + len(joined - self.disguised)
 
+    def _words(self, run: str) -> set[str]:
+        """The words of spaced letters, read window by window; words cut by a window's edge are inside of another window."""
+        found: set[str] = set()
+        for at in range(0, max(len(run) - _WINDOW + _STEP, 1), _STEP):
+            part = run[at : at + _WINDOW]
+            if part not in self.spaced:
+                # letters other than a to z are one class, which has no word's ends to find
+                self.spaced[part] = restore(part, self.model, True) if any("a" <= c <= "z" for c in part) else ""
+            text = self.spaced[part]
+            some = text.split()
+            if at and not text.startswith(" "):
+                del some[:1]
+            if at + _WINDOW < len(run) and not text.endswith(" "):
+                del some[-1:]
+            found.update(some)
+        return found
+
 
 def words_of(text: str, deobfuscate: Deobfuscator) -> set[str]:
     tokens, _ = deobfuscate.read(text)
-    return {deobfuscate[t] for t in tokens} - {""}
+    return {word for t in tokens for word in deobfuscate.readings(t)} - {""}
 
 
 def beginnings(word: str) -> list[str]:
@@ -162,14 +218,14 @@ class Model:
 
 
 class _Weights(dict):
-    """Plain word to its largest weight; of raw tokens if they are read through a deobfuscator."""
+    """Plain word to its largest weight; of raw tokens, that of all their readings, if they are read through a deobfuscator."""
 
-    def __init__(self, lexicon: dict[str, float], plain: dict[str, str] | None = None):
+    def __init__(self, lexicon: dict[str, float], plain: Deobfuscator | None = None):
         self.lexicon, self.plain = lexicon, plain
 
     def __missing__(self, token: str) -> float:
-        word = token if self.plain is None else self.plain[token]
-        w = self[token] = max(map(self.lexicon.get, beginnings(word), [0.0] * 8)) if word else 0.0
+        words = (token,) if self.plain is None else self.plain.readings(token)
+        w = self[token] = max((self.lexicon.get(x, 0.0) for word in words if word for x in beginnings(word)), default=0.0)
         return w
 
 

@@ -247,6 +247,32 @@ def test_disguised_words_are_restored(spark):
     assert n == 0 and {reader[t] for t in tokens} == {"nothing", "odd", "here", "at", "all"}
 
 
+@pytest.fixture(scope="module")
+def reader(spark):
+    plain = "you idiot are a worthless moron and the clown with a dim bass is here to stay with the good people of the nation "
+    docs = spark.createDataFrame([(i, plain * 5) for i in range(20)], "doc_id long, text string")
+    return toxicity.Deobfuscator(toxicity.language_model(toxicity.character_counts(docs)))
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("an i d i o t, it is", {"idiot"}), ("i d i o t.", {"idiot"}), ('a "m o r o n" said', {"moron"}), ("i d i o t - not here", {"idiot"}), ("i d i o t - m o r o n", {"idiot", "moron"}), ("- m o r o n ! here", {"moron"}),
+        ("idio77 an7 b455", {"idiott", "bass"}), ("the 1diot5here", {"idiotshere"}), ("!diot", {"idiot"}), ("cl0wn$", {"clowns"}), ("na+ion+", {"nationt"}), ("b@$$ ba$$", {"bass"}),
+        ("y o u i d i o t", {"you", "idiot"}), ("so y o u a r e a w o r t h l e s s m o r o n", {"worthless", "moron"}),
+        ("t h e g o o d p e o p l e o f t h e n a t i o n " * 6 + "a n d t h e w o r t h l e s s m o r o n", {"people", "nation", "worthless", "moron"}),
+        ("m 0 r 0 n", {"moron"}), ("x! (hello) a", {"hello"}),
+    ],
+)
+def test_each_disguise(reader, text, found):
+    assert found <= toxicity.words_of(text, reader)
+
+
+def test_marks_are_no_disguise(reader):
+    assert reader.read("the good people! stay (here), you - and \"the\" nation.")[1] == 0
+    assert reader.read("an i d i o t, !diot")[1] == 2
+
+
 def test_attention_gradients():
     r = np.random.default_rng(0)
     net = quality_mil.Network(hidden=5, gate=4)
