@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,21 +68,96 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _bounded(queries: DataFrame, most: int) -> DataFrame:
-    """A stated set of queries against all rows: broadcast once its size is checked."""
+    """A stated set of queries, refused if it is larger; the rankers take any number."""
     if queries.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} query vectors; pass fewer at a time")
     return F.broadcast(queries)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, most_query_rows: int = 10_000) -> DataFrame:
-    """Exact. queries: query_id, qvector, of a bounded number, which is checked; corpus: doc_id, vector. Best k of each by cosine."""
-    scored = corpus.join(_bounded(queries, most_query_rows)).select("query_id", "doc_id", F.round(cosine(F.col("qvector"), F.col("vector")), 6).alias("score"))
-    return top(scored, k)
-
-
-def max_sim(queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+def against_all(queries: DataFrame, rows: DataFrame, block: int = 10_000) -> DataFrame:
+    """Every query with every row. Up to a block of queries is broadcast; more are dealt into blocks of about that size,
+    each of which meets each partition of the rows in a task of its own."""
+    if queries.limit(block + 1).count() <= block:
+        return rows.crossJoin(F.broadcast(queries))
+    return rows.crossJoin(queries.repartition(-(-queries.count() // block)))
+
+
+def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors padded by zeros to one length, their lengths, and whether each is known: neither null nor with a null."""
+    rows = vectors.to_pylist()
+    known = np.array([v is not None and None not in v for v in rows], bool)
+    size = np.array([len(v) if k else 0 for v, k in zip(rows, known, strict=True)], np.int64)
+    out = np.zeros((len(rows), size.max(initial=0)))
+    for i in np.flatnonzero(known):
+        out[i, : size[i]] = rows[i]
+    return out, size, known
+
+
+def _best(k: int, step: int = 256):
+    """Of two groups, queries and rows, the pairs that can be among the k best, with the same cosine as ``cosine`` has, not rounded."""
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows.column("doc_id").combine_chunks(), null_placement="at_start"))
+        (q, q_size, q_known), (x, x_size, x_known) = _matrix(asked.column("qvector")), _matrix(rows.column("vector"))
+        width = min(q.shape[1], x.shape[1])
+        norms = []
+        for m in (q, x):
+            total = np.zeros(len(m))
+            for d in range(m.shape[1]):  # one value after another, as in the JVM
+                total += m[:, d] * m[:, d]
+            norms.append(np.sqrt(total))
+        x_t = np.ascontiguousarray(x.T)
+        from_q, from_x, scores, unknown = [], [], [], []
+        for at in range(0, len(q), step):
+            part = slice(at, at + step)
+            dot = np.zeros((len(q[part]), len(x)))
+            for d in range(width):
+                dot += q[part, d, None] * x_t[d]
+            both = norms[0][part, None] * norms[1]
+            zero = (both <= 0) | ~(q_known[part, None] & x_known)
+            with np.errstate(all="ignore"):
+                score = np.where(zero, 0.0, dot / both)
+            null = ~zero & (q_size[part, None] != x_size)
+            # NaN comes first and null last
+            order = np.where(null, -np.inf, np.where(np.isnan(score), np.inf, score))
+            least = np.partition(order, -k, axis=1)[:, -k] if order.shape[1] > k else np.full(len(order), -np.inf)
+            for i in range(len(order)):
+                near = np.flatnonzero(order[i] >= least[i] - 2e-6)  # rounded later to six digits
+                if len(near) > k:  # of equal scores the first k rows
+                    near = near[np.argsort(-order[i, near], kind="stable")]
+                    o = order[i, near]
+                    start = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+                    near = near[np.arange(len(o)) - np.repeat(start, np.diff(np.append(start, len(o)))) < k]
+                from_q.append(np.full(len(near), at + i))
+                from_x.append(near)
+                scores.append(score[i, near])
+                unknown.append(null[i, near])
+        at_q, at_x, score, null = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((from_q, np.int64), (from_x, np.int64), (scores, float), (unknown, bool)))
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(at_q)), "doc_id": rows.column("doc_id").take(pa.array(at_x)), "score": pa.array(score, pa.float64(), mask=null)})
+
+    return best
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, most_query_rows: int = 10_000, most_corpus_rows: int = 5_000) -> DataFrame:
+    """Exact. queries: query_id, qvector, of any number, dealt into blocks of about most_query_rows; corpus: doc_id, vector, dealt into parts
+    of about most_corpus_rows. Each block meets each part in a group of its own, which keeps the best k of each query by cosine."""
+    blocks = max(-(-queries.count() // most_query_rows), 1)
+    n, cores = corpus.count(), corpus.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n // most_corpus_rows), min(n, 4 * cores), 1)
+    dealt = lambda of: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    asked = queries.select("query_id", "qvector", dealt(blocks).alias("block")).withColumn("part", every(parts))
+    rows = corpus.select("doc_id", "vector", dealt(parts).alias("part")).withColumn("block", every(blocks))
+    tasks = min(blocks * parts, max(4 * cores, blocks * parts // 16))
+    asked, rows = (df.repartition(tasks, "block", "part").groupBy("block", "part") for df in (asked, rows))
+    types = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc_id"]
+    found = asked.cogroup(rows).applyInArrow(_best(k), "query_id {}, doc_id {}, score double".format(*types))
+    return top(found.withColumn("score", F.round("score", 6)), k)
+
+
+def max_sim(queries: DataFrame, facts: DataFrame, k: int, most_query_rows: int = 10_000) -> DataFrame:
     """Best cosine over a document's vectors. facts: doc_id, vector, several rows a document."""
-    scored = facts.join(_bounded(queries, 10_000)).groupBy("query_id", "doc_id").agg(F.round(F.max(cosine(F.col("qvector"), F.col("vector"))), 6).alias("score"))
+    scored = against_all(queries, facts, most_query_rows).groupBy("query_id", "doc_id").agg(F.round(F.max(cosine(F.col("qvector"), F.col("vector"))), 6).alias("score"))
     return top(scored, k)
 
 

@@ -458,8 +458,7 @@ def r6_knn(spark, sf):
 
 @query(f"SELECT query_id, doc_id, score FROM ({_KNN}) WHERE score >= 0.4 AND doc_id <> query_id")
 def f17_score_threshold(spark, sf):
-    q = rank._bounded(_vector_queries(spark, sf), 10_000)
-    scored = T.vectors(spark, sf).join(q).select("query_id", F.col("vec_id").alias("doc_id"), F.round(rank.cosine(F.col("qvector"), F.col("vector")), 6).alias("score"))
+    scored = rank.against_all(_vector_queries(spark, sf), T.vectors(spark, sf)).select("query_id", F.col("vec_id").alias("doc_id"), F.round(rank.cosine(F.col("qvector"), F.col("vector")), 6).alias("score"))
     return scored.filter("score >= 0.4 and doc_id <> query_id")
 
 

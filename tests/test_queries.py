@@ -156,3 +156,36 @@ def test_too_many_query_vectors(spark):
     with pytest.raises(ValueError):
         rank._bounded(spark.range(11), 10)
     assert math.isclose(one(spark, rank.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))), 0.0)
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_more_queries_than_a_block(spark, broadcast):
+    r = np.random.default_rng(1)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    x[7:60] = x[7]  # ties
+    q, docs = x[::5], [(i, v.tolist()) for i, v in enumerate(x)]
+    score = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+    score = np.round(score, 6)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, qvector array<double>")
+    corpus = spark.createDataFrame(docs, "doc_id long, vector array<double>")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = {(h.query_id, h.rank): (h.doc_id, round(h.score, 6)) for h in rank.knn(queries, corpus, 3, 7, 10).collect()}
+        best = rank.max_sim(queries, corpus.withColumn("doc_id", F.col("doc_id") % 10), 1, 7).collect()
+        assert rank.against_all(queries, corpus, 7).count() == len(q) * len(x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    wanted = {(i, n + 1): (d, round(score[i, d], 6)) for i in range(len(q)) for n, d in enumerate(sorted(range(len(x)), key=lambda d: (-score[i, d], d))[:3])}
+    assert found == wanted and len(found) == 180
+    assert {b.query_id: round(b.score, 6) for b in best} == {i: round(score[i].max(), 6) for i in range(len(q))}
+
+
+def test_odd_vectors_among_neighbours(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [math.nan, 1.0]), (7, [2.0, 1.0]), (None, [2.0, 1.0]), (8, [-1.0, 0.5]), (9, [])]
+    corpus = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    queries = corpus.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("qvector")).filter("doc_id is not null")
+    plain = corpus.crossJoin(queries).select("query_id", "doc_id", F.round(rank.cosine(F.col("qvector"), F.col("vector")), 6).alias("score"))
+    for k in (1, 4, 20):
+        found, wanted = (sorted(map(repr, df.select("query_id", "doc_id", "score", "rank").collect())) for df in (rank.knn(queries, corpus, k, 2, 3), rank.top(plain, k)))
+        assert found == wanted
