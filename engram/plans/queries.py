@@ -456,6 +456,19 @@ def r6_knn(spark, sf):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    f"""WITH h AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})) WHERE rank <= 20),
+    c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+    SELECT query_id, c.label::BIGINT AS cluster_id, count(*) AS hits, any_value(c.n) - count(*) AS others FROM h JOIN embeddings e ON h.doc_id = e.vec_id JOIN c ON e.label = c.label GROUP BY 1, 2"""
+)
+def j1_hit_clusters(spark, sf):
+    """The clusters of all hits of every search, with their numbers of hits and of other members; j1_cluster_members lists members for 20 ids."""
+    e = T.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("cluster_id"))
+    sizes = e.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    hits = r6_knn(spark, sf).join(e, "doc_id").groupBy("query_id", "cluster_id").agg(F.count("*").alias("hits"))
+    return hits.join(sizes, "cluster_id").select("query_id", "cluster_id", "hits", (F.col("n") - F.col("hits")).alias("others"))
+
+
 @query(f"SELECT query_id, doc_id, score FROM ({_KNN}) WHERE score >= 0.4 AND doc_id <> query_id")
 def f17_score_threshold(spark, sf):
     scored = rank.against_all(_vector_queries(spark, sf), T.vectors(spark, sf)).select("query_id", F.col("vec_id").alias("doc_id"), F.round(rank.cosine(F.col("qvector"), F.col("vector")), 6).alias("score"))

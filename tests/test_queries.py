@@ -189,3 +189,9 @@ def test_odd_vectors_among_neighbours(spark):
     for k in (1, 4, 20):
         found, wanted = (sorted(map(repr, df.select("query_id", "doc_id", "score", "rank").collect())) for df in (rank.knn(queries, corpus, k, 2, 3), rank.top(plain, k)))
         assert found == wanted
+
+
+def test_clusters_of_all_hits(spark):
+    hits, found = plans.r6_knn(spark, TINY), plans.j1_hit_clusters(spark, TINY).collect()
+    assert {r.query_id for r in found} == {r.query_id for r in hits.select("query_id").distinct().collect()} and max(r.query_id for r in found) >= 20
+    assert sum(r.hits for r in found) == hits.count() and all(r.others >= 0 for r in found)
