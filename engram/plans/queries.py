@@ -115,6 +115,33 @@ def s17_flat_facts(spark, sf):
     return e.select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("fact_no", "x")).select("vec_id", F.col("fact_no").cast("long").alias("fact_no"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def flat_facts(parents: DataFrame) -> DataFrame:
+    """parents: facts and vectors, two lists, and any other columns. Fact i goes with vector i up to the end of the shorter list; the
+    parent's other columns are copied. fact_no (from 0), fact, vector and those columns."""
+    both = F.least(F.size("facts"), F.size("vectors"))
+    zipped = F.arrays_zip(F.slice("facts", 1, both).alias("fact"), F.slice("vectors", 1, both).alias("vector"))
+    kept = [c for c in parents.columns if c not in ("facts", "vectors")]
+    rows = parents.filter(F.col("facts").isNotNull() & F.col("vectors").isNotNull()).select(*kept, F.posexplode(zipped).alias("fact_no", "z"))
+    return rows.select(*kept, F.col("fact_no").cast("long").alias("fact_no"), F.col("z")["fact"].alias("fact"), F.col("z")["vector"].alias("vector"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id // 4 AS doc_id, list({'id': vec_id, 'v': embedding} ORDER BY vec_id) AS vectors FROM embeddings GROUP BY 1),
+    p AS (SELECT d.doc_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: trim(s) <> '') AS facts, vectors FROM documents d JOIN v ON d.doc_id = v.doc_id)
+    SELECT doc_id, source AS group_id, 1704067200 + doc_id * 3600 AS start, i AS fact_no, facts[i + 1] AS fact, vectors[i + 1].id AS vec_id,
+    array_to_string(list_transform(vectors[i + 1].v, lambda x: floor(x::DOUBLE * 1000000)::BIGINT), ',') AS millionths FROM p, unnest(range(least(len(facts), len(vectors)))) AS u(i)"""
+)
+def s17_zipped_facts(spark, sf):
+    """A document's lines are its facts, four vectors in a row belong to a document; the whole vectors, in millionths. s17_flat_facts has first values only."""
+    e = T.vectors(spark, sf).select(F.expr("vec_id div 4").alias("doc_id"), F.struct("vec_id", "vector").alias("v"))
+    vectors = e.groupBy("doc_id").agg(F.sort_array(F.collect_list("v")).alias("vectors"))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda s: F.trim(s) != "")
+    d = T.read(spark, sf, "documents").select("doc_id", F.col("source").alias("group_id"), (F.lit(1_704_067_200) + F.col("doc_id") * 3600).alias("start"), lines.alias("facts"))
+    rows = flat_facts(d.join(vectors, "doc_id"))
+    millionths = F.array_join(F.transform(F.col("vector.vector"), lambda x: F.floor(x * 1_000_000.0).cast("string")), ",")
+    return rows.select("doc_id", "group_id", "start", "fact_no", "fact", F.col("vector.vec_id").alias("vec_id"), millionths.alias("millionths"))
+
+
 @query(
     """SELECT conv_id, turn, CASE WHEN turn_no <= greatest(floor(0.8 * n), 0) THEN 'history' ELSE 'new' END AS part FROM
     (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""

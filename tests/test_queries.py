@@ -195,3 +195,11 @@ def test_clusters_of_all_hits(spark):
     hits, found = plans.r6_knn(spark, TINY), plans.j1_hit_clusters(spark, TINY).collect()
     assert {r.query_id for r in found} == {r.query_id for r in hits.select("query_id").distinct().collect()} and max(r.query_id for r in found) >= 20
     assert sum(r.hits for r in found) == hits.count() and all(r.others >= 0 for r in found)
+
+
+def test_facts_with_their_vectors(spark):
+    rows = [(1, ["a", "b", "c"], [[1.0] * 9, [2.0]]), (2, ["x"], [[3.0], [4.0]]), (3, [], [[5.0]]), (4, None, [[6.0]]), (5, ["y"], None)]
+    found = plans.flat_facts(spark.createDataFrame(rows, "id int, facts array<string>, vectors array<array<double>>")).orderBy("id", "fact_no").collect()
+    assert [tuple(r) for r in found] == [(1, 0, "a", [1.0] * 9), (1, 1, "b", [2.0]), (2, 0, "x", [3.0])]
+    whole = plans.s17_zipped_facts(spark, TINY).collect()
+    assert whole and {len(r.millionths.split(",")) for r in whole} == {64}
