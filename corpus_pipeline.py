@@ -27,7 +27,8 @@ def _one_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Like _rows_of, for choices of one row of a group: where a row is repeated, one of its repeats stays."""
     rows = _rows_of(docs, chosen)
     repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
-    return (rows if repeats.isEmpty() else rows.dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    rows = rows if repeats.isEmpty() else rows.withColumn("_filled_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_filled_text"])
+    return rows.select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    return _one_each(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component the row with the smallest doc_id, null ids last, and of those the one with the smallest text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    return _one_each(docs, simhash.near_duplicates(docs, keyed=True).groupBy("root").agg(first).select("first.doc_id", "first.th"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,8 +152,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), th.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keyed: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), th; and, if keyed,
+    root, which is never null and names the component.
 
     Null texts count as empty. Texts without words have fingerprint zero and link like any other. Equal fingerprints,
     repeated rows included, are in one component. Null ids: the component's smallest id that isn't null, null if there is
@@ -165,5 +166,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = written(least)
     named = written(least.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    members = least.join(named, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "th")
+    members = least.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "th", *(["root"] if keyed else []))

@@ -517,6 +517,19 @@ def test_pipeline_stages_against_brute_force(spark):
     assert p.run(spark, SMALL).count() == p.packed(spark, pure, SMALL).count()
 
 
+def test_one_of_each_near_group_stays(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{i * 7919 % 1009}" for i in range(400)]
+    near = [" ".join([*words, x]) for x in ("", "x", "y", "x")]
+    other = " ".join(w + "q" for w in words)
+    for ids in ((None, None, None, None), (3, 3, 3, 3), (3, None, 3, 4)):
+        rows = spark.createDataFrame([*zip(ids, near, strict=True), (9, other), (5, None), (5, "")], "doc_id long, text string")
+        assert simhash.near_duplicates(rows, keyed=True).select("root").distinct().count() == 3
+        kept = p.apart(spark, rows, TINY).collect()
+        assert sorted((r.doc_id or 0) for r in kept) == sorted([ids[0] or 0, 5, 9]) and other in {r.text for r in kept}
+
+
 def test_pipeline_stages_keep_hard_rows(spark, hard):
     import corpus_pipeline as p
 
