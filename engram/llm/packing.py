@@ -12,13 +12,17 @@ by the corpus.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,92 +55,145 @@ def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
     return at
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: Printable ASCII but for <, which may begin a special token, and the lower-case letters of Latin-1, in UTF-8: what normalizing leaves alone.
+_SIMPLE = re.compile(rb"(?:[!-;=-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Bytes as 1 (ASCII letters and digits), 8 (other printable ASCII but for <) or 20: from a 1 to an 8 it goes up by 7.
+_KINDS = bytes(1 if chr(c).isalnum() and c < 128 else 8 if 32 < c < 127 and c != 0x3C else 20 for c in range(256))
+
+
 class _Ids(dict):
-    """Word (no white space in it) to its ids as little-endian unsigned 32-bit integers."""
+    """Word (no white space in it) to its ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    Words not seen yet are encoded when they are looked up. When there are ``most`` of them, they become the old generation and
+    what was the old one goes; old words that are looked up again are new ones, so frequent words stay."""
+
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has its one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def add(self, words: set[bytes]) -> None:
-        """The tokenizer drops white space and splits at it, so each word is encoded alone. A full stop or comma after a
-        plain letter is a piece of its own and is looked up apart, so that fewer words are encoded."""
-        cores = {w: w[:-1].lower() if w[-1:] in b".," and w[-2:-1].isalpha() and b"<" not in w else w.lower() if b"<" not in w else w for w in words}
-        new = {*cores.values(), b".", b","} - self.keys()
-        letters = [c for c in new if c.decode().isalpha()]
-        self._encode_together(letters)
-        self._encode([c for c in new if c not in self])
-        for w, c in cores.items():
-            self[w] = self[c] + self[w[-1:]] if len(c) < len(w) else self[c]
-
-    def _encode(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-
-    def _encode_together(self, words: list[bytes], block: int = 2000) -> None:
-        """Words of letters only, many in one text: each is one piece, whose last token alone ends a word. A block of which
-        that isn't true (lower-casing can add marks) is left out."""
-        blocks = [words[i : i + block] for i in range(0, len(words), block)]
-        for own, found in zip(blocks, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) == len(own):
-                raw = ids.tobytes()
-                self.update(zip(own, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        self.pieces, self.most, self.old = self.tokenizer.model.tokenize, most, {}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.split = _splitter(json.loads(self.tokenizer.to_str()))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            four, own = self.four, ()
+            if self.split and word.isalpha():
+                own = self.pieces(word.lower().decode())
+            elif self.split and _SIMPLE.fullmatch(word):
+                text = word.lower().decode()
+                own = [t for p in ([text] if text.isalpha() else self.split.findall(text)) for t in self.pieces(p.translate(self.bytes_of))]
+            # the tokenizer drops white space and splits at it, so each word is encoded alone
+            ids = b"".join([four[t.id] for t in own] if own else [four[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def parted(self, text: bytes) -> bytes:
+        """The text with the same ids but fewer different words: in lower case, a blank before each mark that follows a plain
+        letter or digit, for the tokenizer splits there anyway."""
+        if not self.split or b"<" in text:
+            return text
+        text = text.lower()
+        kinds = np.frombuffer(text.translate(_KINDS), np.int8)
+        at = (np.flatnonzero(kinds[1:] - kinds[:-1] == 7) + 1).tolist()
+        return b" ".join([text[i:j] for i, j in zip([0, *at], [*at, len(text)], strict=True)])
+
+
+def _splitter(spec: dict) -> regex.Pattern | None:
+    """The pattern by which a tokenizer of lower-case byte-level pieces splits, if it is one; others encode each word whole."""
+    normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if normal == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"]:
+        split, level = steps
+        if split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]:
+            return regex.compile(split["pattern"]["Regex"])
+    return None
 
 
 _TABLES: dict[str, _Ids] = {}
 
 
-def _table(path: str, most: int = 600_000) -> _Ids:
-    """One for each worker process; emptied between batches when it has grown beyond a bound."""
+def _table(path: str) -> _Ids:
+    """One for each worker process."""
     if path not in _TABLES:
         _TABLES[path] = _Ids(path)
-    if len(_TABLES[path]) > most:
-        _TABLES[path].clear()
     return _TABLES[path]
 
 
-def _blocks(column, most: int = 2_000_000):
-    """The texts of a column, a few MB at a time: split into words, a text takes ten times its size."""
-    block, size = [], 0
-    for text in column:
-        block.append(text.as_py())
-        size += len(block[-1])
+def _chunks(batches, most: int = 4_000_000):
+    """(chunk, whether it is its text's last): texts in turn, long ones cut at white space."""
+    for b in batches:
+        for text in b.column("t"):
+            text, at = text.as_py(), 0
+            while len(text) - at > most and (cut := _SPACE.search(text, at + most)):
+                yield text[at : cut.start()], False
+                at = cut.start()
+            yield text[at:], True
+
+
+def _encoded(chunks: list[bytes], table: _Ids) -> list[bytes]:
+    """The bytes of each chunk's ids. Arrow splits the words and tells them apart, so that each is looked up once."""
+    words = pc.ascii_split_whitespace(pa.array(list(map(table.parted, chunks)), pa.binary()).cast(pa.string()))
+    distinct = words.values.dictionary_encode()
+    known = list(map(table.__getitem__, distinct.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()))
+    starts = np.cumsum([0, *map(len, known)], dtype=np.int64) // 4
+    ids = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(known), "<u4"))).take(distinct.indices)
+    stream = ids.flatten().to_numpy().tobytes()
+    ends = (4 * ids.offsets.to_numpy()[words.offsets.to_numpy()]).tolist()
+    return [stream[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _streams(batches, table: _Ids, most: int = 4_000_000):
+    """The bytes of each text's ids, in turn. A few MB of text are split at once: as words, a text takes several times its size."""
+    block, size, rest = [], 0, []
+
+    def flush():
+        for (_, last), own in zip(block, _encoded([c for c, _ in block], table), strict=True):
+            rest.append(own)
+            if last:
+                yield b"".join(rest)
+                rest.clear()
+
+    for chunk, last in _chunks(batches, most):
+        block.append((chunk, last))
+        size += len(chunk)
         if size >= most:
-            yield block
+            yield from flush()
             block, size = [], 0
-    yield block
+    if block:
+        yield from flush()
 
 
 def _pieces(batches, path: str, capacity: int, end_id: int, partition_bits: int):
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId() << partition_bits
-    end = np.array([end_id], "<u4").tobytes()
+    end = end_id.to_bytes(4, "little")
+    table = _table(path)
     ids, rows, pieces, starts, sizes, sums = [], [], [], [], [], []
-    before = 0
-    for b in batches:
-        ids.append(b.column("doc_id"))
-        for block in _blocks(b.column("t")):
-            table = _table(path)
-            split = [t.split() for t in block]
-            table.add(set().union(*split) - table.keys())
-            for i, words in enumerate(split, before):
-                stream = b"".join(map(table.__getitem__, words)) + end
-                for piece, at in enumerate(range(0, len(stream), 4 * capacity)):
-                    cut = stream[at : at + 4 * capacity]
-                    rows.append(i)
-                    pieces.append(piece)
-                    starts.append(at // 4)
-                    sizes.append(len(cut) // 4)
-                    sums.append(zlib.crc32(cut))
-            before += len(split)
+
+    def read():
+        for b in batches:
+            ids.append(b.column("doc_id"))
+            yield b
+
+    for i, stream in enumerate(_streams(read(), table)):
+        stream += end
+        for piece, at in enumerate(range(0, len(stream), 4 * capacity)):
+            cut = stream[at : at + 4 * capacity]
+            rows.append(i)
+            pieces.append(piece)
+            starts.append(at // 4)
+            sizes.append(len(cut) // 4)
+            sums.append(zlib.crc32(cut))
     if not sizes:
         return
     at = best_fit(sizes, capacity)
@@ -154,14 +211,6 @@ def _pieces(batches, path: str, capacity: int, end_id: int, partition_bits: int)
     )
 
 
-def _carried(fills: pd.Series, capacity: int, slack: int, fan: int) -> np.ndarray:
-    """Which bins go up: the small ones, and of those with room for one, at most fan for each size of room."""
-    room = capacity - fills
-    small = 2 * fills <= capacity
-    host = ~small & (room > slack)
-    return (small | (host & (fills.groupby(fills).cumcount() < fan))).to_numpy()
-
-
 def pack(
     docs: DataFrame,
     tokenizer_path: str,

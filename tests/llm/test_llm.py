@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -196,6 +197,21 @@ def test_packing_over_many_partitions(spark):
     assert n <= 1.1 * least  # 14 documents a partition; only their bins meet
 
 
+def test_words_are_encoded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(queries.tokenizer())
+    words = ["don't", "'tis", "it's,,", "rock'", "'S", "We'LL", "x.y.z", "Ünder", "naïve's", "<|endoftext|>", "a<b", "1st2nd", "½", "µm", "ß", "\0", "_a_", "ªb", "É.", "ΑΣ", "李", "(a.b)'", "12'S", "e\u0301.x", "a\u0301", "…,", "n,\u0338"]
+    texts = [*words, " ".join(words), "\n".join(w for w in words if "<" not in w), "", " \x1c\x85 ", *(t or "" for _, t in HARD)]
+    for most in (3, 250_000):  # with few words kept, they change generations all the time
+        table = packing._Ids(queries.tokenizer(), most)
+        batch = [pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], ["t"])]
+        for size in (20, 4_000_000):  # long texts are encoded chunk by chunk
+            found = list(packing._streams(iter(batch), table, size))
+            assert found == [np.array(full.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(table) <= most and len(table.old) <= most
+
+
 def test_best_fit():
     r = np.random.default_rng(3)
     sizes = r.integers(1, 100, 2000).tolist()
