@@ -2,8 +2,9 @@
 
 Noisy channel: a hidden writer takes plain words and disguises them, by leetspeak (1d1ot), marks between letters (i.d.i.o.t),
 spaces between letters (i d i o t) or repeated letters (idiooot). Each disguised token becomes a lattice, whose steps are the
-letters that a character may stand for, nothing for a mark, one or two letters for a run, or nothing or a word's end for a space
-between single letters; long runs of those are read in overlapping windows. A Viterbi search over letter pairs finds its likeliest reading under a character trigram model, whose counts cover all documents. The restored text is scored.
+letters that a character may stand for, nothing for a mark, one or two letters for a run, and for the blanks between single characters
+nothing or a word's end. A Viterbi search over letter pairs finds the likeliest reading, of any length, under a character trigram
+model, whose counts cover all documents. The restored text is scored.
 
 The scorer's lexicon (words and word beginnings) comes from one half of the training labels, its logistic weights from the other.
 """
@@ -42,8 +43,7 @@ _EITHER = "$!|+@€"
 _SOFT = "".join(set(_EDGE) - set(_EITHER))
 _BREAK = re.compile(r"[^\w@$!|+€]+")
 _SINGLE = re.compile(b"\1+")
-#: Characters of a spaced run that are read at once, and from one reading's start to the next one's: words under 40 letters are inside of one.
-_WINDOW, _STEP = 64, 24
+_WORD, _BLANKS = re.compile(r"\S+"), re.compile(r"\s+")
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -78,11 +78,17 @@ def _class(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else (0 if not ch.isalpha() else 27)
 
 
-def _lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """Of spaced letters, without their spaces: between two steps there is nothing or a word's end, and marks may be one."""
+def _lattice(token: str) -> list[list[tuple[str, float]]]:
+    """Steps of a lower-case token, or of single characters between blanks. A blank between them is nothing or a word's end, two
+    blanks are rather a word's end, and marks may be one."""
+    spaced = " " in token
     steps: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"(.)\1*", token):
-        ch, run = m[1], len(m[0])
+    for m in re.finditer(r"(\S)(?: ?\1)*|( +)" if spaced else r"(.)\1*", token):
+        ch = m[1]
+        if ch is None:
+            steps.append([("", COSTS["same" if len(m[0]) == 1 else "edge"]), (" ", COSTS["same"])])
+            continue
+        run = m[0].count(ch)
         readings = [(ch, COSTS["same"])] if ch.isalpha() else []
         readings += [(x, COSTS["leet"]) for x in LEET.get(ch, "")]
         if run >= 3:
@@ -94,23 +100,21 @@ def _lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
         if spaced:
             options += [(x + " " + x, c * 2) for x, c in readings if run > 1]
             if not ch.isalnum():
-                options.append((" ", COSTS["same"]))
-            if steps:
-                steps.append([("", COSTS["same"]), (" ", COSTS["same"])])
+                options.append((" ", COSTS["mark" if readings else "same"]))
         steps.append(options)
     return steps
 
 
-def restore(token: str, model: np.ndarray, spaced: bool = False) -> str:
-    """The likeliest plain reading of a lower-case token without white space; of spaced letters, words between spaces."""
-    return _reading(token, model, spaced)[1]
+def restore(token: str, model: np.ndarray) -> str:
+    """The likeliest plain reading of a lower-case token; of single characters between blanks, words between blanks."""
+    return _reading(token, model)[1]
 
 
-def _reading(token: str, model: np.ndarray, spaced: bool = False) -> tuple[float, str]:
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in _lattice(token, spaced):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, out) in best.items():
+def _reading(token: str, model: np.ndarray) -> tuple[float, str]:
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # last two classes: cost, and the path there
+    for options in _lattice(token):
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in best.items():
             for letters, more in options:
                 p, q, total = a, b, cost + more
                 for ch in letters:
@@ -119,35 +123,39 @@ def _reading(token: str, model: np.ndarray, spaced: bool = False) -> tuple[float
                     p, q = q, r
                 key = (p, q)
                 if key not in new or total < new[key][0]:
-                    new[key] = (total, out + letters)
+                    new[key] = (total, (path, letters))
         best = new
-    return min((cost + model[a, b, 0], out) for (a, b), (cost, out) in best.items())
+    cost, path = min(((cost + model[a, b, 0], path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
+    letters = []
+    while path:
+        path, last = path
+        letters.append(last)
+    return cost, "".join(reversed(letters))
 
 
 class Deobfuscator(dict):
     """Raw token to plain word: its marks at the edges stripped, and restored if it is disguised.
 
-    Tokens seen before are looked up; ``disguised`` has those among them that were restored. ``also`` has a second reading of
-    tokens with symbols at an edge: as letters ($hit). ``spaced`` has the words of windows of spaced letters."""
+    Tokens seen before are looked up, until they take ``most`` characters; ``disguised`` has those among them that were restored. ``also``
+    has a second reading of tokens with symbols at an edge: as letters ($hit). ``spaced`` has the words of runs of single characters."""
 
-    def __init__(self, model: np.ndarray, most: int = 200_000):
-        self.model, self.most, self.disguised, self.also, self.spaced = model, most, set(), {}, {}
+    def __init__(self, model: np.ndarray, most: int = 8_000_000):
+        self.model, self.most, self.held, self.disguised, self.also, self.spaced = model, most, 0, set(), {}, {}
 
     def __missing__(self, token: str) -> str:
         outer = token.strip(_SOFT)
         word = core = outer.strip(_EDGE + _EITHER)
-        # longer tokens are no words; they stay as they are
-        if len(outer) <= 64:
-            if _RUN.search(core) if core.isalpha() else _ODD.search(core) or _RUN.search(core):
-                word = restore(core, self.model)
-                self.disguised.add(token)
-            if outer != core and any(map(str.isalpha, core)):
-                cost, letters = _reading(outer, self.model)
-                if letters != word:
-                    self.also[token] = letters
-                    if cost < _reading(core, self.model)[0] + (COSTS["edge"] if outer.rstrip("!") != core else 0.0):
-                        self.disguised.add(token)
+        if _RUN.search(core) if core.isalpha() else _ODD.search(core) or _RUN.search(core):
+            word = restore(core, self.model)
+            self.disguised.add(token)
+        if outer != core and any(map(str.isalpha, core)):
+            cost, letters = _reading(outer, self.model)
+            if letters != word:
+                self.also[token] = letters
+                if cost < _reading(core, self.model)[0] + (COSTS["edge"] if outer.rstrip("!") != core else 0.0):
+                    self.disguised.add(token)
         self[token] = word
+        self.held += len(token) + 20
         return word
 
     def readings(self, token: str) -> tuple[str, ...]:
@@ -156,12 +164,14 @@ class Deobfuscator(dict):
 
     def read(self, text: str) -> tuple[set[str], int]:
         """The distinct raw tokens of a text, with the words of spaced letters, and how many of them are disguised."""
-        if len(self) + len(self.also) + len(self.spaced) > self.most:
+        if self.held > self.most:
+            self.held = 0
             for known in (self, self.disguised, self.also, self.spaced):
                 known.clear()
-        words = text.lower().split()
+        text = text.lower()
+        words = text.split()
         tokens = set(words)
-        joined, more = set(), set()
+        joined, starts = set(), None
         for m in _SINGLE.finditer(bytes([min(len(w), 2) for w in words])):
             first, end = m.span()
             # the token before belongs to the run if it is a character after marks, the token after it if one before marks
@@ -173,31 +183,21 @@ class Deobfuscator(dict):
                 continue
             run = "".join(words[first:end])
             if sum(c.isalnum() or c in LEET for c in run) >= 3 and any(map(str.isalpha, run)):
+                starts = starts or [w.start() for w in _WORD.finditer(text)]
                 joined.add(run)
-                more |= self._words(run)
-                more.update(part for part in _BREAK.split(run) if 3 <= len(part) < len(run) and len(part) <= 64)
-        tokens |= more
-        tokens.update(run for run in joined if len(run) <= 64)
+                tokens |= self._words(_BLANKS.sub(lambda b: " " if len(b[0]) == 1 else "  ", text[starts[first] : starts[end - 1] + len(words[end - 1])]))
+                tokens.update(part for part in _BREAK.split(run) if 3 <= len(part) < len(run))
+        tokens |= joined
         for t in tokens:
             self[t]  # noqa: B018  looks the token up
         return tokens, len(self.disguised & tokens) + len(joined - self.disguised)
 
     def _words(self, run: str) -> set[str]:
-        """The words of spaced letters, read window by window; words cut by a window's edge are inside of another window."""
-        found: set[str] = set()
-        for at in range(0, max(len(run) - _WINDOW + _STEP, 1), _STEP):
-            part = run[at : at + _WINDOW]
-            if part not in self.spaced:
-                # letters other than a to z are one class, which has no word's ends to find
-                self.spaced[part] = restore(part, self.model, True) if any("a" <= c <= "z" for c in part) else ""
-            text = self.spaced[part]
-            some = text.split()
-            if at and not text.startswith(" "):
-                del some[:1]
-            if at + _WINDOW < len(run) and not text.endswith(" "):
-                del some[-1:]
-            found.update(some)
-        return found
+        if run not in self.spaced:
+            # letters other than a to z are one class, which has no word's ends to find
+            self.spaced[run] = set(restore(run, self.model).split()) if any("a" <= c <= "z" for c in run) else set()
+            self.held += 2 * len(run)
+        return self.spaced[run]
 
 
 def words_of(text: str, deobfuscate: Deobfuscator) -> set[str]:
@@ -207,7 +207,7 @@ def words_of(text: str, deobfuscate: Deobfuscator) -> set[str]:
 
 def beginnings(word: str) -> list[str]:
     """A word's features: itself, marked by =, and its beginnings of 4 to 7 letters."""
-    return ["=" + word[:64], *(word[:k] for k in range(4, min(len(word), 8)))]
+    return ["=" + word, *(word[:k] for k in range(4, min(len(word), 8)))]
 
 
 @dataclass
@@ -221,9 +221,15 @@ class _Weights(dict):
     """Plain word to its largest weight; of raw tokens, that of all their readings, if they are read through a deobfuscator."""
 
     def __init__(self, lexicon: dict[str, float], plain: Deobfuscator | None = None):
-        self.lexicon, self.plain = lexicon, plain
+        self.lexicon, self.plain, self.held = lexicon, plain, 0
+
+    def forget(self, most: int) -> None:
+        if self.held > most:
+            self.clear()
+            self.held = 0
 
     def __missing__(self, token: str) -> float:
+        self.held += len(token) + 20
         words = (token,) if self.plain is None else self.plain.readings(token)
         w = self[token] = max((self.lexicon.get(x, 0.0) for word in words if word for x in beginnings(word)), default=0.0)
         return w
@@ -236,16 +242,18 @@ def features(words: set[str], weights: dict[str, float]) -> list[float]:
 
 
 def train(
-    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 40_000, most_entries: int = 50_000, least_seen: int = 4, least_z: float = 3.0
+    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 40_000, least_seen: int = 4, least_z: float = 3.0
 ) -> Model:
     """labelled: doc_id, label (0 or 1; others are ignored). At most about most_rows labelled rows are used, chosen by a hash of the
-    id; the lexicon has at most most_entries entries. Without rows of both labels the lexicon is empty and scores are even."""
+    id; of rows with one id that with the least hash of its text. The lexicon has the entries that the toxic rows of that sample have least_seen
+    times, and significantly more often. Without rows of both labels the lexicon is empty and scores are even."""
     language = language_model(character_counts(docs, text_col))
     labelled = labelled.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     share = min(1.0, most_rows / max(1, labelled.count()))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
     chosen = labelled.filter(draw < int(share * 1_000_000)).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id").cast("string")), F.lit(2)))
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # bounded by most_rows
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("t").alias("th"), "t", "label", "half")).alias("one")).select("one.*")
 
     def tokens(batches):
         deobfuscate = Deobfuscator(language)
@@ -269,7 +277,7 @@ def train(
         counts = seen.groupBy("entry").agg(F.sum("label").alias("b"), F.count("*").alias("n")).filter(F.col("b") >= least_seen)
         odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("b") + 0.5) / (good + 1))
         z = odds / F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("n") - F.col("b") + 0.5))
-        best = counts.select("entry", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= least_z) & (F.col("odds") > 1)).orderBy(F.desc("z"), "entry").limit(most_entries)
+        best = counts.select("entry", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= least_z) & (F.col("odds") > 1))
         lexicon = {r.entry: float(r.odds) for r in best.collect()}
 
     def measured(batches):
@@ -297,7 +305,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 6
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, score, predicted, n_restored, th, and row, a struct of the columns to keep, if any. Null texts count as empty; empty texts get the score of a
-    text without any toxic word. Repeated rows score alike, an empty table gives no rows, other columns are not read."""
+    text without any toxic word. Whole texts are read, tokens and spaced runs of any length too. Repeated rows score alike, an empty table
+    gives no rows, other columns are not read."""
     rows = texts(docs, id_col, text_col, keep).withColumn("th", F.xxhash64("t"))
     carried = ["row"] if keep else []
     language, lexicon, coefficients = model.language, model.lexicon, model.weights
@@ -309,8 +318,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             x, restored = [], []
             for t in b.column("t").to_pylist():
                 tokens, n = deobfuscate.read(t.decode("utf-8", "replace"))
-                if len(weights) > deobfuscate.most:
-                    weights.clear()
+                weights.forget(deobfuscate.most)
                 x.append(features(tokens, weights))
                 restored.append(n)
             p = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, 7) @ coefficients, -30, 30)))
