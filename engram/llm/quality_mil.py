@@ -110,20 +110,18 @@ class Network:
                     self.p[k] -= rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000, most_passages: int = 64) -> Network:
-    """labelled: doc_id, label (0 or 1). At most about most_rows labelled rows are used, chosen by a hash of the id; of a longer
-    training document most_passages passages, evenly spaced. Scoring has no such bound."""
+def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000) -> Network:
+    """labelled: doc_id, label (0 or 1). At most about most_rows labelled rows are used, chosen by a hash of the id; of rows with
+    one id that with the least hash of its text. Of those every passage is read. Ties and repeats in the sample count as rows of their own ids."""
     labelled = labelled.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     share = min(1.0, most_rows / max(1, labelled.count()))
     chosen = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # bounded by most_rows
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("t").alias("th"), "t", "label")).alias("one")).select("one.*")
 
     def bags(batches):
         for b in batches:
-            out = []
-            for t in b.column("t").to_pylist():
-                x = passages(t)
-                out.append(x[np.unique(np.linspace(0, len(x) - 1, most_passages).astype(int))].tobytes())
+            out = [passages(t).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(out, pa.binary())], ["label", "bag"])
 
     sample = rows.mapInArrow(bags, "label int, bag binary").toPandas()
@@ -147,14 +145,16 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
         own = Network()
         own.p, own.mean, own.scale = p, mean, scale
         for b in batches:
-            found = [[], [], [], []]
-            for t in b.column("t").to_pylist():
-                x = passages(t)
-                logits, kept = own.forward(x, np.array([0]))
-                q = float(1 / (1 + np.exp(-np.clip(logits[0], -30, 30))))
-                for column, value in zip(found, (q, int(q >= 0.5), len(x), int(kept[4].argmax())), strict=True):
-                    column.append(value)
+            bags = [passages(t) for t in b.column("t").to_pylist()]
+            if not bags:
+                continue
+            sizes = np.array([len(x) for x in bags])
+            first = np.cumsum(sizes) - sizes
+            logits, kept = own.forward(np.concatenate(bags), first)
+            q = 1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -30, 30)))
+            top = [int(kept[4][i : i + n].argmax()) for i, n in zip(first.tolist(), sizes.tolist(), strict=True)]
             kinds = (pa.float64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], ["doc_id", "score", "predicted", "n_passages", "top_passage"])
+            columns = (q, (q >= 0.5).astype(np.int32), sizes, top)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "score", "predicted", "n_passages", "top_passage"])
 
     return rows.mapInArrow(scored, f"doc_id {id_type(rows)}, score double, predicted int, n_passages bigint, top_passage bigint")
