@@ -117,6 +117,64 @@ def test_license_scan(spark, hard, none):
     assert all(0 <= r.score <= 1 for r in found.collect())
 
 
+def brute_notices(text, index, rarest=8):
+    """Every start is tried, by the definition."""
+    words, out = license_scan.plain_words(text.encode()), []
+    for t in index.templates:
+        here = [w for w in sorted(set(t.words), key=lambda w: (-index.idf[w], w)) if w in words]
+        if any(w not in words for _, key in t.keys for w in key) or sum(w in words for w in t.words) < 0.6 * len(t.words):
+            continue
+        own, drift = here[:rarest], range(-t.drift, t.drift + 1)
+        near = lambda s, i, w, drift: any(0 <= s + i + d < len(words) and words[s + i + d] == w for d in drift)
+        votes = lambda s, drift: sum(any(near(s, i, w, drift) for i, x in enumerate(t.words) if x == w) for w in own)
+        least = len(own) if t.base else min(len(own), max(2, math.ceil(len(own) / 2)))
+        rows, last = [], None
+        for s in range(-len(t.words) - 4, len(words) + 4):
+            if votes(s, drift) >= least:
+                if t.drift and last == s - 1:
+                    rows[-1].append(s)
+                else:
+                    rows.append([s])
+                last = s
+        for row in rows:
+            s = max(row, key=lambda s: (votes(s, [0]), -s))
+            keys = all(any(s + i + d >= 0 and words[s + i + d : s + i + d + len(key)] == key for d in drift) for i, key in t.keys)
+            share = sum(near(s, i, w, drift) for i, w in enumerate(t.words)) / len(t.words)
+            if keys and share >= 0.6:
+                out.append((s, t.label, round(share, 9)))
+    return sorted(out)
+
+
+def test_notices_against_brute_force(spark):
+    notices = [(label, notice) for label, notice, _ in license_scan.NOTICES]
+    r = np.random.default_rng(4)
+    rows = []
+    for label, notice in notices:
+        words = notice.split()
+        rows += [notice.upper(), "some words before; " + notice + " and after", " ".join(words[len(words) // 3 :]), " ".join(words[: 2 * len(words) // 3])]
+        for changes in (1, 3, 8):
+            new = list(words)
+            for _ in range(changes):
+                k = int(r.integers(0, len(new)))
+                new[k : k + int(r.integers(0, 3))] = [str(w) for w in r.choice(words, int(r.integers(0, 3)))]
+            rows.append("x y z " + " ".join(new) + " (" + " ".join(r.choice(words, 30)) + ") " + notice)
+    mpl = next(n for label, n in notices if label == "mpl")
+    rows += ["we compare it with the mozilla public license here", mpl.replace("mozilla public", "public"), "a word " * 50 + (mpl + " ") * 3, "", "license " * 500]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    index = license_scan.build_index(df)
+    assert index.idf[b"mozilla"] > index.idf[b"license"]
+    found = {row.doc_id: row for row in license_scan.scan(df, index).collect()}
+    for k, text in enumerate(rows):
+        wanted = brute_notices(text, index)
+        assert sorted((p.start, p.label, round(p.agreement, 9)) for p in found[k].places) == wanted, text
+        assert found[k].labels == ",".join(sorted({label for _, label, _ in wanted}))
+        assert found[k].score == (1.0 if found[k].n_base else pytest.approx(max((s for _, _, s in wanted), default=0.0)))
+    assert all(label in found[7 * k].labels.split(",") for k, (label, _) in enumerate(notices))
+    prose, cut, thrice = (found[7 * len(notices) + k] for k in range(3))
+    assert prose.labels == "" and prose.score == 0 and cut.labels == "mpl" and 0.9 < cut.score < 1
+    assert [p.label for p in thrice.places] == ["mpl"] * 3
+
+
 # 3
 
 
@@ -277,7 +335,8 @@ def reader(spark):
         ("idio77 an7 b455", {"idiott", "bass"}), ("the 1diot5here", {"idiotshere"}), ("!diot", {"idiot"}), ("cl0wn$", {"clowns"}), ("na+ion+", {"nationt"}), ("b@$$ ba$$", {"bass"}),
         ("y o u i d i o t", {"you", "idiot"}), ("so y o u a r e a w o r t h l e s s m o r o n", {"worthless", "moron"}),
         ("t h e g o o d p e o p l e o f t h e n a t i o n " * 6 + "a n d t h e w o r t h l e s s m o r o n", {"people", "nation", "worthless", "moron"}),
-        ("m 0 r 0 n", {"moron"}), ("x! (hello) a", {"hello"}),
+        ("m 0 r 0 n", {"moron"}), ("x! (hello) a", {"hello"}), ("1 d ! 0 t", {"idiot"}), ("y o u  i d i o t", {"you", "idiot"}), ("m o r  o n", {"moron"}),
+        ("y o u a r e a n i d i o t o f t h e n a t i o n " * 9, {"you", "idiot", "nation"}), ("1.d.1.o.t." * 7, {"idiot" * 7}), ("m o o o r o n", {"moron"}),
     ],
 )
 def test_each_disguise(reader, text, found):
