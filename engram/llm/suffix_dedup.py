@@ -10,8 +10,9 @@ the prefix that it shares with the one before it, and the rest. The tasks of the
 of the grams with a loser tree that keeps with each loser how long a prefix it shares with the suffix that beat it:
 suffixes of different lengths there are ordered without looking at them, others are compared only from there on.
 
-Windows of a gram are then decided from the shared prefixes of the sorted suffixes and the bytes left of the anchors. A gram
-with very many different segments is dealt window by window instead, by the hash of the window.
+Windows of a gram are then decided from the shared prefixes of the sorted suffixes and the bytes left of the anchors. The windows
+of a gram with very many different segments are counted instead, by 128 bits of hash, with map-side combining, so that no group
+of them gathers.
 """
 
 from __future__ import annotations
@@ -54,12 +55,16 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """first, last window, anchor and gram hash of each segment, in order; they cover all windows of the text."""
+def anchors(text: bytes, length: int, most: int = 1 << 23) -> tuple[np.ndarray, ...]:
+    """first, last window, anchor and gram hash of each segment, in order; they cover all windows of the text. Of longer texts
+    ``most`` windows are looked at once; a segment ends there."""
     if len(text) < length:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    if len(text) - length >= most:
+        parts = [(at, anchors(text[at : at + most + length - 1], length, most)) for at in range(0, len(text) - length + 1, most)]
+        return (*(np.concatenate([p[k] + at for at, p in parts]) for k in range(3)), np.concatenate([p[3] for _, p in parts]))
     h = gram_hashes(text)
-    place = np.uint64((1 << 30) - 1)  # texts have less than 2 ** 30 bytes
+    place = np.uint64((1 << 30) - 1)  # more than there are places
     least = _sliding_min((h & ~place) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1) & place
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     anchor = least[first].astype(np.int64)
@@ -225,7 +230,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     kinds = written(entries.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("row", "p", "d")).alias("one")))
     families = kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
     to_sort = kinds.join(families, "h").select("h", "s", "one.*", (F.col("m") > share).alias("large"))
-    buckets = max(1, families.agg(F.sum("m")).first()[0] or 0) // share + 1
+    all_of, largest = families.agg(F.sum("m"), F.max("m")).first()
+    buckets = max(1, all_of or 0) // share + 1
 
     of_row = to_sort.groupBy("row").agg(F.collect_list(F.struct("h", "s", "p", "d", "large")).alias("own")).join(names, "row")
     a, b = rows.alias("a"), of_row.alias("b")
@@ -243,14 +249,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         for b in batches:
             for text, own in zip(b.column("t").to_pylist(), b.column("own").to_pylist(), strict=True):
                 for e in own:
-                    h, s, p, least, most = e["h"], e["s"], e["p"], e["d"] & 0xFFFF, e["d"] >> 16
-                    if e["large"]:  # window by window, dealt by what is in them
-                        for d in range(least, most + 1):
-                            window = text[p - d : p - d + length]
-                            dealt[buckets + xxhash.xxh64_intdigest(window) % (4 * buckets)][h, s, d] = (window, b"", h, s, d, d)
-                            held += length + 100
-                    else:
-                        dealt[h % buckets][h, s, -1] = (text[p : p - least + length], text[p - most : p], h, s, least, most)
+                    if not e["large"]:
+                        h, s, p, least, most = e["h"], e["s"], e["p"], e["d"] & 0xFFFF, e["d"] >> 16
+                        dealt[h % buckets][h, s] = (text[p : p - least + length], text[p - most : p], h, s, least, most)
                         held += length + most + 100
             if held > run_bytes:
                 yield from run()
@@ -259,21 +260,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         yield from run()
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
-        by_window = int(group["bucket"].iloc[0]) >= buckets
         found: dict[tuple[int, int], list] = defaultdict(list)
 
         def close(family: list[tuple]) -> None:
             if len(family) > 1:
-                if by_window:  # equal windows, from different segments
-                    for e in family:
-                        found[e[3], e[4]].append((e[5], e[6]))
-                else:
-                    for key, ranges in decide(family, length).items():
-                        found[key] += ranges
+                for key, ranges in decide(family, length).items():
+                    found[key] += ranges
 
         family: list[tuple] = []
         for entry in merge([decode(run) for run in group.to_dict("records")]):
-            if entry[1] < (length if by_window else GRAM):
+            if entry[1] < GRAM:
                 close(family)
                 family = []
             family.append(entry)
@@ -281,8 +277,27 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         flat = [(h, s, a, b) for (h, s), ranges in found.items() for a, b in joined_ranges(ranges)]
         return pd.DataFrame(flat, columns=["h", "s", "least", "most"]).astype({"h": "int64", "s": "int64", "least": "int32", "most": "int32"})
 
+    def windows(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for text, own in zip(b.column("t").to_pylist(), b.column("own").to_pylist(), strict=True):
+                for e in own:
+                    if e["large"]:
+                        for d in range(e["d"] & 0xFFFF, (e["d"] >> 16) + 1):
+                            w = xxhash.xxh128_intdigest(text[e["p"] - d : e["p"] - d + length])
+                            for column, value in zip(out, (e["h"], e["s"], d, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)), strict=True):
+                                column.append(value)
+            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["h", "s", "d", "w1", "w2"])
+
+    if (largest or 0) > share:
+        with_text = written(with_text)
     runs = with_text.mapInArrow(sorted_runs, _RUN)
     shared = runs.groupBy("bucket").applyInPandas(merged, "h bigint, s bigint, least int, most int")
+    if (largest or 0) > share:  # equal windows of different segments
+        single = written(with_text.mapInArrow(windows, "h bigint, s bigint, d int, w1 bigint, w2 bigint"))
+        repeated = written(single.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
+        shared = shared.unionByName(single.join(repeated, ["w1", "w2"]).select("h", "s", F.col("d").alias("least"), F.col("d").alias("most")))
     whole = kinds.filter("n > 1").select("h", "s", F.col("one.d").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("least"), F.shiftright("one.d", 16).cast("int").alias("most"))
     ranges = whole.unionByName(shared).groupBy("h", "s").agg(F.collect_list(F.struct("least", "most")).alias("ranges"))
     ranges = written(ranges)
