@@ -6,8 +6,8 @@ at most one in the first five. So two segments and one half of the next three ar
 for each of the 8 starts. Within a key the whole chain is tested before the full Hamming distance.
 
 Copies collapse to one fingerprint before the join. Each key yields a spanning forest of its links, not all its pairs;
-keys with very many fingerprints are dealt again by a further 9 bits, of which any link keeps one of four. Components of
-the links are found by alternating large-star and small-star rounds over tables in the shared folder.
+keys with very many fingerprints are dealt again by a further 9 bits, of which any link keeps one of four, and what still has very
+many is compared in pairs of blocks, each pair in a group of its own. Components of the links are found by alternating large-star and small-star rounds over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -127,9 +127,20 @@ def links(distinct_prints: DataFrame, large: int = 4096) -> DataFrame:
     inner = F.when(half == 0, F.shiftrightunsigned(turned, 24)).otherwise(F.shiftrightunsigned(turned, 36)).bitwiseAND(F.lit(0xFFF))
     hot = hot.withColumn("rest", F.shiftleft(turned.bitwiseAND(F.lit((1 << 24) - 1)), 12).bitwiseOR(inner))
     parts = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(rest, 9 * i).bitwiseAND(F.lit(511)).alias("nine")) for i in range(4)])
-    dealt = hot.select("key", "fp", F.explode(parts).alias("part")).groupBy("key", "part").agg(F.collect_list("fp").alias("fps"))
-    lists = usual.unionByName(dealt.select("key", "fps")).filter(F.size("fps") > 1)
-    return _links_of(lists).distinct()
+    lists = usual
+    if not hot.isEmpty():
+        dealt = written(hot.select("key", "fp", F.explode(parts).alias("part")))
+        sizes = written(dealt.groupBy("key", "part").agg(F.count("*").alias("n")).filter("n > 1"))
+        dealt = written(dealt.join(sizes, ["key", "part"]))
+        small = dealt.filter(F.col("n") <= large).groupBy("key", "part").agg(F.collect_list("fp").alias("fps"))
+        # blocks of half the bound; each fingerprint goes to all pairs of its block
+        count = F.ceil(2 * F.col("n") / large).cast("int")
+        block = F.pmod(F.xxhash64("fp"), count).cast("int")
+        blocks = dealt.filter(F.col("n") > large).select("key", "part", "fp", block.alias("block"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+        pair = F.struct(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+        pairs = blocks.groupBy("key", "part", pair.alias("pair")).agg(F.collect_list("fp").alias("fps"))
+        lists = lists.unionByName(small.select("key", "fps")).unionByName(pairs.select("key", "fps"))
+    return _links_of(lists.filter(F.size("fps") > 1)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty. Texts without words have fingerprint zero and link like any other. Equal fingerprints,
     repeated rows included, are in one component. Null ids: the component's smallest id that isn't null, null if there is
-    none. An empty table gives no rows; other columns are not read.
+    none. Texts of any length are read whole. An empty table gives no rows; other columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, width))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
