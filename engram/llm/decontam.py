@@ -112,22 +112,27 @@ def contamination(
     item "null". Repeated items and rows change nothing. Empty tables: no hit, or no rows. item_ids: the hit items, sorted
     as strings; spans: the hit runs of words as [from, to).
 
-    The benchmark's fingerprints are broadcast only if their counted rows fit small_bytes; beyond that they are shuffled.
+    The benchmark's fingerprints are broadcast only if their counted rows fit small_bytes, its texts only if their counted bytes do;
+    beyond that they are shuffled. Of a document and an item all shifts are collected before the item's text joins, once.
+    Texts of any length are read whole.
     """
     rows = texts(docs, id_col, text_col, keep).withColumn("th", F.xxhash64("t"))
     carried = ["row"] if keep else []
-    bench = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t")).distinct()
-    bench = written(bench.withColumn("item_th", F.xxhash64("t")))
+    bench = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
+    bench = written(bench.groupBy("t").agg(F.collect_set("item").alias("items")).withColumn("item_th", F.unhex(F.sha2("t", 256))))  # a row for each text
     counted = bench.mapInArrow(_lengths(window), "span int").distinct()
     spans = sorted(r.span for r in counted.collect())  # at most as many as the window has words
-    tests = written(_fingerprints(bench, [], window, ["item", "item_th"]))
-    size = tests.count() * 64  # bytes of a row, with what the hash table adds
-    few = (lambda df: F.broadcast(df)) if size <= small_bytes else (lambda df: df)
+    tests = written(_fingerprints(bench, [], window, ["item_th"]))
+    # bytes of a row, with what the hash table adds
+    few = (lambda df: F.broadcast(df)) if tests.count() * 128 <= small_bytes else (lambda df: df)
+    size = bench.select(F.sum(F.length("t") + F.length(F.concat_ws(",", "items")) + 24 * F.size("items") + 128)).first()[0] or 0
+    few_texts = (lambda df: F.broadcast(df)) if size <= small_bytes else (lambda df: df)
     tests = tests.withColumnRenamed("place", "item_place")
     prints = _fingerprints(rows.select("doc_id", "th", "t"), spans, None, ["doc_id", "th"])
-    hits = prints.join(few(tests), "hash").select("doc_id", "th", "item", "item_th", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    extended = hits.join(few(bench) if bench.count() * 4096 <= small_bytes else bench, ["item", "item_th"])
-    found = extended.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item", "shift", F.col("t").alias("words"))).alias("hits"))
+    hits = prints.join(few(tests), "hash").select("doc_id", "th", "item_th", (F.col("place") - F.col("item_place")).alias("shift"))
+    shifts = hits.groupBy("doc_id", "th", "item_th").agg(F.collect_set("shift").alias("shifts"))
+    extended = shifts.join(few_texts(bench), "item_th")
+    found = extended.groupBy("doc_id", "th").agg(F.collect_list(F.struct("items", "shifts", F.col("t").alias("words"))).alias("hits"))
     a, b = rows.alias("a"), found.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left").select("a.*", "b.hits")
 
@@ -140,21 +145,19 @@ def contamination(
                 if not hits:
                     out.append((n, 0, [], []))
                     continue
-                doc, own, runs, named = _hashed(words), {}, [], set()
+                doc, runs, named = _hashed(words), [], set()
                 exact = np.array(words, object)
                 for hit in hits:
-                    if hit["words"] not in own:
-                        own[hit["words"]] = plain_words(hit["words"])
-                    item = own[hit["words"]]
-                    span = min(window, len(item))
-                    for x, y in _marks(doc, _hashed(item), hit["shift"], span):
-                        # the hashes agree; the words themselves decide
-                        same = np.array(item[x - hit["shift"] : y - hit["shift"]], object) == exact[x:y]
-                        edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
-                        sure = [(x + p, x + q) for p, q in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if q - p >= span]
-                        runs += sure
-                        if sure:
-                            named.add(hit["item"])
+                    item = plain_words(hit["words"])
+                    item_hashes, span, before = _hashed(item), min(window, len(item)), len(runs)
+                    for shift in hit["shifts"]:
+                        for x, y in _marks(doc, item_hashes, shift, span):
+                            # the hashes agree; the words themselves decide
+                            same = np.array(item[x - shift : y - shift], object) == exact[x:y]
+                            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
+                            runs += [(x + p, x + q) for p, q in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if q - p >= span]
+                    if len(runs) > before:
+                        named.update(hit["items"])
                 merged: list[list[int]] = []
                 for x, y in sorted(runs):
                     if merged and x <= merged[-1][1]:
