@@ -34,6 +34,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         size.alias("d0"),
         ((size - 1 - chars) * 1_000_000 / size).cast("long").alias("d1"),
         lines.alias("d2"),
+        (F.rand(7) * (1 << 40)).cast("long").alias("salt"),
     )
 
 
@@ -117,10 +118,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     tie = F.when(F.col("hash").isin(large), row_hash).otherwise(F.col("hash")) if large else F.col("hash")
     low = tie.bitwiseAND(F.lit((1 << 31) - 1))
     placed = rows.select("*", *[(F.shiftleft(F.least(F.col(f"d{d}"), F.lit((1 << 31) - 1)), 31) + low).alias(f"k{d}") for d in range(DIMENSIONS)])
-    dealt = placed.select("doc_id", "size", "text_crc32", "hash", _splits(placed, shards, tolerance).alias("shard"))
+    dealt = placed.select("doc_id", "size", "text_crc32", "hash", "salt", _splits(placed, shards, tolerance).alias("shard"))
     # slots: rows are counted in buckets, and numbered in each bucket after those before it
     buckets = max(1, -(-total[1] // (rows_a_bucket * shards)))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(buckets)))
+    dealt = dealt.withColumn("bucket", F.pmod("salt", F.lit(buckets)))  # even where ids are null or repeated
     counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     counts = counts.select("shard", "bucket", before.alias("before"))
