@@ -139,7 +139,7 @@ class Deobfuscator(dict):
     Tokens seen before are looked up, until they take ``most`` characters; ``disguised`` has those among them that were restored. ``also``
     has a second reading of tokens with symbols at an edge: as letters ($hit). ``spaced`` has the words of runs of single characters."""
 
-    def __init__(self, model: np.ndarray, most: int = 8_000_000):
+    def __init__(self, model: np.ndarray, most: int = 5_000_000):
         self.model, self.most, self.held, self.disguised, self.also, self.spaced = model, most, 0, set(), {}, {}
 
     def __missing__(self, token: str) -> str:
