@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.shared import remove, scratch, shared_dir, written  # noqa: F401  the operators take them from here
+
 #: Bytes that are no word bytes: \x00-\x2F \x3A-\x60 \x7B-\x7F (after A-Z became a-z).
 _TO_WORDS = bytes(
     ord(chr(b).lower()) if 0x41 <= b <= 0x5A else (b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20)
@@ -24,28 +23,6 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share.
-
-    The cluster names its parent in spark.checkpoint.dir. Where that is unset, a temporary folder is only taken in
-    local mode, in which driver and executors are one process.
-    """
-    parent = spark.conf.get("spark.checkpoint.dir", None)
-    if not parent:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        parent = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", parent)
-    return f"{parent.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, read by several branches, safe when executors are lost."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Only what the operators read: doc_id, and t, the text as UTF-8 bytes (null: empty). keep: columns to carry along, in a
     struct named row, so that their names can't clash with others."""

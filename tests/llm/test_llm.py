@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,31 @@ def test_suffix_dedup_hard(spark, hard, none, share, monkeypatch):
     assert not suffix_dedup.without_repeats(none).count()
 
 
+def test_segments_of_long_texts_cover_all_windows():
+    r = np.random.default_rng(6)
+    text = bytes(r.integers(97, 101, 3000).astype(np.uint8)) + b"ab" * 700
+    h = suffix_dedup.gram_hashes(text)
+    for most in (1 << 23, 500, 1):
+        first, last, anchor, grams = suffix_dedup.anchors(text, 200, most)
+        covered = [w for a, b in zip(first, last, strict=True) for w in range(a, b + 1)]
+        assert covered == list(range(len(text) - 199))
+        for a, b, p, g in zip(first, last, anchor, grams, strict=True):
+            for w in range(a, b + 1):  # of grams whose upper bits are equal the first counts
+                upper = h[w : w + 153] >> np.uint64(30)
+                assert p == w + int(upper.argmin()) and g == h[p]
+
+
+def test_one_window_in_very_many_contexts(spark):
+    """A line in 3,000 different contexts: its windows are counted, not gathered."""
+    r = np.random.default_rng(8)
+    line = "a boilerplate line that stands in very many documents, word for word, and is longer than two hundred bytes, so that all of it goes; " * 2
+    noise = lambda: "".join(map(chr, r.integers(97, 123, 60)))
+    rows = [(i, f"{noise()} {line}{noise()}") for i in range(3000)]
+    spans, names = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 200, share=50)
+    found = suffix_dedup.without_repeats(spark.createDataFrame(rows[:400], "doc_id long, text string").repartition(6))
+    assert rows_of(found, *OP1) == brute_repeats(rows[:400]) and spans.count() == names.count() == 3000
+
+
 def test_loser_tree_keeps_shared_prefixes():
     r = np.random.default_rng(1)
     runs = [sorted((bytes(r.integers(97, 99, r.integers(1, 12)).astype(np.uint8)), b"l", i, j, 0, 1) for j in range(r.integers(0, 40))) for i in range(7)]
@@ -483,7 +509,7 @@ def test_simhash(spark, hard, none):
     assert not simhash.near_duplicates(none).count()
 
 
-@pytest.mark.parametrize("large", [4096, 3])
+@pytest.mark.parametrize("large", [4096, 40, 3])
 def test_pigeonring_loses_no_link(spark, large):
     r = np.random.default_rng(5)
     base = r.integers(0, 2**63, 60).astype(np.uint64)
@@ -605,8 +631,87 @@ def test_one_of_each_near_group_stays(spark):
         assert sorted((r.doc_id or 0) for r in kept) == sorted([ids[0] or 0, 5, 9]) and other in {r.text for r in kept}
 
 
-def test_pipeline_stages_keep_hard_rows(spark, hard):
+CLASHES = ["own_hash", "times", "row", "t", "th", "rank", "score", "predicted", "root", "hits"]
+
+
+def test_pipeline_stages_on_hard_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows, columns with the operators' own names."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, t, *["x"] * len(CLASHES)) for i, t in HARD], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)).repartition(3)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=repr)
+    model = queries.toxicity_model(docs, spark, SMALL)
+    assert ids(p.clean(spark, docs, SMALL)) == ids(toxicity.score(docs, model).filter("predicted = 0"))
+    assert ids(p.distinct(spark, docs, SMALL)) == sorted((x[0] for x in brute_copies(HARD) if x[3]), key=repr)
+    groups = len({x[2] for x in brute_simhash(HARD)})
+    near = p.apart(spark, docs, SMALL)
+    assert near.count() == groups and all(r.text in {t for i, t in HARD if i == r.doc_id} for r in near.collect())
+    pure = p.decontaminated(spark, docs, SMALL)
+    assert ids(pure) == sorted((x[0] for x in brute_contamination(HARD, table(spark, "benchmark", SMALL)) if not x[5]), key=repr)
+    packed_right(p.packed(spark, docs, SMALL), HARD)
+    for stage in (p.clean, p.distinct, p.apart, p.decontaminated):
+        kept = stage(spark, docs, SMALL)
+        assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} <= {("x",) * len(CLASHES)}
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
     import corpus_pipeline as p
 
-    copies = p.distinct(spark, hard, SMALL)
-    assert copies.count() == p.exact_dedup.exact_groups(hard).filter("kept").count()
+    docs = spark.createDataFrame([], "doc_id long, text string, own_hash string")
+    for name, stage in p.STAGES:
+        kept = stage(spark, docs, SMALL)
+        assert kept.isEmpty() and (name == "packing" or kept.columns == docs.columns)
+
+
+def test_pipeline_removes_what_it_wrote(spark):
+    import corpus_pipeline as p
+
+    folder = Path(p.shared_dir(spark).removeprefix("file:")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert p.run(spark, TINY).count() > 0 and len(set(folder.iterdir()) - before) == 1
+
+
+def test_scores_are_those_of_the_formula(spark):
+    """Both scorers, once more by plain arithmetic."""
+    rows = [(i, t) for i, t in HARD if i is not None] + [(100, "an idiot, such an 1d1ot and moron"), (101, "a fine day " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    r = np.random.default_rng(2)
+    model = toxicity.Model(toxicity.language_model(toxicity.character_counts(docs)), {"=idiot": 3.0, "idio": 2.5, "moro": 1.5, "fine": 1.2}, r.normal(size=7))
+    reader = toxicity.Deobfuscator(model.language)
+    wanted = []
+    for i, t in rows:
+        tokens, _ = reader.read(t or "")
+        each = [max((model.lexicon.get(x, 0.0) for w in reader.readings(k) if w for x in ["=" + w, *(w[:n] for n in range(4, 8) if n < len(w))]), default=0.0) for k in tokens]
+        top = sorted((w for w in each if w), reverse=True)
+        x = [1.0, *(top + [0.0] * 3)[:3], math.log1p(len(top)), 10 * len(top) / (len(tokens) + 10), math.log1p(sum(w > 2 for w in top))]
+        wanted.append((i, round(1 / (1 + math.exp(-float(np.dot(x, model.weights)))), 6)))
+    assert sorted((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, model).collect()) == sorted(wanted)
+
+    net = quality_mil.Network(hidden=6, gate=3)
+    wanted = []
+    for i, t in rows:
+        words = (t or "").encode().split()
+        bags = [words[k : k + 100] for k in range(0, len(words), 100)]
+        x = np.array([quality_mil.encode(b) for b in bags]) if bags else np.zeros((1, quality_mil.FEATURES))
+        h = np.tanh(x @ net.p["E"] + net.p["e"])
+        a = ((np.tanh(h @ net.p["V"]) / (1 + np.exp(-h @ net.p["U"]))) @ net.p["w"])[:, 0]
+        a = np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+        z = float((a @ h @ net.p["c"])[0] + net.p["b"][0])
+        wanted.append((i, len(x), 1 / (1 + math.exp(-z))))
+    found = sorted((r.doc_id, r.n_passages, r.score) for r in quality_mil.score(docs, net).collect())
+    assert [f[:2] for f in found] == [w[:2] for w in sorted(wanted)] and all(abs(f[2] - w[2]) < 1e-4 for f, w in zip(found, sorted(wanted), strict=True))
+
+
+def test_all_words_of_training_texts_count(spark):
+    """Beyond the first passages: only the last of 10,000 words tells good from bad."""
+    rows = [(i, "plain words here. " * 3333 + ("@@@@ #### $$$$ " * 40 if i % 2 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = quality_mil.train(docs, docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("label")))
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in quality_mil.score(docs, net).collect())
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7} good") for i in range(500)] + [(2, "bad bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    net = quality_mil.train(docs, labels)
+    assert net.p["E"].shape and toxicity.train(docs, labels).weights.shape == (7,)
