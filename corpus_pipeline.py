@@ -10,25 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import decontam, exact_dedup, packing, simhash, toxicity
-from engram.llm.common import shared_dir, table
+from engram.llm.common import remove, scratch, shared_dir, table, texts
 from engram.llm.queries import tokenizer, toxicity_model
 
 
 def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs that chosen (doc_id, th) names, each as often as it is chosen there."""
-    chosen = chosen.groupBy("doc_id", "th").agg(F.count("*").alias("times"))
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    a, b = docs.withColumn("own_hash", text_hash).alias("a"), chosen.alias("b")
-    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.own_hash") == F.col("b.th")))
-    return joined.select(*[F.col(f"a.`{c}`") for c in docs.columns], "b.times")
+    """doc_id, t and row (a struct of all columns, so that no name can clash) of the rows of docs that chosen (doc_id, th) names."""
+    chosen = chosen.select("doc_id", "th").distinct()
+    a, b = texts(docs, keep=docs.columns).withColumn("th", F.xxhash64("t")).alias("a"), chosen.alias("b")
+    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
+    return joined.select("a.doc_id", "a.t", "a.row")
 
 
 def _one_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Like _rows_of, for choices of one row of a group: where a row is repeated, one of its repeats stays."""
     rows = _rows_of(docs, chosen)
     repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
-    rows = rows if repeats.isEmpty() else rows.withColumn("_filled_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_filled_text"])
-    return rows.select(docs.columns)
+    rows = rows if repeats.isEmpty() else rows.dropDuplicates(["doc_id", "t"])
+    return rows.select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES:
         path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):  # the stage's own tables go when its output is written, and so does its input
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
