@@ -19,7 +19,7 @@ STOPWORDS = ["the", "of", "and", "to", "in", "is", "it", "that", "de", "la", "le
 
 def tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-case alphabetic words of two letters or more, in order; words with digits, _ or - are none."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1)), lambda w: F.regexp_like(w, F.lit(r"^\p{L}{2,}$")))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_-])(\p{L}{2,}+)(?![\p{L}\p{N}_-])"), F.lit(1))
     if stopwords is None:
         return words
     stop = F.array(*map(F.lit, stopwords))
@@ -64,17 +64,25 @@ def epoch_ms(x: Column) -> Column:
     return F.when(x >= 1_000_000_000_000, x).otherwise(x * 1000)
 
 
+def any_epoch_ms(shown: Column, zone: Column | None = None) -> Column:
+    """Milliseconds of a time written as epoch seconds, milliseconds or ISO text; that is in the zone (UTC) unless it has an offset."""
+    number = shown.try_cast("double")
+    return F.coalesce(epoch_ms(number).cast("long"), instant(shown, F.lit("UTC") if zone is None else zone) * 1000)
+
+
 def shingles(words: Column, width: int = 2) -> Column:
     """Runs of so many words, joined by blanks."""
-    at = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, width), " "))
+    n = F.greatest(F.size(words) - width + 1, F.lit(0))
+    parts = [F.slice(words, k, n).alias(f"w{k}") for k in range(1, width + 1)]  # zipped, so that no lambda makes the words anew
+    return F.transform(F.arrays_zip(*parts), lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(1, width + 1)]))
 
 
 def choice(answer: Column) -> Column:
-    """The choice that an answer names, as (b): written (b), b), b. or as a lone letter; null if none."""
+    """The choice that an answer names, as (b): written (b), b), b. or as a first letter between blanks, a to h; null if none."""
     text = collapsed(F.lower(answer))
-    forms = [r"\(([a-z])\)", r"\b([a-z])\)", r"\b([a-z])\.", r"^([a-z])$"]
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in forms])
+    # fixed values: the four forms, in the order they are tried
+    forms = [r"\(([a-z])\)", r"\b([a-z])\)", r"\b([a-z])\.", r"(?:^|\s)([a-z])(?:\s|$)"]
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in forms[:3]], F.nullif(F.regexp_extract(F.regexp_extract(text, forms[3], 1), "^[a-h]$", 0), F.lit("")))
     return F.concat(F.lit("("), found, F.lit(")"))
 
 
@@ -89,6 +97,12 @@ def session_time(shown: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.regexp_replace(shown, "(?i) am on ", " AM on "), "(?i) pm on ", " PM on "), F.lit("h:mm a 'on' d MMMM, yyyy")))
 
 
+def instant(shown: Column, zone: Column) -> Column:
+    """Epoch seconds of an ISO time; without an offset of its own it is in the time zone. Null if it can't be read."""
+    own = F.regexp_like(shown, F.lit(r"(Z|[+-]\d{2}:?\d{2})$"))
+    return F.unix_seconds(F.when(own, shown).otherwise(F.concat(shown, F.lit(" "), zone)).try_cast("timestamp"))
+
+
 def json_in(answer: Column) -> Column:
     """From the first opening to the last closing brace of an answer; null if it has none."""
     return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
@@ -179,3 +193,133 @@ def fact_text(time: Column, facts: Column) -> Column:
     """time：facts; one of them alone where the other is missing."""
     part = lambda c: F.nullif(c, F.lit(""))
     return F.concat_ws("：", part(time), part(F.array_join(facts, " ")))
+
+
+def edge_ngrams(text: Column, most: int = 20) -> Column:
+    """The lower-case text's first character, its first two, and so on up to ``most``."""
+    low = F.lower(text)
+    n = F.least(F.length(low), F.lit(most))
+    return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(low, F.lit(1), i))
+
+
+def lower_keyword(text: Column) -> Column:
+    return F.lower(F.trim(text))
+
+
+def short_code(number: Column, least: int = 4, digits: int = 11) -> Column:
+    """Base 62, with zeros in front up to ``least`` characters."""
+    code = base62(number, digits)
+    return F.when(F.length(code) < least, F.lpad(code, least, "0")).otherwise(code)
+
+
+def unbase62(code: Column) -> Column:
+    """The number that a base-62 code stands for; null if it is empty or has other characters."""
+    digits = F.split(code, "")
+    value = F.aggregate(digits, F.lit(0).cast("decimal(38,0)"), lambda acc, d: (acc * 62 + F.instr(F.lit(BASE62), d) - 1).cast("decimal(38,0)"))
+    return F.when(F.regexp_like(code, F.lit("^[0-9a-zA-Z]+$")), value.cast("long"))
+
+
+def route_whole(key: Column, partitions: int) -> Column:
+    """Stable partition 0.. of a key, from all of its md5 read as a number."""
+    digit = lambda d: F.instr(F.lit("0123456789abcdef"), d) - 1
+    return F.aggregate(F.split(F.md5(key), ""), F.lit(0).cast("long"), lambda acc, d: F.pmod(acc * 16 + digit(d), F.lit(partitions).cast("long")))
+
+
+def clean_date(shown: Column) -> Column:
+    """What is left of a date when all but digits and - is taken away, if that is YYYY-MM-DD; else null."""
+    left = F.regexp_replace(shown, r"[^\d\-]", "")
+    return F.when(F.regexp_like(left, F.lit(r"^\d{4}-\d{2}-\d{2}$")), left)
+
+
+def span(start: Column, end: Column, days: Column) -> Column:
+    """Struct start, end, days of cleaned dates: a missing end from the days, missing days from the end."""
+    a, b = clean_date(start), clean_date(end)
+    given = F.coalesce(days, F.lit(0)) != 0
+    later = F.date_format(F.date_add(a.try_cast("date"), days.cast("int")), "yyyy-MM-dd")
+    between = F.datediff(b.try_cast("date"), a.try_cast("date"))
+    return F.struct(a.alias("start"), F.when(a.isNotNull() & given & b.isNull(), later).otherwise(b).alias("end"), F.when(a.isNotNull() & b.isNotNull() & ~given, between).otherwise(days).cast("int").alias("days"))
+
+
+def fenced_json(answer: Column) -> Column:
+    """The JSON of a model's answer: in a block marked json, else in any block, else the whole answer; null if none can be read."""
+    marked = F.regexp_extract(answer, r"(?s)```json(.*?)```", 1)
+    block = F.regexp_extract(answer, r"(?s)```(?:[A-Za-z]+[^\n]*\n)?(.*?)```", 1)
+    readable = lambda t: F.when(F.get_json_object(F.trim(t), "$").isNotNull(), F.trim(t))
+    return F.coalesce(readable(marked), readable(block), readable(answer))
+
+
+def sufficiency(answer: Column) -> Column:
+    """Struct is_sufficient, reasoning, missing (array) of a model's answer. What can't be read, or doesn't say, counts as sufficient."""
+    found = json_in(answer)
+    told = F.get_json_object(found, "$.is_sufficient")
+    reason = F.coalesce(F.get_json_object(found, "$.reasoning"), F.lit("No reasoning provided"))
+    missing = F.coalesce(F.from_json(F.get_json_object(found, "$.missing_information"), "array<string>"), F.array().cast("array<string>"))
+    said = told.isNotNull()
+    falsy = F.lower(told).isin("false", "0", "", "null", "[]", "{}")
+    return F.struct(
+        F.when(said, ~falsy).otherwise(F.lit(True)).alias("is_sufficient"), F.when(said, reason).otherwise("Failed to parse").alias("reasoning"), F.when(said, missing).otherwise(F.array().cast("array<string>")).alias("missing")
+    )
+
+
+_ASSIGNED = "array<struct<type:string,cluster_id:string,new_topic:string>>"
+
+
+def assignments(answer: Column) -> Column:
+    """Array of struct type, cluster_id, new_topic: what an answer decides. It is JSON, or has JSON in it: assignments or, in its older
+    form, one decision; else the clusters it names if it says existing, a topic if it says new, and NEW if it says nothing."""
+    whole = F.trim(answer)
+    found = F.coalesce(F.when(F.get_json_object(whole, "$").isNotNull() & whole.startswith("{"), whole), F.when(F.get_json_object(json_in(answer), "$").isNotNull(), json_in(answer)))
+    get = lambda n: F.get_json_object(found, f"$.{n}")
+    none = F.array().cast(_ASSIGNED)
+    one = lambda kind, cluster, topic: F.array(F.struct(F.lit(kind).alias("type"), cluster.cast("string").alias("cluster_id"), topic.cast("string").alias("new_topic")))
+    null, unknown = F.lit(None), F.lit("Unknown topic")
+    older = F.when((get("decision") == "EXISTING") & (F.coalesce(get("cluster_id"), F.lit("")) != ""), one("EXISTING", get("cluster_id"), null))
+    older = older.when(get("decision") == "NEW", one("NEW", null, F.coalesce(get("new_topic"), unknown))).otherwise(none)
+    read = F.when(get("assignments").isNotNull(), F.coalesce(F.from_json(get("assignments"), _ASSIGNED), none)).when(get("decision").isNotNull(), older).otherwise(none)
+    upper, names = F.upper(answer), F.regexp_extract_all(answer, F.lit(r"(gec_\d+)"), F.lit(1))
+    known = F.when(F.contains(upper, F.lit("EXISTING")), F.transform(names, lambda c: one("EXISTING", c, null)[0])).otherwise(none)
+    topic = F.nullif(F.regexp_extract(answer, r'"new_topic":\s*"([^"]+)"', 1), F.lit(""))
+    says_new = F.contains(upper, F.lit("NEW"))
+    scraped = F.when(says_new & topic.isNotNull(), F.concat(known, one("NEW", null, topic))).when(F.size(known) == 0, one("NEW", null, unknown)).otherwise(known)
+    return F.when(found.isNotNull(), read).otherwise(scraped)
+
+
+def selected_clusters(answer: Column) -> Column:
+    """The clusters that an answer selects: of its JSON, of JSON in it, else those it names, each once."""
+    of = lambda t: F.from_json(F.get_json_object(t, "$.selected_clusters"), "array<string>")
+    inner = F.regexp_extract(answer, r'(?s)\{[^{}]*"selected_clusters"[^{}]*\}', 0)
+    return F.coalesce(of(F.trim(answer)), of(inner), F.array_distinct(F.regexp_extract_all(answer, F.lit(r"(gec_\d+)"), F.lit(1))))
+
+
+#: What a page leaves in a text whose template was not filled.
+TEMPLATE = r"\$\{[^}]+\}|\{\{[^}]+\}\}|#\{[^}]+\}|@\{[^}]+\}|\{[a-zA-Z_][a-zA-Z0-9_.]*\}"
+
+
+def page_metadata(html: Column, url: Column) -> Column:
+    """Struct title, description, image, site_name, type, favicon: Open Graph before Twitter before the page's title and meta tags; texts
+    with template variables don't count. White space is collapsed, titles are cut at 200 and descriptions at 500 characters; an
+    address needs a scheme and a host. Without an icon link the favicon is /favicon.ico."""
+    head = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    attribute = lambda tag, name: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1)
+    metas = F.regexp_extract_all(head, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
+    links = F.regexp_extract_all(head, F.lit(r"(?is)(<link\b[^>]*>)"), F.lit(1))
+
+    def safe(value: Column) -> Column:
+        text = F.nullif(F.trim(value), F.lit(""))
+        return F.when(~F.regexp_like(text, F.lit(TEMPLATE)), text)
+
+    def content(key: str, name: str) -> Column:  # of repeated tags the last counts
+        tags = F.filter(metas, lambda t: (attribute(t, key) == name) & (attribute(t, "content") != ""))
+        return safe(attribute(F.try_element_at(tags, F.lit(-1)), "content"))
+
+    og, twitter = lambda n: content("property", f"og:{n}"), lambda n: content("name", f"twitter:{n}")
+    plain = lambda value: F.nullif(collapsed(value), F.lit(""))
+    cut = lambda value, n: F.when(F.length(value) > n, F.concat(F.left(value, F.lit(n)), F.lit("..."))).otherwise(value)
+    valid = lambda value: F.when(F.regexp_like(value, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")), value)
+    title = F.coalesce(og("title"), twitter("title"), safe(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1)), content("name", "title"))
+    icon = F.try_element_at(F.filter(links, lambda t: F.contains(F.lower(attribute(t, "rel")), F.lit("icon")) & (attribute(t, "href") != "")), F.lit(1))
+    favicon = F.coalesce(F.when(icon.isNotNull(), absolute_url(F.trim(attribute(icon, "href")), url)), F.concat(F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1), F.lit("/favicon.ico")))
+    return F.struct(
+        cut(plain(title), 200).alias("title"), cut(plain(F.coalesce(og("description"), twitter("description"), content("name", "description"))), 500).alias("description"),
+        valid(plain(F.coalesce(og("image"), twitter("image")))).alias("image"), plain(og("site_name")).alias("site_name"), plain(og("type")).alias("type"), valid(plain(favicon)).alias("favicon"),
+    )

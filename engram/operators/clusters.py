@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.shared import written
+
 
 def neighbours(hits: DataFrame, members: DataFrame, per_hit: int = 3) -> DataFrame:
     """hits: query_id, doc_id; members: cluster_id, doc_id, seq (order in time). The co-members of each hit nearest in
@@ -21,41 +25,117 @@ def neighbours(hits: DataFrame, members: DataFrame, per_hit: int = 3) -> DataFra
     return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_hit).select("query_id", "doc_id", "cluster_id", "member_id", "nth")
 
 
+class OnlineClusters:
+    """The clusters of one group. A unit joins the one with the most similar centroid, if that is at least ``least`` and its last unit at
+    most ``most_gap`` seconds before; else it begins one. Centroids are running means in float32."""
+
+    def __init__(self, least: float, most_gap: float):
+        self.least, self.most_gap, self.n = least, most_gap, 0
+        self.centroids, self.norms, self.sizes, self.last = np.zeros((8, 0), np.float32), np.zeros(8, np.float32), np.zeros(8, np.int64), np.full(8, -np.inf)
+
+    def add(self, at: float, vector) -> tuple[int, float]:
+        """The number of the unit's cluster and the similarity, 0 where it begins one."""
+        v = None if vector is None or not len(vector) else np.asarray(vector, np.float32)
+        if v is not None:
+            if not self.centroids.shape[1]:
+                self.centroids = np.zeros((len(self.sizes), len(v)), np.float32)
+            norm = np.linalg.norm(v)
+            live = np.flatnonzero((self.sizes[: self.n] > 0) & (at - self.last[: self.n] <= self.most_gap))
+            if len(live):
+                scores = (self.centroids[live] @ v / ((self.norms[live] + 1e-9) * (norm + 1e-9))).astype(float)
+                i = int(scores.argmax())
+                if scores[i] >= self.least and scores[i] > 0:
+                    k = int(live[i])
+                    self.centroids[k] = (self.centroids[k] * np.float32(self.sizes[k]) + v) / np.float32(self.sizes[k] + 1)
+                    self.norms[k] = np.linalg.norm(self.centroids[k])
+                    self.sizes[k] += 1
+                    self.last[k] = max(at, self.last[k])
+                    return k, float(scores[i])
+        if self.n == len(self.sizes):
+            self.centroids = np.concatenate((self.centroids, np.zeros_like(self.centroids)))
+            self.norms, self.sizes, self.last = (np.concatenate((x, np.zeros_like(x))) for x in (self.norms, self.sizes, self.last))
+        k, self.n = self.n, self.n + 1
+        self.last[k] = at
+        if v is not None:  # without a vector it stays alone: its size remains 0
+            self.centroids[k], self.norms[k], self.sizes[k] = v, norm, 1
+        return k, 0.0
+
+
 def online_clusters(units: DataFrame, group: str = "group_id", least: float = 0.65, most_gap: float = 7 * 86400.0) -> DataFrame:
-    """units: group, unit_id, at (seconds), vector. In order of time each unit joins the cluster of its group with the most
-    similar centroid, if that is at least ``least`` and the cluster's last unit is at most ``most_gap`` before; else it begins
-    one. Centroids are running means in float32. A group's units are folded in one task, as the order demands; groups are
-    dealt over all tasks. Adds cluster_id and similarity."""
+    """units: group, unit_id, at (seconds), vector. Adds cluster_id and similarity: units in order of time, folded by ``OnlineClusters``.
+
+    Where a group is silent for longer than most_gap no cluster is alive, so its parts are folded apart, in tasks of their own, and the
+    clusters of each are numbered after those of the parts before."""
+    order = Window.partitionBy(group).orderBy("at", "unit_id")
+    silent = (F.col("at") - F.lag("at").over(order) > most_gap).cast("int")
+    parts = units.select(group, "unit_id", "at", "vector").withColumn("silent", F.coalesce(silent, F.lit(0))).withColumn("part", F.sum("silent").over(order))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["at", "unit_id"])
-        centroids, sizes, last, names, scores = [], [], [], [], []
-        for at, vector in zip(rows["at"], rows["vector"], strict=True):
-            best, score = -1, 0.0
-            if vector is not None and len(vector):
-                v = np.asarray(vector, np.float32)
-                for k, c in enumerate(centroids):
-                    if c is not None and at - last[k] <= most_gap:
-                        s = float(c @ v / ((np.linalg.norm(c) + 1e-9) * (np.linalg.norm(v) + 1e-9)))
-                        if s >= least and s > score:
-                            best, score = k, s
-            else:
-                v = None
-            if best < 0:
-                best = len(centroids)
-                centroids.append(v)
-                sizes.append(1)
-                last.append(at)
-            else:
-                centroids[best] = (centroids[best] * np.float32(sizes[best]) + v) / np.float32(sizes[best] + 1)
-                sizes[best] += 1
-                last[best] = max(at, last[best])
-            names.append(f"cluster_{best:03d}")
-            scores.append(score)
-        return pd.DataFrame({group: rows[group], "unit_id": rows["unit_id"], "cluster_id": names, "similarity": scores})
+        clusters = OnlineClusters(least, most_gap)
+        found = [clusters.add(at, vector) for at, vector in zip(rows["at"], rows["vector"], strict=True)]
+        return pd.DataFrame({group: rows[group], "part": rows["part"], "unit_id": rows["unit_id"], "no": [k for k, _ in found], "similarity": [s for _, s in found]})
 
     kinds = {f.name: f.dataType.simpleString() for f in units.schema}
-    return units.select(group, "unit_id", "at", "vector").groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, unit_id {kinds['unit_id']}, cluster_id string, similarity double")
+    found = written(parts.groupBy(group, "part").applyInPandas(fold, f"{group} {kinds[group]}, part long, unit_id {kinds['unit_id']}, no long, similarity double"))
+    sizes = found.groupBy(group, "part").agg((F.max("no") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("part")) - F.col("n")
+    rows = found.join(sizes.select(group, "part", before.alias("before")), [group, "part"])
+    no = F.col("no") + F.col("before")
+    name = F.concat(F.lit("cluster_"), F.when(no < 1000, F.lpad(no.cast("string"), 3, "0")).otherwise(no.cast("string")))
+    return rows.select(group, "unit_id", name.alias("cluster_id"), "similarity")
+
+
+def event_clusters(decisions: DataFrame) -> DataFrame:
+    """decisions: conv_id, unit_id, at, assigned (array of struct type, cluster_id, new_topic). The members of each conversation's event
+    clusters: conv_id, cluster_id (gec_NNN in the order they begin), unit_id, nth (of the unit's clusters), is_new, topic.
+
+    Units come in order of time. EXISTING joins a cluster if there is one, NEW begins one, and a unit that ends up in none begins
+    one, as a conversation's first unit does. Numbers depend on all decisions before, so a conversation is folded in one task."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        count, out = 0, []
+        for unit, assigned in rows.sort_values(["at", "unit_id"])[["unit_id", "assigned"]].itertuples(index=False):
+            nth = 0
+            for a in assigned if count and assigned is not None else ():
+                no = int(a["cluster_id"][4:]) if re.fullmatch(r"gec_\d+", a["cluster_id"] or "") else 0
+                if a["type"] == "NEW":
+                    count += 1
+                    out.append((f"gec_{count:03d}", unit, nth := nth + 1, True, a["new_topic"]))
+                elif a["type"] == "EXISTING" and 1 <= no <= count and a["cluster_id"] == f"gec_{no:03d}":
+                    out.append((a["cluster_id"], unit, nth := nth + 1, False, None))
+            if not nth:
+                count += 1
+                out.append((f"gec_{count:03d}", unit, 1, True, None))
+        found = pd.DataFrame(out, columns=["cluster_id", "unit_id", "nth", "is_new", "topic"])
+        return found.assign(conv_id=rows["conv_id"].iloc[0])[["conv_id", "cluster_id", "unit_id", "nth", "is_new", "topic"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in decisions.schema}
+    rows = decisions.select("conv_id", "unit_id", "at", "assigned").groupBy("conv_id")
+    return rows.applyInPandas(fold, f"conv_id {kinds['conv_id']}, cluster_id string, unit_id {kinds['unit_id']}, nth int, is_new boolean, topic string")
+
+
+def previews(members: DataFrame, last: int = 3, most: int = 100) -> DataFrame:
+    """members: cluster_id, topic, at (timestamp text), summary, hits. cluster_id and preview: its topic and hits, number of members, the
+    days it spans, and the last members' summaries, cut."""
+    nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("at"), F.desc("summary")))
+    short = F.when(F.length("summary") > most, F.concat(F.left("summary", F.lit(most)), F.lit("..."))).otherwise(F.col("summary"))
+    few = members.select("cluster_id", "at", short.alias("short"), nth.alias("nth")).filter(F.col("nth") <= last)
+    lines = few.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "short")), False), lambda x: F.concat(F.lit("  - "), x["short"])), "\n").alias("lines"))
+    all_of = members.groupBy("cluster_id").agg(F.max("topic").alias("topic"), F.max("hits").alias("hits"), F.count("*").alias("n"), F.left(F.min("at"), F.lit(10)).alias("a"), F.left(F.max("at"), F.lit(10)).alias("b"))
+    head = F.concat(F.lit("["), F.col("cluster_id").cast("string"), F.lit("] "), "topic", F.when(F.col("hits") > 0, F.concat(F.lit(" (hits: "), "hits", F.lit(")"))).otherwise(""))
+    days = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.concat("a", F.lit(" to "), "b"))
+    text = F.concat_ws("\n", head, F.concat(F.lit("Members: "), "n"), F.concat(F.lit("Time: "), days), F.lit("Recent content:"), "lines")
+    return all_of.join(lines, "cluster_id").select("cluster_id", text.alias("preview"))
+
+
+def run_stats(assigned: DataFrame) -> DataFrame:
+    """assigned: group_id, cluster_id (null: failed), is_new. One row: units, groups, clusters, new_clusters, failed."""
+    cluster = F.when(F.col("cluster_id").isNotNull(), F.struct("group_id", "cluster_id"))
+    return assigned.agg(
+        F.count("*").alias("units"), F.count_distinct("group_id").alias("groups"), F.count_distinct(cluster).alias("clusters"),
+        F.count(F.when(F.col("is_new"), 1)).alias("new_clusters"), F.count(F.when(F.col("cluster_id").isNull(), 1)).alias("failed"),
+    )
 
 
 def insert_after_hits(hits: DataFrame, members: DataFrame, per_hit: int = 3, share: float = 0.3, most: int = 10, decay: float = 0.7, most_hits: int = 20, place: str = "after") -> DataFrame:

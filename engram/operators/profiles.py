@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,135 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -
     return joined.select(*keys, *[F.when(F.col("b.given"), F.col(f"b.{v}")).otherwise(F.col(f"a.{v}")).alias(v) for v in values])
 
 
+def versioned_upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, values: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
+    """Rows after the updates ``new``, with is_latest, and the updates that fail. An update with a version changes or makes that one; one
+    without changes the latest version there was, and fails where there is none. Of updates to one version the last by seq counts."""
+    top = old.groupBy(*keys).agg(F.max(version).alias("top"))
+    aimed = new.join(top, keys, "left").withColumn(version, F.coalesce(version, "top")).drop("top")
+    last = aimed.filter(F.col(version).isNotNull()).groupBy(*keys, version).agg(*[F.max_by(v, seq).alias(v) for v in values])
+    return latest(upsert(old, last, [*keys, version], values), keys, version), aimed.filter(F.col(version).isNull())
+
+
+def save_state(saves: DataFrame, keys: list[str]) -> DataFrame:
+    """saves: keys, cluster_id, seq. The state after all saves: version (their number), cluster_ids (each once, as they came,
+    comma-joined), last_cluster."""
+    first = saves.groupBy(*keys, "cluster_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("first", "cluster_id"))), lambda x: x["cluster_id"])
+    return first.groupBy(*keys).agg(F.sum("n").alias("version"), F.array_join(ids, ",").alias("cluster_ids"), F.max_by("cluster_id", "last").alias("last_cluster"))
+
+
+def high_value(answer: Column, least: float = 0.6) -> Column:
+    """Whether a model's JSON answer says high value with enough confidence; answers that can't be read don't."""
+    told = F.from_json(answer, "is_high_value boolean, confidence double")
+    return F.coalesce(told["is_high_value"] & (told["confidence"] >= least), F.lit(False))
+
+
+def importance(messages: DataFrame, group: str) -> DataFrame:
+    """messages: group, user_id, refs (array of user ids). group, user_id, chat_count, at_count, total (the group's messages),
+    important: by both counts, the share of the messages, or the references."""
+    m = messages.select(group, "user_id", "refs")
+    facts = m.select(group, F.explode(F.concat(F.array(F.struct("user_id", F.lit(1).alias("speak"))), F.transform("refs", lambda r: F.struct(r.alias("user_id"), F.lit(0).alias("speak"))))).alias("f"))
+    counts = facts.groupBy(group, "f.user_id").agg(F.sum("f.speak").alias("chat_count"), F.sum(1 - F.col("f.speak")).alias("at_count"))
+    rows = counts.join(m.groupBy(group).agg(F.count("*").alias("total")), group)
+    return rows.withColumn("important", F.expr("chat_count + at_count >= 5 or chat_count / total > 0.1 or at_count >= 2"))
+
+
+def appended(old: DataFrame, new: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """old, new: keys, evidence, pos. The old evidences, then the new ones, the first ``most``: keys, evidences."""
+    rows = old.select(*keys, "evidence", F.lit(0).alias("part"), "pos").unionByName(new.select(*keys, "evidence", F.lit(1).alias("part"), "pos"))
+    kept = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("part", "pos"))).filter(F.col("nth") <= most)
+    return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "evidence"))), lambda x: x["evidence"]).alias("evidences"))
+
+
+def merge_item_evidences(original: DataFrame, completed: DataFrame, dates: DataFrame, keys: list[str]) -> DataFrame:
+    """original, completed: keys (the path of a list), pos, item (map of text to text, without evidences), evidences; dates: evidence, date,
+    the known ones. Original items with the evidences, as date|id, of the last completed item that matches them and has known ones.
+
+    A completed item matches the first item that is equal but for evidences, else the first that agrees in the first of these
+    fields in which any does."""
+    # fixed values: the fields, in the order they are tried
+    fields = ["value", "skill", "project_id", "project_name", "user_id", "name", "title"]
+    whole = F.to_json(F.array_sort(F.map_entries("item")))
+    trimmed = lambda f: F.nullif(F.trim(F.try_element_at("item", F.lit(f))), F.lit(""))
+    names = F.array(F.struct(F.lit(0).alias("no"), F.when(F.size("item") > 0, whole).alias("name")), *[F.struct(F.lit(i).alias("no"), trimmed(f).alias("name")) for i, f in enumerate(fields, 1)])
+    named = lambda rows: rows.select(*keys, "pos", F.explode(names).alias("n")).select(*keys, "pos", "n.no", "n.name").filter("name is not null")
+    first = named(original).groupBy(*keys, "no", "name").agg(F.min("pos").alias("target"))
+    matched = named(completed).join(first, [*keys, "no", "name"]).groupBy(*keys, "pos").agg(F.min_by("target", "no").alias("target"))
+    found = completed.join(matched, [*keys, "pos"]).select(*keys, "pos", "target", F.posexplode("evidences").alias("place", "e"))
+    id_of = F.trim(F.regexp_replace("e", r"^\d{4}-\d{2}-\d{2}\|", ""))
+    known = found.withColumn("evidence", id_of).join(dates, "evidence").select(*keys, "pos", "target", "place", F.concat_ws("|", "date", "evidence").alias("shown"))
+    lists = known.groupBy(*keys, "target", "pos").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "shown"))), lambda x: x["shown"])).alias("formatted"))
+    last = lists.groupBy(*keys, F.col("target").alias("pos")).agg(F.max_by("formatted", "pos").alias("formatted"))
+    return original.join(last, [*keys, "pos"], "left").select(*keys, "pos", "item", F.coalesce("formatted", "evidences").alias("evidences"))
+
+
+def evicted(now: Column, inactive: int = 30 * 86400) -> Column:
+    """An aggregate over topics (topic_id, status, last_at): the one to go. Implemented ones that were inactive for so many seconds come
+    first, then the one longest inactive."""
+    old = (F.col("status") == "implemented") & (F.coalesce("last_at", now) < now - inactive)
+    return F.min_by("topic_id", F.struct(~F.coalesce(old, F.lit(False)), F.coalesce("last_at", F.lit(-(1 << 62))), "topic_id"))
+
+
+def updated_topics(topics: DataFrame, updates: DataFrame, units: DataFrame, most: int = 5, most_evidences: int = 10, inactive: int = 30 * 86400) -> DataFrame:
+    """topics: group_id, topic_id, name, status, last_at, evidences; updates: group_id, seq, update_type (update, new), topic_id, name,
+    status, evidences; units: group_id, unit_id, at, the known ones. The topics of each group after its updates, last active first:
+    group_id, place, topic_id (new_<seq> for new ones), name, status, last_at, evidences.
+
+    An update of a known topic merges its known evidences, the last ``most_evidences``; others are passed over. A new topic takes
+    the place of the one that ``evicted`` would name where there are ``most``. A topic was last active at its latest known evidence, else
+    at the group's latest unit. Updates follow one another, so a group, with its units' times for the evidences named, is folded in one task."""
+    named = updates.select("group_id", "seq", F.explode("evidences").alias("unit_id"))
+    old = topics.select("group_id", F.explode("evidences").alias("unit_id"))
+    wanted = named.select("group_id", "unit_id").unionByName(old).distinct().join(units, ["group_id", "unit_id"]).groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "at"))).alias("known"))
+    newest = units.groupBy("group_id").agg(F.max("at").alias("newest"))
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    rows = topics.select("group_id", none("int", "seq"), none("string", "update_type"), "topic_id", "name", "status", "last_at", "evidences")
+    rows = rows.unionByName(updates.select("group_id", "seq", F.coalesce("update_type", F.lit("new")).alias("update_type"), "topic_id", "name", "status", none("bigint", "last_at"), "evidences"))
+    rows = rows.join(wanted, "group_id", "left").join(newest, "group_id", "left")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        known = dict(rows["known"].iloc[0] or {})
+        now = rows["newest"].iloc[0]
+        active = lambda ids: max((known[i] for i in ids if i in known), default=now)
+        held = {r.topic_id: (r.name, r.status, r.last_at, list(r.evidences)) for r in rows[rows["seq"].isna()].itertuples()}
+        for r in rows[rows["seq"].notna()].sort_values("seq").itertuples():
+            told = [e for e in r.evidences if e in known]
+            if r.update_type == "update":
+                if r.topic_id in held:
+                    before = held[r.topic_id][3]
+                    merged = (before + sorted((e for e in dict.fromkeys(told) if e not in before), key=known.get))[-most_evidences:]
+                    held[r.topic_id] = (r.name, r.status, active(merged), merged)
+                continue
+            if len(held) >= most:
+                old = lambda t: t[1] == "implemented" and t[2] < now - inactive
+                del held[min(held, key=lambda i: (not old(held[i]), held[i][2], i))]
+            held[f"new_{int(r.seq)}"] = (r.name, r.status, active(told), told)
+        out = sorted(((i, *t) for i, t in held.items()), key=lambda t: (-t[3], t[0]))
+        found = pd.DataFrame(out, columns=["topic_id", "name", "status", "last_at", "evidences"])
+        return found.assign(group_id=rows["group_id"].iloc[0], place=range(1, len(out) + 1))[["group_id", "place", "topic_id", "name", "status", "last_at", "evidences"]]
+
+    kind = topics.schema["group_id"].dataType.simpleString()
+    return rows.groupBy("group_id").applyInPandas(fold, f"group_id {kind}, place long, topic_id string, name string, status string, last_at long, evidences array<string>")
+
+
+def unit_dates(units: DataFrame) -> DataFrame:
+    """units: batch, unit_id, unit_at, said_at (epoch seconds), grp. batch, unit_id, date (UTC) of the unit's own time, else of its first
+    message, and group_id, the first of the batch that is known."""
+    one = units.groupBy("batch", "unit_id").agg(F.min(F.coalesce("unit_at", "said_at")).alias("at"), F.min("grp").alias("grp"))
+    group = one.groupBy("batch").agg(F.min_by("grp", F.when(F.col("grp").isNotNull(), F.col("unit_id"))).alias("group_id"))
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("at") / 86400).cast("int")), "yyyy-MM-dd")
+    return one.join(group, "batch").select("batch", "unit_id", day.alias("date"), "group_id")
+
+
+def judge_accuracy(questions: DataFrame) -> DataFrame:
+    """questions: category, judgments (map of run to boolean). scope (all, or a category), runs, mean and population deviation of the
+    runs' accuracies."""
+    each = questions.select("category", F.explode("judgments").alias("run", "ok")).groupBy("category", "run").agg(F.sum(F.col("ok").cast("int")).alias("right"), F.count("*").alias("n"))
+    of = lambda scope: each.groupBy(scope.alias("scope"), "run").agg((F.sum("right") / F.sum("n")).alias("x"))
+    runs = of(F.col("category")).unionByName(of(F.lit("all")))
+    return runs.groupBy("scope").agg(F.count("*").alias("runs"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
+
+
 def merge_pair(old: DataFrame, new: DataFrame, keys: list[str], scalars: list[str], lists: list[str]) -> DataFrame:
     """One profile of each key: scalars of new win unless null, lists are joined without repeats."""
     joined = old.alias("a").join(new.alias("b"), keys, "full")
@@ -109,3 +239,22 @@ def merge_groups(rows: DataFrame, level_fields: list[str]) -> DataFrame:
     of = lambda cond, keep: merge_values(used.filter(cond), ["user_id", "field"], keep)
     levelled = F.col("field").isin(level_fields)
     return of(levelled, "highest").unionByName(of(~levelled, "last"))
+
+
+def merge_group_info(rows: DataFrame) -> DataFrame:
+    """rows: user_id, group_id, seq, name, reasoning. user_id, the last known name, group_ids as they come, comma-joined, and all
+    reasonings that aren't empty, joined by $."""
+    groups = rows.groupBy("user_id", "group_id").agg(F.min("seq").alias("first")).groupBy("user_id")
+    ids = groups.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "group_id"))), lambda x: x["group_id"].cast("string")), ",").alias("group_ids"))
+    told = F.array_sort(F.collect_list(F.when(F.coalesce("reasoning", F.lit("")) != "", F.struct("seq", "reasoning"))))
+    info = rows.groupBy("user_id").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("seq"))).alias("name"), F.array_join(F.transform(told, lambda x: x["reasoning"]), "$").alias("reasoning"))
+    return info.join(ids, "user_id").select("user_id", "name", "group_ids", "reasoning")
+
+
+def merge_projects(rows: DataFrame) -> DataFrame:
+    """rows: user_id, project_id, project_name, field, value, level, evidence, seq, entry_date. Projects are one by their id, else by their
+    name; each field's values are merged, the first entry date that isn't empty is the project's."""
+    rows = rows.withColumn("project", F.coalesce(F.nullif("project_id", F.lit("")), "project_name"))
+    date = F.min_by("entry_date", F.when(F.coalesce("entry_date", F.lit("")) != "", F.col("seq")))
+    dates = rows.groupBy("user_id", "project").agg(F.coalesce(date, F.lit("")).alias("entry_date"))
+    return merge_values(rows, ["user_id", "project", "field"]).join(dates, ["user_id", "project"])

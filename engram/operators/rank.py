@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,35 +12,76 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import text_score, tokens
+from engram.shared import written
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None) -> DataFrame:
-    """doc_id, term, tf, dl: each document's terms with their count and the document's length; counted inside the row."""
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col), stopwords).alias("w"))
-    return words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+_RUNS = re.compile(r"[\w-]+")
 
 
-def corpus_stats(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None) -> DataFrame:
+    """doc_id, dl, term, tf: each document's terms with their count, and the document's length. The words of ``tokens``, counted
+    inside the row, so that no token is shuffled."""
+    stop = frozenset(stopwords or ())
+
+    def counted(batches):
+        for b in batches:
+            rows, lengths, terms, counts = [], [], [], []
+            for i, text in enumerate(pc.utf8_lower(b.column("text")).to_pylist()):
+                words = [w for w in _RUNS.findall(text or "") if len(w) > 1 and w.isalpha() and w not in stop]
+                found = Counter(words)
+                rows += [i] * len(found)
+                lengths += [len(words)] * len(found)
+                terms += found.keys()
+                counts += found.values()
+                if len(rows) > 100_000 or i + 1 == b.num_rows:
+                    columns = [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int64()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "dl", "term", "tf"])
+                    rows, lengths, terms, counts = [], [], [], []
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(counted, f"doc_id {kind}, dl bigint, term string, tf bigint")
+
+
+def term_counts(posts: DataFrame) -> DataFrame:
+    """term, df, cf: documents and occurrences of each term."""
+    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def corpus_stats(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """One row: n documents and their average length, also those without terms."""
-    return docs.select(F.size(tokens(F.col(text_col), stopwords)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return docs.agg(F.count("*").alias("n")).crossJoin(terms.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("all"))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
+
 
+def indexed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, term counts and corpus statistics. The counts are written once; the postings are counted again where they are scored."""
+    posts = postings(docs, id_col, text_col)
+    terms = written(term_counts(posts))
+    return posts, terms, corpus_stats(docs, terms)
 
-def okapi_terms(posts: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+
+def okapi_terms(terms: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """term, df, idf: ln(n - df + .5) - ln(df + .5), and epsilon times the mean of all where that is negative."""
-    terms = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n")))  # one row
+    terms = terms.join(F.broadcast(stats.select("n")))  # one row
     terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = terms.agg(F.avg("raw").alias("mean"))
     return terms.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def lucene_terms(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    terms = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n")))
-    return terms.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+def lucene_terms(terms: DataFrame, stats: DataFrame) -> DataFrame:
+    return terms.join(F.broadcast(stats.select("n"))).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def query_words(queries: DataFrame) -> DataFrame:
+    """query_id, term, weight: repeated words of a query count."""
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
-def bm25_parts(queries: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
-    """query_id, doc_id, term, tf, part. queries: query_id, term, weight. The query side is reduced to its terms before it meets the postings."""
+def bm25_parts(queries: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame, k1: float, b: float, few: int = 1_000_000) -> DataFrame:
+    """query_id, doc_id, term, tf, part. queries: query_id, term, weight; up to ``few`` rows of them are broadcast, more meet the
+    postings in a shuffle."""
     wanted = queries.join(terms, "term")
+    if queries.limit(few + 1).count() <= few:
+        wanted = F.broadcast(wanted)
     tf, dl = F.col("tf"), F.col("dl")
     return (
         posts.join(wanted, "term")
@@ -53,11 +97,15 @@ def top(hits: DataFrame, k: int, score: str = "score", by: str = "query_id", doc
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "unit_id", text_col: str = "narrative", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi BM25. queries: query_id, text; repeated query words count. query_id, doc_id, score, rank."""
-    posts, stats = postings(docs, id_col, text_col), corpus_stats(docs, id_col, text_col)
-    words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
-    parts = bm25_parts(words, posts, okapi_terms(posts, stats), stats, k1, b)
-    return top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
+    """Okapi BM25. queries: query_id, text; repeated query words count. query_id, doc_id, score, rank. Of a query with words, documents
+    without any of them score 0 and come last, by id, up to k in all; a query without words has no hits."""
+    posts, terms, stats = indexed(docs, id_col, text_col)
+    words = query_words(queries)
+    parts = bm25_parts(words, posts, okapi_terms(terms, stats), stats, k1, b).select("query_id", "doc_id", "part")
+    # fewer than k hits leave at least k of the first 2 k documents
+    first = docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * k)
+    zeros = words.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("part", F.lit(0.0))
+    return top(parts.unionByName(zeros).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -67,21 +115,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(both > 0, dot / both).otherwise(F.lit(0.0))
 
 
-def _bounded(queries: DataFrame, most: int) -> DataFrame:
-    """A stated set of queries, refused if it is larger; the rankers take any number."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} query vectors; pass fewer at a time")
-    return F.broadcast(queries)
-
-
-def against_all(queries: DataFrame, rows: DataFrame, block: int = 10_000) -> DataFrame:
-    """Every query with every row. Up to a block of queries is broadcast; more are dealt into blocks of about that size,
-    each of which meets each partition of the rows in a task of its own."""
-    if queries.limit(block + 1).count() <= block:
-        return rows.crossJoin(F.broadcast(queries))
-    return rows.crossJoin(queries.repartition(-(-queries.count() // block)))
-
-
 def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The vectors padded by zeros to one length, their lengths, and whether each is known: neither null nor with a null."""
     rows = vectors.to_pylist()
@@ -93,33 +126,47 @@ def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, size, known
 
 
-def _best(k: int, step: int = 256):
-    """Of two groups, queries and rows, the pairs that can be among the k best, with the same cosine as ``cosine`` has, not rounded."""
+def _cosines(asked: pa.Table, rows: pa.Table, step: int = 256):
+    """Of two groups, queries and rows, for some queries at a time: where they begin, their cosines with all rows, not rounded, and
+    which of them are null; as ``cosine`` has them."""
+    (q, q_size, q_known), (x, x_size, x_known) = _matrix(asked.column("qvector")), _matrix(rows.column("vector"))
+    width = min(q.shape[1], x.shape[1])
+    norms = []
+    for m in (q, x):
+        total = np.zeros(len(m))
+        for d in range(m.shape[1]):  # one value after another, as in the JVM
+            total += m[:, d] * m[:, d]
+        norms.append(np.sqrt(total))
+    x_t = np.ascontiguousarray(x.T)
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        dot = np.zeros((len(q[part]), len(x)))
+        for d in range(width):
+            dot += q[part, d, None] * x_t[d]
+        both = norms[0][part, None] * norms[1]
+        zero = (both <= 0) | ~(q_known[part, None] & x_known)
+        with np.errstate(all="ignore"):
+            score = np.where(zero, 0.0, dot / both)
+        yield at, score, ~zero & (q_size[part, None] != x_size)
+
+
+def _best(k: int, by_document: bool = False):
+    """Of two groups, queries and rows, the pairs that can be among the k best. by_document: the best row counts for its document."""
 
     def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows.column("doc_id").combine_chunks(), null_placement="at_start"))
-        (q, q_size, q_known), (x, x_size, x_known) = _matrix(asked.column("qvector")), _matrix(rows.column("vector"))
-        width = min(q.shape[1], x.shape[1])
-        norms = []
-        for m in (q, x):
-            total = np.zeros(len(m))
-            for d in range(m.shape[1]):  # one value after another, as in the JVM
-                total += m[:, d] * m[:, d]
-            norms.append(np.sqrt(total))
-        x_t = np.ascontiguousarray(x.T)
+        docs, starts = rows.column("doc_id").combine_chunks(), None
+        if by_document:
+            same = pc.fill_null(pc.equal(docs[1:], docs[:-1]), False).to_numpy(zero_copy_only=False) if len(docs) else np.zeros(0, bool)
+            starts = np.flatnonzero(np.concatenate(([True], ~same))) if len(docs) else np.zeros(0, np.int64)
+            docs = docs.take(pa.array(starts))
         from_q, from_x, scores, unknown = [], [], [], []
-        for at in range(0, len(q), step):
-            part = slice(at, at + step)
-            dot = np.zeros((len(q[part]), len(x)))
-            for d in range(width):
-                dot += q[part, d, None] * x_t[d]
-            both = norms[0][part, None] * norms[1]
-            zero = (both <= 0) | ~(q_known[part, None] & x_known)
-            with np.errstate(all="ignore"):
-                score = np.where(zero, 0.0, dot / both)
-            null = ~zero & (q_size[part, None] != x_size)
+        for at, score, null in _cosines(asked, rows):
             # NaN comes first and null last
             order = np.where(null, -np.inf, np.where(np.isnan(score), np.inf, score))
+            if by_document and order.shape[1]:
+                order = np.maximum.reduceat(order, starts, axis=1)
+                score, null = np.where(order == np.inf, np.nan, order), order == -np.inf
             least = np.partition(order, -k, axis=1)[:, -k] if order.shape[1] > k else np.full(len(order), -np.inf)
             for i in range(len(order)):
                 near = np.flatnonzero(order[i] >= least[i] - 2e-6)  # rounded later to six digits
@@ -132,18 +179,37 @@ def _best(k: int, step: int = 256):
                 from_x.append(near)
                 scores.append(score[i, near])
                 unknown.append(null[i, near])
-        at_q, at_x, score, null = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((from_q, np.int64), (from_x, np.int64), (scores, float), (unknown, bool)))
-        return pa.table({"query_id": asked.column("query_id").take(pa.array(at_q)), "doc_id": rows.column("doc_id").take(pa.array(at_x)), "score": pa.array(score, pa.float64(), mask=null)})
+        return _pairs(asked, docs, from_q, from_x, scores, unknown)
 
     return best
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, most_query_rows: int = 10_000, most_corpus_rows: int = 5_000) -> DataFrame:
-    """Exact. queries: query_id, qvector, of any number, dealt into blocks of about most_query_rows; corpus: doc_id, vector, dealt into parts
-    of about most_corpus_rows. Each block meets each part in a group of its own, which keeps the best k of each query by cosine."""
+def _above(least: float):
+    """Of two groups, queries and rows, the pairs whose rounded cosine reaches ``least``."""
+
+    def above(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        from_q, from_x, scores = [], [], []
+        for at, score, null in _cosines(asked, rows):
+            i, j = np.nonzero(~null & ((score >= least - 1e-6) | np.isnan(score)))
+            from_q.append(i + at)
+            from_x.append(j)
+            scores.append(score[i, j])
+        return _pairs(asked, rows.column("doc_id"), from_q, from_x, scores, [np.zeros(len(x), bool) for x in scores])
+
+    return above
+
+
+def _pairs(asked: pa.Table, docs, *found: list) -> pa.Table:
+    at_q, at_x, score, null = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(found, (np.int64, np.int64, float, bool), strict=True))
+    return pa.table({"query_id": asked.column("query_id").take(pa.array(at_q)), "doc_id": docs.take(pa.array(at_x)), "score": pa.array(score, pa.float64(), mask=null)})
+
+
+def _compared(queries: DataFrame, corpus: DataFrame, compare, most_query_rows: int, most_corpus_rows: int) -> DataFrame:
+    """Every query with every row, block by block: queries are dealt into blocks, the corpus into parts, each block meets each part in a
+    group of its own, which keeps only what ``compare`` finds."""
     blocks = max(-(-queries.count() // most_query_rows), 1)
     n, cores = corpus.count(), corpus.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n // most_corpus_rows), min(n, 4 * cores), 1)
+    parts = max(-(-n // most_corpus_rows), min(n, cores), 1)
     dealt = lambda of: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     asked = queries.select("query_id", "qvector", dealt(blocks).alias("block")).withColumn("part", every(parts))
@@ -151,14 +217,31 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, most_query_rows: int = 10
     tasks = min(blocks * parts, max(4 * cores, blocks * parts // 16))
     asked, rows = (df.repartition(tasks, "block", "part").groupBy("block", "part") for df in (asked, rows))
     types = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc_id"]
-    found = asked.cogroup(rows).applyInArrow(_best(k), "query_id {}, doc_id {}, score double".format(*types))
-    return top(found.withColumn("score", F.round("score", 6)), k)
+    found = asked.cogroup(rows).applyInArrow(compare, "query_id {}, doc_id {}, score double".format(*types))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, most_query_rows: int = 10_000, most_corpus_rows: int = 5_000, allowed: Column | None = None, least: float | None = None) -> DataFrame:
+    """Exact. queries: query_id, qvector, of any number; corpus: doc_id, vector and what the filter ``allowed`` reads, which holds
+    before scores are made. Of each query the k best by cosine, of those that reach the radius ``least``, if it is given."""
+    corpus = corpus if allowed is None else corpus.filter(allowed)
+    found = _compared(queries, corpus, _best(k), most_query_rows, most_corpus_rows)
+    return top(found if least is None else found.filter(F.col("score") >= least), k)
+
 
+def within(queries: DataFrame, corpus: DataFrame, least: float, most_query_rows: int = 10_000, most_corpus_rows: int = 5_000) -> DataFrame:
+    """query_id, doc_id, score: all rows whose cosine reaches ``least``."""
+    return _compared(queries, corpus, _above(least), most_query_rows, most_corpus_rows).filter(F.col("score") >= least)
 
-def max_sim(queries: DataFrame, facts: DataFrame, k: int, most_query_rows: int = 10_000) -> DataFrame:
-    """Best cosine over a document's vectors. facts: doc_id, vector, several rows a document."""
-    scored = against_all(queries, facts, most_query_rows).groupBy("query_id", "doc_id").agg(F.round(F.max(cosine(F.col("qvector"), F.col("vector"))), 6).alias("score"))
-    return top(scored, k)
+
+def max_sim(queries: DataFrame, facts: DataFrame, k: int, fields: DataFrame | None = None, most_query_rows: int = 10_000, most_corpus_rows: int = 5_000) -> DataFrame:
+    """Best cosine over a document's vectors. facts: doc_id, vector, several rows a document. fields, alike, has the vectors of whole
+    fields; they count for documents that have no fact."""
+    rows = facts.select("doc_id", "vector")
+    if fields is not None:
+        rows = rows.unionByName(fields.select("doc_id", "vector").join(facts.select("doc_id").distinct(), "doc_id", "left_anti"))
+    found = _compared(queries, rows, _best(k, by_document=True), most_query_rows, most_corpus_rows)
+    return top(found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
@@ -166,6 +249,31 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     return lists.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
 
 
+def fused(lists: DataFrame, n: int, k: int = 60) -> DataFrame:
+    """lists: query_id, list_no, doc_id, rank, score. Reciprocal rank fusion of a query's lists, the best n: query_id, doc_id, score,
+    rank. A query with one list keeps it as it is, with its scores and order."""
+    one = lists.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"), F.max("score").alias("own"), F.min("rank").alias("first"))
+    sides = lists.groupBy("query_id").agg(F.count_distinct("list_no").alias("sides"))
+    single = F.col("sides") == 1
+    both = one.join(sides, "query_id").select("query_id", "doc_id", F.when(single, F.col("own")).otherwise(F.col("rrf")).alias("score"), F.when(single, -F.col("first")).otherwise(F.col("rrf")).alias("key"))
+    return top(both, n, "key").drop("key")
+
+
+def in_turn(lists: DataFrame) -> DataFrame:
+    """lists: query_id, list_no, doc_id, rank. The lists of a query one after another, documents only where they come first."""
+    first = lists.groupBy("query_id", "doc_id").agg(F.min(F.struct("list_no", "rank")).alias("at"))
+    return first.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "doc_id")).alias("rank"))
+
+
+def origins(*rounds: tuple[str, DataFrame]) -> DataFrame:
+    """query_id, doc_id, origin: the first of the named rounds (query_id, doc_id) that has the document."""
+    rows = None
+    for no, (name, hits) in enumerate(rounds):
+        own = hits.select("query_id", "doc_id", F.struct(F.lit(no).alias("no"), F.lit(name).alias("name")).alias("o"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("query_id", "doc_id").agg(F.min("o")["name"].alias("origin"))
+
+
 def rerank(hits: DataFrame, scores: DataFrame, least_success: float = 0.3) -> DataFrame:
     """hits: query_id, doc_id, rank; scores: query_id, doc_id, rerank_score. New order by the scores, the old one for
     queries of which fewer than least_success of the hits have any; in the new order unscored hits come last."""
@@ -187,9 +295,8 @@ def merge_rounds(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
 
 def explain(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "unit_id", text_col: str = "narrative", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, term, tf, part: what each term adds to the BM25 score of the k best of each query."""
-    posts, stats = postings(docs, id_col, text_col), corpus_stats(docs, id_col, text_col)
-    words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
-    parts = bm25_parts(words, posts, okapi_terms(posts, stats), stats, k1, b)
+    posts, terms, stats = indexed(docs, id_col, text_col)
+    parts = bm25_parts(query_words(queries), posts, okapi_terms(terms, stats), stats, k1, b)
     best = top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k).select("query_id", "doc_id")
     return parts.join(best, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "term", "tf", F.round("part", 6).alias("part"))
 
@@ -204,12 +311,12 @@ def normalised(hits: DataFrame, by: str, score: str) -> DataFrame:
 def boosted(queries: DataFrame, docs: DataFrame, k: int, allowed: Column | None = None, id_col: str = "unit_id", text_col: str = "narrative", words: int = 10) -> DataFrame:
     """Keyword search: of a query its ``words`` words with the highest text score count, each boosted by it; at least one must
     be found. Only documents for which ``allowed`` holds are hits; frequencies are those of all. query_id, doc_id, score, rank."""
-    posts, stats = postings(docs, id_col, text_col), corpus_stats(docs, id_col, text_col)
+    posts, terms, stats = indexed(docs, id_col, text_col)
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("weight", text_score(F.col("term")))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))
     asked = asked.withColumn("nth", nth).filter(F.col("nth") <= words).select("query_id", "term", "weight")
     some = posts if allowed is None else postings(docs.filter(allowed), id_col, text_col)
-    parts = bm25_parts(asked, some, lucene_terms(posts, stats), stats, 1.2, 0.75)
+    parts = bm25_parts(asked, some, lucene_terms(terms, stats), stats, 1.2, 0.75)
     return top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
 
 

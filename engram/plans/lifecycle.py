@@ -9,7 +9,7 @@ from engram import tables as T
 from engram.functions import text as X
 from engram.operators import clusters, rank
 from engram.plans.lookups import _joined
-from engram.plans.queries import _BM25, _EVENTS, _MESSAGES, _VERSIONS, query, r6_knn
+from engram.plans.queries import _BM25, _EVENTS, _FUSE, _MESSAGES, _USABLE, _VARIANTS, _VERSIONS, _usable, _variant_lists, query, r6_knn
 
 # retrieval
 
@@ -22,29 +22,21 @@ def r18_insert_after_hits(spark, sf):
     return clusters.insert_after_hits(hits, members)
 
 
-_VARIANTS = "(SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(text, 1, 60) FROM benchmark)"
-
-
 @query(
     _BM25.replace("{field}", "narrative").replace("FROM benchmark)", f"FROM {_VARIANTS})")
-    + """, s AS (SELECT query_id // 2 AS query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM hits WHERE rank <= 50 GROUP BY 1, 2)
-    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20"""
+    + ", l AS (SELECT query_id // 4 AS query_id, query_id % 4 AS list_no, doc_id, rank, score FROM hits WHERE rank <= 50), "
+    + _FUSE
 )
 def r14_multi_query(spark, sf):
-    """Two variants of each question in one job, fused by reciprocal rank."""
-    b = T.read(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    variants = b.select((F.col("item_id") * 2).alias("query_id"), "text").unionByName(b.select((F.col("item_id") * 2 + 1).alias("query_id"), F.substring("text", 1, 60).alias("text")))
-    hits = rank.bm25(variants, T.memunits(spark, sf), 50)
-    lists = hits.select(F.floor(F.col("query_id") / 2).alias("query_id"), F.pmod("query_id", F.lit(2)).alias("list_no"), "doc_id", "rank")
-    return rank.top(rank.rrf(lists), 20).withColumn("rank", F.col("rank").cast("long"))
+    """All variants of all questions in one job; the lists of a question are fused by reciprocal rank, a single list stays as it is."""
+    return rank.fused(_variant_lists(spark, sf), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("SELECT item_id, CASE WHEN len(v) = 0 THEN text ELSE array_to_string(v, '|') END AS variants FROM (SELECT item_id, text, list_slice(list_filter(string_split(text, '. '), lambda s: length(s) BETWEEN 5 AND 300 AND s <> text), 1, 3) AS v FROM (SELECT item_id, coalesce(text, '') AS text FROM benchmark))")
+@query(f"SELECT item_id, CASE WHEN len(v) = 0 THEN text ELSE array_to_string(v, '|') END AS variants FROM (SELECT item_id, text, {_USABLE} AS v FROM (SELECT item_id, coalesce(text, '') AS text FROM benchmark))")
 def x15_variants(spark, sf):
     """At most three usable variants of a question, or the question itself."""
-    b = T.read(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    usable = F.filter(F.split("text", r"\. "), lambda s: F.length(s).between(5, 300) & (s != F.col("text")))
-    return b.withColumn("v", F.slice(usable, 1, 3)).select("item_id", F.when(F.size("v") == 0, F.col("text")).otherwise(F.array_join("v", "|")).alias("variants"))
+    b = T.read(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("v", _usable(F.col("text")))
+    return b.select("item_id", F.when(F.size("v") == 0, F.col("text")).otherwise(F.array_join("v", "|")).alias("variants"))
 
 
 # clusters
@@ -81,16 +73,6 @@ def w9_next_session(spark, sf):
 # profiles and evaluation
 
 
-@query("SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS evidences FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events WHERE value > 20) WHERE nth <= 10 GROUP BY 1")
-def a5_first_evidences(spark, sf):
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    first = T.read(spark, sf, "events").filter("value > 20").select("user_id", "event_id").withColumn("nth", nth).filter("nth <= 10")
-    return first.groupBy("user_id").agg(_joined(F.struct("event_id"), "event_id").alias("evidences"))
-
-
-@query("SELECT event_id FROM events WHERE event_type = 'purchase' AND value >= 60")
-def p4_value_gate(spark, sf):
-    return T.read(spark, sf, "events").filter("event_type = 'purchase' and value >= 60").select("event_id")
 
 
 @query("SELECT l_orderkey AS unit_id, l_linenumber::BIGINT AS line, strftime(o_orderdate, '%Y-%m-%d') || '|' || l_orderkey AS evidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%'")
@@ -101,10 +83,6 @@ def p5_evidence_format(spark, sf):
     return l.join(o, "unit_id").select("unit_id", "line", F.concat_ws("|", "day", "unit_id").alias("evidence"))
 
 
-@query(f"SELECT conv_id, arg_min(at, turn) AS first_at, count(DISTINCT sender) AS senders FROM {_MESSAGES} GROUP BY 1")
-def p13_unit_dates(spark, sf):
-    return T.messages(spark, sf).groupBy("conv_id").agg(F.min_by("at", "turn").alias("first_at"), F.count_distinct("sender").alias("senders"))
-
 
 @query(f"SELECT user_id, version, order_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY version DESC, order_id DESC) AS nth FROM {_VERSIONS}) WHERE nth <= 3")
 def p14_history(spark, sf):
@@ -112,11 +90,6 @@ def p14_history(spark, sf):
     return T.profile_versions(spark, sf).withColumn("nth", nth).filter("nth <= 3").select("user_id", "version", "order_id")
 
 
-@query("SELECT l.doc_id, d.source AS category FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.quality = 0")
-def e2_wrong_answers(spark, sf):
-    wrong = T.read(spark, sf, "labels").filter("quality = 0").select("doc_id")
-    return T.read(spark, sf, "documents").select("doc_id", F.col("source").alias("category")).join(wrong, "doc_id")
-
 
 # parsing
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram import tables as T
 from engram.functions import text as X
 from engram.operators import profiles, rank
-from engram.plans.queries import _BM25, _COS, _EVENTS, _FUSED, _KNN, _MESSAGES, _TOKENS, _UNITS, _VECTORS, _VERSIONS, _queries, _vector_queries, query, r1_bm25, r6_knn
+from engram.plans.queries import _BM25, _COS, _EVENTS, _KNN, _MESSAGES, _TOKENS, _UNITS, _ROUNDS, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r1_bm25, r6_knn
 
 _HITS = f"h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})) WHERE rank <= 20)"
 
@@ -21,9 +21,9 @@ def _joined(ordered, value, sep=","):
 # filters
 
 
-@query(f"SELECT unit_id, list_has_any(t, ['the', 'la', 'der']) AS any_word, list_has_all(t, ['the', 'of']) AS all_words FROM (SELECT unit_id, {_TOKENS.format('subject')} AS t FROM {_UNITS})")
+@query(f"SELECT unit_id, list_has_any(t, ['the', 'la', 'der']) AS any_word, list_has_all(t, ['the', 'of']) AS all_words FROM (SELECT unit_id, {_TOKENS.format('narrative')} AS t FROM {_UNITS})")
 def f6_keywords(spark, sf):
-    u = T.memunits(spark, sf).select("unit_id", X.tokens(F.col("subject")).alias("t"))
+    u = T.memunits(spark, sf).select("unit_id", X.tokens(F.col("narrative")).alias("t"))
     asked = lambda *w: F.array(*map(F.lit, w))
     return u.select("unit_id", F.arrays_overlap("t", asked("the", "la", "der")).alias("any_word"), (F.size(F.array_except(asked("the", "of"), F.col("t"))) == 0).alias("all_words"))
 
@@ -74,15 +74,14 @@ def j2_children_with_parent(spark, sf):
 
 
 @query(
-    _FUSED
+    _ROUNDS
     + """, m AS (SELECT query_id, doc_id, 'round1' AS origin, rank FROM a WHERE rank <= 20 UNION ALL
     SELECT query_id, doc_id, 'round2', rank FROM b WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.rank <= 20 AND x.query_id = b.query_id AND x.doc_id = b.doc_id))
     SELECT query_id, doc_id, origin, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY origin, rank) AS place FROM m) WHERE place <= 40"""
 )
 def j5_second_round(spark, sf):
-    """The first round's best 20, then what only the second finds, 40 at most; origin names the round."""
-    q, u = _queries(spark, sf), T.memunits(spark, sf)
-    return rank.merge_rounds(rank.bm25(q, u, 20), rank.bm25(q, u, 50, text_col="subject"), 40)
+    """The first round's best 20, then what only the variants' lists in turn have, 40 at most; origin names the round."""
+    return rank.merge_rounds(rank.bm25(_queries(spark, sf), T.memunits(spark, sf), 20), rank.in_turn(_variant_lists(spark, sf)), 40)
 
 
 @query(_BM25.replace("{field}", "narrative") + f" SELECT query_id, string_agg(substr(narrative, 1, 500), chr(10) ORDER BY rank) AS context FROM hits JOIN {_UNITS} u ON doc_id = unit_id WHERE rank <= 5 GROUP BY 1")
@@ -131,11 +130,6 @@ def r22_members_by_score(spark, sf):
 # aggregations
 
 
-@query("SELECT count(*) AS units, count(DISTINCT label) AS clusters, count(*) FILTER (embedding IS NULL OR len(embedding) = 0) AS failed FROM embeddings")
-def a7_clustering_stats(spark, sf):
-    missing = F.when(F.col("embedding").isNull() | (F.size("embedding") == 0), 1)
-    return T.read(spark, sf, "embeddings").agg(F.count("*").alias("units"), F.countDistinct("label").alias("clusters"), F.count(missing).alias("failed"))
-
 
 _PROFILE = "(SELECT o_custkey AS k, round(max(o_totalprice), 2) AS price, list(DISTINCT o_orderpriority) AS items FROM orders WHERE o_orderstatus = '{}' GROUP BY 1)"
 
@@ -238,23 +232,22 @@ def u3_related_units(spark, sf):
 
 # evaluation and scalar functions
 
-_ANSWER = "CASE l_linenumber % 4 WHEN 0 THEN 'So (' || l_returnflag || ') it is' WHEN 1 THEN lower(l_returnflag) || ') yes' WHEN 2 THEN l_returnflag || '. yes' ELSE ' ' || l_returnflag || ' ' END"
+_ANSWER = """CASE l_linenumber % 7 WHEN 0 THEN 'So (' || l_returnflag || ') it is, not b)' WHEN 1 THEN lower(l_returnflag) || ') yes' WHEN 2 THEN l_returnflag || '. yes' WHEN 3 THEN ' ' || l_returnflag || ' '
+    WHEN 4 THEN 'The   answer is ' || l_returnflag WHEN 5 THEN 'I say ' || l_returnflag ELSE 'none at all' END"""
+#: Read off the forms above: the lone letters n and r are no choices, and neither is I, the first lone letter of the sixth.
+_CHOICE = "CASE WHEN l_linenumber % 7 IN (0, 1, 2) OR (l_linenumber % 7 IN (3, 4) AND l_returnflag = 'A') THEN '(' || lower(l_returnflag) || ')' END"
 
 
-@query(
-    f"""WITH r AS (SELECT l_linestatus, lower(l_returnflag) AS c, {_ANSWER} AS answer FROM lineitem)
-    SELECT l_linestatus AS category, count(*) AS n, count(*) FILTER ('(' || c || ')' = '(a)') AS correct FROM r GROUP BY 1"""
-)
+@query(f"SELECT l_linestatus AS category, {_CHOICE} AS choice, count(*) AS n, count(*) FILTER ({_CHOICE} = '(a)') AS correct FROM lineitem GROUP BY 1, 2")
 def e1_exact_match(spark, sf):
-    """Choices written in four ways against the gold choice (a)."""
-    r = T.read(spark, sf, "lineitem").select("l_linestatus", F.expr(_ANSWER).alias("answer"))
-    right = X.choice(F.col("answer")) == "(a)"
-    return r.groupBy(F.col("l_linestatus").alias("category")).agg(F.count("*").alias("n"), F.count(F.when(right, 1)).alias("correct"))
+    """Choices written in seven ways against the gold choice (a)."""
+    r = T.read(spark, sf, "lineitem").select(F.col("l_linestatus").alias("category"), X.choice(F.expr(_ANSWER)).alias("choice"))
+    return r.groupBy("category", "choice").agg(F.count("*").alias("n"), F.count(F.when(F.col("choice") == "(a)", 1)).alias("correct"))
 
 
-@query(f"SELECT unit_id, array_to_string(list_filter({_TOKENS.format('subject')}, lambda w: NOT list_contains({X.STOPWORDS!r}, w)), ' ') AS words FROM {_UNITS}")
+@query(f"SELECT unit_id, array_to_string(list_filter({_TOKENS.format('narrative')}, lambda w: NOT list_contains({X.STOPWORDS!r}, w)), ' ') AS words FROM {_UNITS}")
 def x2_without_stopwords(spark, sf):
-    return T.memunits(spark, sf).select("unit_id", F.array_join(X.tokens(F.col("subject"), X.STOPWORDS), " ").alias("words"))
+    return T.memunits(spark, sf).select("unit_id", F.array_join(X.tokens(F.col("narrative"), X.STOPWORDS), " ").alias("words"))
 
 
 @query("SELECT event_id, CASE WHEN x >= 1000000000000 THEN x ELSE x * 1000 END AS ms FROM (SELECT event_id, epoch_us(ts) // 1000000 * CASE WHEN event_id % 2 = 0 THEN 1 ELSE 1000 END AS x FROM events)")
@@ -283,9 +276,9 @@ def x17_short_code(spark, sf):
     return T.read(spark, sf, "events").select("event_id", X.base62(F.col("event_id") * 7919, 8).alias("code"))
 
 
-@query(f"SELECT unit_id, array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), '|') AS shingles FROM (SELECT unit_id, {_TOKENS.format('subject')} AS t FROM {_UNITS})")
+@query(f"SELECT unit_id, array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), '|') AS shingles FROM (SELECT unit_id, {_TOKENS.format('narrative')} AS t FROM {_UNITS})")
 def x21_shingles(spark, sf):
-    return T.memunits(spark, sf).select("unit_id", F.array_join(X.shingles(X.tokens(F.col("subject"))), "|").alias("shingles"))
+    return T.memunits(spark, sf).select("unit_id", F.array_join(X.shingles(X.tokens(F.col("narrative"))), "|").alias("shingles"))
 
 
 @query(f"WITH v AS {_VECTORS} SELECT a.vec_id AS a, b.vec_id AS b, round({_COS.format('a.vector', 'b.vector')}, 6) AS score FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")

@@ -86,16 +86,16 @@ def s11_counts_by_type(spark, sf):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
-@query(f"SELECT unit_id, array_to_string({_TOKENS.format('subject')}, ' ') AS terms FROM {_UNITS}")
+@query(
+    f"""SELECT unit_id, array_to_string(list_filter({_TOKENS.format('narrative')}, lambda w: NOT list_contains({X.STOPWORDS!r}, w)), ' ') AS terms,
+    '{{"lang":"' || lang || '","group":"' || group_id || '","chars":' || length(narrative) || '}}' AS detail FROM {_UNITS}"""
+)
 def s12_search_terms(spark, sf):
-    return T.memunits(spark, sf).select("unit_id", F.array_join(X.tokens(F.col("subject")), " ").alias("terms"))
+    """Search rows: the words without stop words, and the details as JSON."""
+    detail = F.to_json(F.struct("lang", F.col("group_id").alias("group"), F.length("narrative").alias("chars")))
+    return T.memunits(spark, sf).select("unit_id", F.array_join(X.tokens(F.col("narrative"), X.STOPWORDS), " ").alias("terms"), F.when(F.col("lang").isNotNull() & F.col("group_id").isNotNull(), detail).alias("detail"))
 
 
-@query("SELECT d.doc_id, d.n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL AND coalesce(trim(d.text), '') <> ''")
-def s13_backfill_candidates(spark, sf):
-    d, l = T.read(spark, sf, "documents"), T.read(spark, sf, "labels").select("doc_id", "quality")
-    return d.join(l, "doc_id", "left").filter(F.col("quality").isNull() & (F.coalesce(F.trim("text"), F.lit("")) != "")).select("doc_id", "n_chars")
-
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def s15_pending(spark, sf):
@@ -109,10 +109,10 @@ def s16_children_of_saved_parents(spark, sf):
     return rows.select(F.col("l_orderkey").alias("parent_id"), F.col("l_linenumber").cast("long").alias("fact_no"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"), F.col("o_custkey").alias("user_id"))
 
 
-@query("SELECT vec_id, i AS fact_no, round(embedding[i + 1]::DOUBLE, 6) AS x FROM embeddings, unnest(range(least(8, len(embedding)))) AS u(i)")
+@query("SELECT vec_id, i AS fact_no, round(embedding[i + 1]::DOUBLE, 6) AS x FROM embeddings, unnest(range(len(embedding))) AS u(i)")
 def s17_flat_facts(spark, sf):
     e = T.read(spark, sf, "embeddings")
-    return e.select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("fact_no", "x")).select("vec_id", F.col("fact_no").cast("long").alias("fact_no"), F.round(F.col("x").cast("double"), 6).alias("x"))
+    return e.select("vec_id", F.posexplode("embedding").alias("fact_no", "x")).select("vec_id", F.col("fact_no").cast("long").alias("fact_no"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def flat_facts(parents: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def flat_facts(parents: DataFrame) -> DataFrame:
     array_to_string(list_transform(vectors[i + 1].v, lambda x: floor(x::DOUBLE * 1000000)::BIGINT), ',') AS millionths FROM p, unnest(range(least(len(facts), len(vectors)))) AS u(i)"""
 )
 def s17_zipped_facts(spark, sf):
-    """A document's lines are its facts, four vectors in a row belong to a document; the whole vectors, in millionths. s17_flat_facts has first values only."""
+    """A document's lines are its facts, four vectors in a row belong to a document; the whole vectors, in millionths."""
     e = T.vectors(spark, sf).select(F.expr("vec_id div 4").alias("doc_id"), F.struct("vec_id", "vector").alias("v"))
     vectors = e.groupBy("doc_id").agg(F.sort_array(F.collect_list("v")).alias("vectors"))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda s: F.trim(s) != "")
@@ -224,26 +224,10 @@ def f18_placeholders(spark, sf):
     return e.select("event_id", F.when(kind.isin("click", "view"), F.concat(F.lit("["), kind, F.lit("]"))).otherwise(kind).alias("shown"))
 
 
-@query(f"SELECT unit_id, coalesce(nullif(trim(subject), ''), nullif(trim(summary), ''), unit_id::VARCHAR) AS best FROM {_UNITS}")
-def f19_best_text(spark, sf):
-    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return T.memunits(spark, sf).select("unit_id", F.coalesce(filled("subject"), filled("summary"), F.col("unit_id").cast("string")).alias("best"))
-
 
 # joins
 
 
-@query("SELECT a.vec_id AS query_id, b.vec_id AS doc_id, a.label::BIGINT AS cluster_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20")
-def j1_cluster_members(spark, sf):
-    e = T.read(spark, sf, "embeddings").select("vec_id", "label")
-    hits = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    return hits.join(e, "label").filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("cluster_id"))
-
-
-@query("SELECT d.doc_id, coalesce(l.quality::VARCHAR, 'NOT_FOUND') AS cluster FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-def j3_evidence_to_cluster(spark, sf):
-    return T.read(spark, sf, "documents").select("doc_id").join(T.read(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("NOT_FOUND")).alias("cluster"))
-
 
 @query("SELECT o_orderkey AS order_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def j6_valid_ids(spark, sf):
@@ -251,16 +235,10 @@ def j6_valid_ids(spark, sf):
     return T.read(spark, sf, "orders").select("o_orderkey").join(returned, "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("order_id"))
 
 
-@query("SELECT coalesce(c.k, s.k) AS id, coalesce(c.name, s.name) AS name FROM (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_acctbal > 5000) c FULL JOIN (SELECT s_suppkey AS k, s_name AS name FROM supplier) s ON c.k = s.k")
-def j7_name_resolution(spark, sf):
-    now = T.read(spark, sf, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("now"))
-    before = T.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("before"))
-    return now.join(before, "id", "full").select("id", F.coalesce("now", "before").alias("name"))
 
-
-@query(f"SELECT user_id, version, order_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY version DESC, order_id DESC) AS nth FROM {_VERSIONS} WHERE version BETWEEN 13 AND 36) WHERE nth = 1")
+@query(f"SELECT user_id, version, order_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY version DESC, order_id DESC) AS nth FROM {_VERSIONS} WHERE version BETWEEN 49 AND 84) WHERE nth = 1")
 def j8_as_of_version(spark, sf):
-    return profiles.as_of(T.profile_versions(spark, sf), ["user_id"], "version", 13, 36, "order_id").select("user_id", "version", "order_id")
+    return profiles.as_of(T.profile_versions(spark, sf), ["user_id"], "version", 49, 84, "order_id").select("user_id", "version", "order_id")
 
 
 @query(
@@ -340,15 +318,6 @@ def a10_merge_highest_level(spark, sf):
     return profiles.merge_values(rows, ["user_id"], "highest").select("user_id", "value", F.array_join("evidences", ",").alias("evidences"), "level")
 
 
-@query(
-    """WITH r AS (SELECT d.source, round(avg(l.quality), 9) AS q, round(avg(l.toxic), 9) AS t FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1)
-    SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, run FROM (SELECT q AS x, 'quality' AS run FROM r UNION ALL SELECT t, 'toxic' FROM r) GROUP BY run"""
-)
-def a14_judge_accuracy(spark, sf):
-    l = T.read(spark, sf, "labels").join(T.read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    r = l.groupBy("source").agg(F.round(F.avg("quality"), 9).alias("quality"), F.round(F.avg("toxic"), 9).alias("toxic"))
-    return r.unpivot("source", ["quality", "toxic"], "run", "x").groupBy("run").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
-
 
 @query("SELECT d.source, d.lang, count(*) AS n, sum(l.quality)::BIGINT AS correct, round(avg(l.quality), 6) AS accuracy FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY GROUPING SETS ((), (d.source), (d.lang))")
 def a15_roll_up(spark, sf):
@@ -361,10 +330,6 @@ def a18_stage_usage(spark, sf):
     return T.read(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("SELECT conv_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS participants FROM conversations GROUP BY 1")
-def a20_participants(spark, sf):
-    return T.read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("participants"))
-
 
 @query("SELECT source AS group_id, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def a22_units_per_group(spark, sf):
@@ -410,11 +375,6 @@ def w8_context(spark, sf):
     return T.messages(spark, sf).select("conv_id", "turn", F.nullif(joined, F.lit("")).alias("context"))
 
 
-@query("SELECT o_custkey AS user_id, arg_max(o_orderkey, o_orderkey % 1000 * 1000000000 + o_orderkey) AS run FROM orders GROUP BY 1")
-def w12_latest_run(spark, sf):
-    k = F.col("o_orderkey")
-    return T.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max_by(k, F.struct(k % 1000, k)).alias("run"))
-
 
 # order, sets
 
@@ -424,11 +384,6 @@ def t1_top_k(spark, sf):
     return T.memunits(spark, sf).select("unit_id", F.length("narrative").cast("long").alias("n")).orderBy(F.desc("n"), "unit_id").limit(50)
 
 
-@query("SELECT source, arg_min(doc_id, CASE WHEN l.quality = 0 THEN 0 ELSE 1 END * 1000000000000 + doc_id) AS evicted FROM documents JOIN labels l USING (doc_id) GROUP BY 1")
-def t5_eviction(spark, sf):
-    d = T.read(spark, sf, "documents").select("doc_id", "source").join(T.read(spark, sf, "labels"), "doc_id")
-    return d.groupBy("source").agg(F.min_by("doc_id", F.struct(F.col("quality") != 0, F.col("doc_id"))).alias("evicted"))
-
 
 @query("SELECT user_id, 'only_click' AS kind FROM (SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase') UNION ALL SELECT user_id, 'both' FROM (SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase')")
 def u2_except_intersect(spark, sf):
@@ -452,7 +407,8 @@ _BM25 = (
     q AS (SELECT query_id, term, count(*) AS w FROM (SELECT item_id AS query_id, unnest("""
     + _TOKENS.format("coalesce(text, '')")
     + """) AS term FROM benchmark) GROUP BY 1, 2),
-    scored AS (SELECT query_id, doc_id, round(sum(w * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN terms USING (term) JOIN posts USING (term), stats GROUP BY 1, 2),
+    matched AS (SELECT query_id, doc_id, sum(w * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN terms USING (term) JOIN posts USING (term), stats GROUP BY 1, 2),
+    scored AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM matched UNION ALL SELECT query_id, unit_id, 0 FROM (SELECT DISTINCT query_id FROM q), toks) GROUP BY 1, 2),
     hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
 ).replace("{{", "{").replace("}}", "}")
 
@@ -489,17 +445,30 @@ def r6_knn(spark, sf):
     SELECT query_id, c.label::BIGINT AS cluster_id, count(*) AS hits, any_value(c.n) - count(*) AS others FROM h JOIN embeddings e ON h.doc_id = e.vec_id JOIN c ON e.label = c.label GROUP BY 1, 2"""
 )
 def j1_hit_clusters(spark, sf):
-    """The clusters of all hits of every search, with their numbers of hits and of other members; j1_cluster_members lists members for 20 ids."""
+    """The clusters of all hits of every search, with their numbers of hits and of other members."""
     e = T.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("cluster_id"))
     sizes = e.groupBy("cluster_id").agg(F.count("*").alias("n"))
     hits = r6_knn(spark, sf).join(e, "doc_id").groupBy("query_id", "cluster_id").agg(F.count("*").alias("hits"))
     return hits.join(sizes, "cluster_id").select("query_id", "cluster_id", "hits", (F.col("n") - F.col("hits")).alias("others"))
 
 
+@query(
+    f"""WITH h AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})) WHERE rank <= 20),
+    c AS (SELECT label, count(*) AS hits, count(DISTINCT query_id) AS queries FROM h JOIN embeddings e ON h.doc_id = e.vec_id GROUP BY 1)
+    SELECT e.vec_id AS doc_id, e.label::BIGINT AS cluster_id, c.hits, c.queries, md5(d.text) AS text_md5 FROM c JOIN embeddings e ON c.label = e.label LEFT JOIN documents d ON d.doc_id = e.vec_id"""
+)
+def j1_cluster_members(spark, sf):
+    """Hits to their clusters, clusters to their members, members to documents: each member once, with the hits and queries of its
+    cluster, not once for each hit of a query."""
+    e = T.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("cluster_id"))
+    found = r6_knn(spark, sf).join(e, "doc_id").groupBy("cluster_id").agg(F.count("*").alias("hits"), F.count_distinct("query_id").alias("queries"))
+    texts = T.read(spark, sf, "documents").select("doc_id", F.md5("text").alias("text_md5"))
+    return e.join(found, "cluster_id").join(texts, "doc_id", "left").select("doc_id", "cluster_id", "hits", "queries", "text_md5")
+
+
 @query(f"SELECT query_id, doc_id, score FROM ({_KNN}) WHERE score >= 0.4 AND doc_id <> query_id")
 def f17_score_threshold(spark, sf):
-    scored = rank.against_all(_vector_queries(spark, sf), T.vectors(spark, sf)).select("query_id", F.col("vec_id").alias("doc_id"), F.round(rank.cosine(F.col("qvector"), F.col("vector")), 6).alias("score"))
-    return scored.filter("score >= 0.4 and doc_id <> query_id")
+    return rank.within(_vector_queries(spark, sf), T.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "vector"), 0.4).filter("doc_id <> query_id")
 
 
 @query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, label::BIGINT AS doc_id, max(round({_COS.format('qvector', 'vector')}, 6)) AS score FROM {_VQ}, {_VECTORS} GROUP BY 1, 2)) WHERE rank <= 5")
@@ -508,25 +477,54 @@ def r5_max_sim(spark, sf):
     return rank.max_sim(_vector_queries(spark, sf), facts, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-_FUSED = (
-    _BM25.replace("{field}", "narrative").replace("WITH ", "WITH a AS (", 1)
-    + " SELECT query_id, doc_id, rank FROM hits WHERE rank <= 50), b AS ("
-    + _BM25.replace("{field}", "subject")
-    + " SELECT query_id, doc_id, rank FROM hits WHERE rank <= 50)"
-)
-_FUSED = _FUSED.replace("WITH a AS (toks", "WITH a AS (WITH toks", 1)
+#: Of a relation l (query_id, list_no, doc_id, rank, score).
+_FUSE = """o AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, max(score) AS own, min(rank) AS first FROM l GROUP BY 1, 2), n AS (SELECT query_id, count(DISTINCT list_no) AS sides FROM l GROUP BY 1),
+    w AS (SELECT query_id, doc_id, CASE WHEN sides = 1 THEN own ELSE rrf END AS score, CASE WHEN sides = 1 THEN -first ELSE rrf END AS key FROM o JOIN n USING (query_id))
+    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, doc_id) AS rank FROM w) WHERE rank <= 20"""
 
 
 @query(
-    _FUSED
-    + """, s AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
-    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20"""
+    _BM25.replace("{field}", "narrative")
+    + f""", l AS (SELECT query_id, 0 AS list_no, doc_id, rank, score FROM hits WHERE rank <= 50 UNION ALL SELECT query_id // 20, 1, doc_id, rank, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})) WHERE rank <= 50 AND query_id // 20 IN (SELECT item_id FROM benchmark)), """
+    + _FUSE
 )
 def r11_hybrid(spark, sf):
-    """BM25 over the text and over its first line, fused by reciprocal rank."""
-    q, u = _queries(spark, sf), T.memunits(spark, sf)
-    lists = [rank.bm25(q, u, 50, text_col=c).select("query_id", F.lit(i).alias("list_no"), "doc_id", "rank") for i, c in enumerate(("narrative", "subject"))]
-    return rank.top(rank.rrf(lists[0].unionByName(lists[1])), 20).withColumn("rank", F.col("rank").cast("long"))
+    """Vectors and BM25, 50 candidates of each fused by reciprocal rank; where one side is empty the other stays as it is. The vector of
+    question i is the one numbered 20 i, so that later questions have none."""
+    asked = _queries(spark, sf)
+    words = rank.bm25(asked, T.memunits(spark, sf), 50).select("query_id", F.lit(0).alias("list_no"), "doc_id", "rank", "score")
+    vectors = _vector_queries(spark, sf).withColumn("query_id", F.expr("query_id div 20")).join(asked.select("query_id"), "query_id", "left_semi")
+    near = rank.knn(vectors, T.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "vector"), 50).select("query_id", F.lit(1).alias("list_no"), "doc_id", "rank", "score")
+    return rank.fused(words.unionByName(near), 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+_USABLE = "list_slice(list_filter(string_split(text, '. '), lambda s: length(s) BETWEEN 5 AND 300 AND s <> text), 1, 3)"
+_VARIANTS = f"""(SELECT item_id * 4 + generate_subscripts(vs, 1) - 1 AS item_id, unnest(vs) AS text FROM (SELECT item_id, CASE WHEN len(v) = 0 THEN [text] ELSE v END AS vs FROM
+    (SELECT item_id, text, {_USABLE} AS v FROM (SELECT item_id, coalesce(text, '') AS text FROM benchmark))))"""
+#: a: a question's first hits; b: those of its variants in turn.
+_ROUNDS = (
+    _BM25.replace("{field}", "narrative").replace("WITH ", "WITH a AS (WITH ", 1)
+    + " SELECT query_id, doc_id, rank FROM hits WHERE rank <= 50), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(list_no * 1000 + rank)) AS rank FROM ("
+    + _BM25.replace("{field}", "narrative").replace("FROM benchmark)", f"FROM {_VARIANTS})")
+    + " SELECT query_id // 4 AS query_id, query_id % 4 AS list_no, doc_id, rank FROM hits WHERE rank <= 50) GROUP BY query_id, doc_id)"
+)
+
+
+def _usable(text):
+    return F.slice(F.filter(F.split(text, r"\. "), lambda s: F.length(s).between(5, 300) & (s != text)), 1, 3)
+
+
+def _variants(spark, sf):
+    """Up to three variants of each question, its sentences, or itself: query_id (4 times the question's and the variant's number), text."""
+    v = _queries(spark, sf).withColumn("v", _usable(F.col("text")))
+    return v.select(F.posexplode(F.when(F.size("v") == 0, F.array("text")).otherwise(F.col("v"))).alias("no", "text"), "query_id").select((F.col("query_id") * 4 + F.col("no")).alias("query_id"), "text")
+
+
+def _variant_lists(spark, sf):
+    """query_id, list_no, doc_id, rank, score: the hits of each variant."""
+    hits = rank.bm25(_variants(spark, sf), T.memunits(spark, sf), 50)
+    return hits.select(F.expr("query_id div 4").alias("query_id"), F.pmod("query_id", F.lit(4)).alias("list_no"), "doc_id", "rank", "score")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from engram import tables as T
 from engram.operators import clusters, matching, profiles, rank
-from engram.plans.queries import _BM25, _EVENTS, _FUSED, _KNN, _POSTS, _TOKENS, _UNITS, _VECTORS, _VERSIONS, _queries, _vector_queries, query, r6_knn
+from engram.plans.queries import _BM25, _EVENTS, _KNN, _POSTS, _ROUNDS, _TOKENS, _UNITS, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r6_knn
 
 # filters
 
@@ -124,7 +124,7 @@ def f15_pinned_type(spark, sf):
     return rank.boosted(_queries(spark, sf), T.memunits(spark, sf), 20, F.col("lang") == "fr").withColumn("rank", F.col("rank").cast("long"))
 
 
-_SUBJECT_QUERIES = f"FROM (SELECT unit_id AS item_id, summary AS text FROM {_UNITS} WHERE unit_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)))"
+_SUBJECT_QUERIES = f"FROM (SELECT unit_id AS item_id, narrative AS text FROM {_UNITS} WHERE unit_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)))"
 
 
 @query(
@@ -138,7 +138,7 @@ _SUBJECT_QUERIES = f"FROM (SELECT unit_id AS item_id, summary AS text FROM {_UNI
 def r12_modes(spark, sf):
     """Every mode in one row shape."""
     v, u = T.vectors(spark, sf), T.memunits(spark, sf)
-    asked = u.join(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("unit_id")), "unit_id", "left_semi").select(F.col("unit_id").alias("query_id"), F.col("summary").alias("text"))
+    asked = u.join(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("unit_id")), "unit_id", "left_semi").select(F.col("unit_id").alias("query_id"), F.col("narrative").alias("text"))
     words = lambda k: rank.bm25(asked, u, k)
     near = lambda k: rank.knn(_vector_queries(spark, sf), v.select(F.col("vec_id").alias("doc_id"), "vector"), k)
     lists = lambda: words(50).withColumn("list_no", F.lit(0)).unionByName(near(50).withColumn("list_no", F.lit(1)))
@@ -154,7 +154,7 @@ def r13_profile_lookup(spark, sf):
 
 
 @query(
-    _FUSED
+    _ROUNDS
     + """, m AS (SELECT query_id, doc_id, 'round1' AS origin, rank FROM a WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 'round2', rank FROM b WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.rank <= 20 AND x.query_id = b.query_id AND x.doc_id = b.doc_id)),
     c AS (SELECT *, CASE WHEN (doc_id + query_id) % 3 = 0 THEN NULL ELSE doc_id * 7 % 101 END AS rs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY origin, rank) AS place FROM m WHERE query_id % 2 = 1) WHERE place <= 40),
     d AS (SELECT *, avg(CASE WHEN rs IS NULL THEN 0.0 ELSE 1.0 END) OVER (PARTITION BY query_id) >= 0.3 AS ok FROM c)
@@ -164,7 +164,7 @@ def r13_profile_lookup(spark, sf):
 def r17_two_rounds(spark, sf):
     """What a judge and a reranker would say comes from formulas over the ids."""
     q, u = _queries(spark, sf), T.memunits(spark, sf)
-    first, second = rank.bm25(q, u, 20), rank.bm25(q, u, 50, text_col="subject")
+    first, second = rank.bm25(q, u, 20), rank.in_turn(_variant_lists(spark, sf))
     sufficient = q.select("query_id", (F.col("query_id") % 2 == 0).alias("is_sufficient"))
     d, both = F.col("doc_id"), first.select("query_id", "doc_id").union(second.select("query_id", "doc_id")).distinct()
     scores = both.filter((d + F.col("query_id")) % 3 != 0).withColumn("rerank_score", (d * 7 % 101).cast("double"))

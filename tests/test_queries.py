@@ -152,9 +152,7 @@ def test_stream_equals_batch(spark, operator, tmp_path):
     assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, operator(events).collect()))
 
 
-def test_too_many_query_vectors(spark):
-    with pytest.raises(ValueError):
-        rank._bounded(spark.range(11), 10)
+def test_cosine_of_zero_vectors(spark):
     assert math.isclose(one(spark, rank.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))), 0.0)
 
 
@@ -172,12 +170,16 @@ def test_more_queries_than_a_block(spark, broadcast):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
         found = {(h.query_id, h.rank): (h.doc_id, round(h.score, 6)) for h in rank.knn(queries, corpus, 3, 7, 10).collect()}
-        best = rank.max_sim(queries, corpus.withColumn("doc_id", F.col("doc_id") % 10), 1, 7).collect()
-        assert rank.against_all(queries, corpus, 7).count() == len(q) * len(x)
+        best = rank.max_sim(queries, corpus.withColumn("doc_id", F.col("doc_id") % 10), 1, most_query_rows=7, most_corpus_rows=10).collect()
+        near = {(h.query_id, h.doc_id) for h in rank.within(queries, corpus, 0.7, 7, 10).collect()}
+        some = rank.knn(queries, corpus.withColumn("kind", F.col("doc_id") % 2), 3, 7, 10, allowed=F.col("kind") == 1, least=0.5).collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     wanted = {(i, n + 1): (d, round(score[i, d], 6)) for i in range(len(q)) for n, d in enumerate(sorted(range(len(x)), key=lambda d: (-score[i, d], d))[:3])}
     assert found == wanted and len(found) == 180
+    assert near == {(i, d) for i in range(len(q)) for d in range(len(x)) if score[i, d] >= 0.7}
+    odd = {(i, n): d for i in range(len(q)) for n, d in enumerate([d for d in sorted(range(len(x)), key=lambda d: (-score[i, d], d)) if d % 2 and score[i, d] >= 0.5][:3], 1)}
+    assert {(h.query_id, h.rank): h.doc_id for h in some} == odd
     assert {b.query_id: round(b.score, 6) for b in best} == {i: round(score[i].max(), 6) for i in range(len(q))}
 
 
@@ -191,6 +193,40 @@ def test_odd_vectors_among_neighbours(spark):
         assert found == wanted
 
 
+def test_more_query_vectors_than_any_block(spark):
+    queries = spark.range(20_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("qvector"))
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, vector array<double>")
+    found = rank.knn(queries, corpus, 1)
+    assert found.count() == 20_001 and found.filter("(query_id > 1) <> (doc_id = 2) and query_id <> 1").isEmpty()
+
+
+def test_fields_count_where_facts_are_missing(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, qvector array<double>")
+    facts = spark.createDataFrame([(1, [0.6, 0.8]), (1, [0.0, 1.0]), (2, [0.0, 0.0])], "doc_id long, vector array<double>")
+    fields = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.8, 0.6]), (3, [0.0, 1.0])], "doc_id long, vector array<double>")
+    assert [(r.doc_id, r.score, r.rank) for r in rank.max_sim(queries, facts, 9, fields).orderBy("rank").collect()] == [(3, 0.8, 1), (1, 0.6, 2), (2, 0.0, 3)]
+
+
+def test_lists_are_fused_or_kept(spark):
+    rows = [(1, 0, "A", 1, 0.9), (1, 0, "B", 2, 0.8), (1, 0, "C", 3, 0.7), (1, 1, "B", 1, 9.0), (1, 1, "D", 2, 8.0), (1, 1, "A", 3, 7.0), (2, 1, "X", 1, 3.0), (2, 1, "Y", 2, 3.0)]
+    lists = spark.createDataFrame(rows, "query_id int, list_no int, doc_id string, rank int, score double")
+    found = {(r.query_id, r.rank): (r.doc_id, r.score) for r in rank.fused(lists, 3).collect()}
+    assert found == {(1, 1): ("B", round(1 / 62 + 1 / 61, 9)), (1, 2): ("A", round(1 / 61 + 1 / 63, 9)), (1, 3): ("D", round(1 / 62, 9)), (2, 1): ("X", 3.0), (2, 2): ("Y", 3.0)}
+    turn = {(r.query_id, r.rank): r.doc_id for r in rank.in_turn(lists).collect()}
+    assert [turn[1, i] for i in (1, 2, 3, 4)] == ["A", "B", "C", "D"] and turn[2, 2] == "Y"
+    first, second = lists.filter("list_no = 0"), lists.filter("list_no = 1")
+    assert {(r.query_id, r.doc_id): r.origin for r in rank.origins(("round1", first), ("round2", second)).collect()} == {(1, "A"): "round1", (1, "B"): "round1", (1, "C"): "round1", (1, "D"): "round2", (2, "X"): "round2", (2, "Y"): "round2"}
+
+
+def test_documents_without_any_word_come_last(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox", "blue sea", None, "red red", "x1 y_2 a-b c"])], "unit_id long, narrative string")
+    asked = spark.createDataFrame([(1, "the red fox"), (2, "x1 y"), (3, "green")], "query_id long, text string")
+    hits = {(r.query_id, r.rank): (r.doc_id, r.score) for r in rank.bm25(asked, docs, 4).collect()}
+    assert {q for q, _ in hits} == {1, 3} and [hits[1, i][0] for i in (1, 2, 3, 4)] == [0, 3, 1, 2] and hits[1, 2][1] > 0 == hits[1, 3][1]
+    assert [hits[3, i] for i in (1, 2, 3, 4)] == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]
+    assert sorted((r.doc_id, r.dl, r.term, r.tf) for r in rank.postings(docs, "unit_id", "narrative").collect()) == [(0, 2, "fox", 1), (0, 2, "red", 1), (1, 2, "blue", 1), (1, 2, "sea", 1), (3, 2, "red", 2)]
+
+
 def test_clusters_of_all_hits(spark):
     hits, found = plans.r6_knn(spark, TINY), plans.j1_hit_clusters(spark, TINY).collect()
     assert {r.query_id for r in found} == {r.query_id for r in hits.select("query_id").distinct().collect()} and max(r.query_id for r in found) >= 20
