@@ -1,3 +1,27 @@
-"""DuckDB SQL for the training-data queries that SQL can express."""
+"""DuckDB SQL for the training-data queries that SQL can express. The others are tested against brute force."""
 
-SQL: dict[str, str] = {}
+_OP3 = r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n"""
+
+_OP7 = """WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
+    r AS (SELECT c.conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = last THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM conversations c LEFT JOIN l ON c.conv_id = l.conv_id),
+    a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM r WHERE conv_id IS NOT NULL),
+    j AS (SELECT coalesce(a.conv_id, b.conv_id) AS pair_id, coalesce(a.place, b.place) AS place, a.role AS ar, a.text AS at, b.role AS br, b.text AS bt FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.place = b.place),
+    s AS (SELECT *, bool_and(ar IS NOT DISTINCT FROM br AND at IS NOT DISTINCT FROM bt) OVER (PARTITION BY pair_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS shared FROM j),
+    p AS (SELECT pair_id, CASE WHEN shared THEN 'prompt' ELSE 'chosen' END AS part, place, ar AS role, at AS text FROM s WHERE ar IS NOT NULL UNION ALL SELECT pair_id, 'rejected', place, br, bt FROM s WHERE br IS NOT NULL AND NOT shared),
+    g AS (SELECT pair_id, part, place, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment, role = 'assistant' AND part <> 'prompt' AS in_loss FROM p),
+    u AS (SELECT pair_id, bool_or(part = 'chosen' AND in_loss) AND bool_or(part = 'rejected' AND in_loss) AS usable FROM g GROUP BY 1),
+    e AS (SELECT *, sum(length(segment)) OVER (PARTITION BY pair_id, part ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM g)
+    SELECT e.pair_id, part, place, role, segment, in_loss, "end" - length(segment) AS start, "end", usable FROM e JOIN u ON e.pair_id = u.pair_id"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT DISTINCT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item, least(13, len(w)) AS span, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS g FROM i, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(k) WHERE len(w) > 0),
+    dw AS (SELECT doc_id, k, span, array_to_string(w[k : k + span - 1], ' ') AS g FROM d, (SELECT DISTINCT span FROM iw) s, unnest(range(1, len(w) - span + 2)) AS u(k)),
+    h AS (SELECT doc_id, k, dw.span, item FROM dw JOIN iw ON dw.g = iw.g AND dw.span = iw.span),
+    n AS (SELECT doc_id, count(DISTINCT k + x) AS n_hit FROM h, unnest(range(span)) AS u(x) GROUP BY 1), t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+SQL: dict[str, str] = {"op3_exact_dedup": _OP3, "op7_preference_format": _OP7, "op10_decontamination": _OP10}

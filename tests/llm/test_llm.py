@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, exact_dedup, kd_shard, license_scan, packing, preference, quality_mil, queries, simhash, suffix_dedup, toxicity
+from engram.llm import decontam, exact_dedup, kd_shard, license_scan, packing, preference, quality_mil, queries, simhash, sql, suffix_dedup, toxicity
+from tests.oracle import connect, difference
 
 TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -715,3 +716,8 @@ def test_training_takes_one_row_of_an_id(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
     net = quality_mil.train(docs, labels)
     assert net.p["E"].shape and toxicity.train(docs, labels).weights.shape == (7,)
+
+
+@pytest.mark.parametrize("name", sorted(sql.SQL))
+def test_same_as_sql(spark, name):
+    assert difference(queries.QUERIES[name](spark, SMALL), sql.SQL[name], connect(SMALL)) is None
