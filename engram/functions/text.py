@@ -189,6 +189,12 @@ def first_image(html: Column, base: Column, least: int = 100) -> Column:
     return F.when(tag.isNotNull(), absolute_url(attribute(tag, "src"), base))
 
 
+def searchable(facts: Column, subject: Column, summary: Column, narrative: Column) -> Column:
+    """The facts, where there are any, else the subject three times, the summary twice and the narrative."""
+    told = F.nullif(F.array_join(facts, " "), F.lit(""))
+    return F.coalesce(told, F.concat_ws(" ", *[subject] * 3, *[summary] * 2, narrative))
+
+
 def fact_text(time: Column, facts: Column) -> Column:
     """time：facts; one of them alone where the other is missing."""
     part = lambda c: F.nullif(c, F.lit(""))

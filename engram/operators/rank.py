@@ -80,7 +80,7 @@ def bm25_parts(queries: DataFrame, posts: DataFrame, terms: DataFrame, stats: Da
     """query_id, doc_id, term, tf, part. queries: query_id, term, weight; up to ``few`` rows of them are broadcast, more meet the
     postings in a shuffle."""
     wanted = queries.join(terms, "term")
-    if queries.limit(few + 1).count() <= few:
+    if queries.count() <= few:
         wanted = F.broadcast(wanted)
     tf, dl = F.col("tf"), F.col("dl")
     return (
@@ -100,7 +100,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "unit_id", t
     """Okapi BM25. queries: query_id, text; repeated query words count. query_id, doc_id, score, rank. Of a query with words, documents
     without any of them score 0 and come last, by id, up to k in all; a query without words has no hits."""
     posts, terms, stats = indexed(docs, id_col, text_col)
-    words = query_words(queries)
+    words = written(query_words(queries))
     parts = bm25_parts(words, posts, okapi_terms(terms, stats), stats, k1, b).select("query_id", "doc_id", "part")
     # fewer than k hits leave at least k of the first 2 k documents
     first = docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * k)
@@ -275,8 +275,8 @@ def origins(*rounds: tuple[str, DataFrame]) -> DataFrame:
 
 
 def rerank(hits: DataFrame, scores: DataFrame, least_success: float = 0.3) -> DataFrame:
-    """hits: query_id, doc_id, rank; scores: query_id, doc_id, rerank_score. New order by the scores, the old one for
-    queries of which fewer than least_success of the hits have any; in the new order unscored hits come last."""
+    """hits: query_id, doc_id, rank, of documents that have a text; scores: query_id, doc_id, rerank_score. New order by the scores, the
+    old one for queries of which fewer than least_success of the hits have any; in the new order unscored hits come last."""
     joined = hits.join(scores, ["query_id", "doc_id"], "left")
     share = F.avg(F.when(F.col("rerank_score").isNotNull(), 1.0).otherwise(0.0)).over(Window.partitionBy("query_id"))
     joined = joined.withColumn("reranked", share >= least_success)
@@ -296,7 +296,7 @@ def merge_rounds(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
 def explain(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "unit_id", text_col: str = "narrative", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, term, tf, part: what each term adds to the BM25 score of the k best of each query."""
     posts, terms, stats = indexed(docs, id_col, text_col)
-    parts = bm25_parts(query_words(queries), posts, okapi_terms(terms, stats), stats, k1, b)
+    parts = bm25_parts(written(query_words(queries)), posts, okapi_terms(terms, stats), stats, k1, b)
     best = top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k).select("query_id", "doc_id")
     return parts.join(best, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "term", "tf", F.round("part", 6).alias("part"))
 
@@ -315,6 +315,7 @@ def boosted(queries: DataFrame, docs: DataFrame, k: int, allowed: Column | None
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("weight", text_score(F.col("term")))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))
     asked = asked.withColumn("nth", nth).filter(F.col("nth") <= words).select("query_id", "term", "weight")
+    asked = written(asked)
     some = posts if allowed is None else postings(docs.filter(allowed), id_col, text_col)
     parts = bm25_parts(asked, some, lucene_terms(terms, stats), stats, 1.2, 0.75)
     return top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k)

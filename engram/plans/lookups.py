@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram import tables as T
 from engram.functions import text as X
 from engram.operators import profiles, rank
-from engram.plans.queries import _BM25, _COS, _EVENTS, _KNN, _MESSAGES, _TOKENS, _UNITS, _ROUNDS, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r1_bm25, r6_knn
+from engram.plans.queries import _BM25, _COS, _EVENTS, _KNN, _MESSAGES, _TOKENS, _UNITS, _units, _ROUNDS, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r1_bm25, r6_knn
 
 _HITS = f"h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})) WHERE rank <= 20)"
 
@@ -81,7 +81,14 @@ def j2_children_with_parent(spark, sf):
 )
 def j5_second_round(spark, sf):
     """The first round's best 20, then what only the variants' lists in turn have, 40 at most; origin names the round."""
-    return rank.merge_rounds(rank.bm25(_queries(spark, sf), T.memunits(spark, sf), 20), rank.in_turn(_variant_lists(spark, sf)), 40)
+    return rank.merge_rounds(rank.bm25(_queries(spark, sf), _units(spark, sf), 20), rank.in_turn(_variant_lists(spark, sf)), 40)
+
+
+@query(_ROUNDS + " SELECT query_id, doc_id, rank FROM b WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.rank <= 20 AND x.query_id = b.query_id AND x.doc_id = b.doc_id)")
+def u1_variant_hits(spark, sf):
+    """The lists of a question's variants one after another, each document once, without the first round's hits."""
+    first = rank.bm25(_queries(spark, sf), _units(spark, sf), 20).select("query_id", "doc_id")
+    return rank.in_turn(_variant_lists(spark, sf)).join(first, ["query_id", "doc_id"], "left_anti").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_BM25.replace("{field}", "narrative") + f" SELECT query_id, string_agg(substr(narrative, 1, 500), chr(10) ORDER BY rank) AS context FROM hits JOIN {_UNITS} u ON doc_id = unit_id WHERE rank <= 5 GROUP BY 1")
@@ -99,13 +106,17 @@ def r25_context(spark, sf):
 )
 def r8_explain(spark, sf):
     """What each term adds to the score of a question's best five."""
-    return rank.explain(_queries(spark, sf), T.memunits(spark, sf), 5)
+    return rank.explain(_queries(spark, sf), _units(spark, sf), 5)
 
 
-@query(f"SELECT unit_id, md5(concat_ws(' ', subject, subject, subject, summary, summary, narrative)) AS text_md5 FROM {_UNITS}")
+@query(
+    f"""WITH f AS (SELECT *, CASE WHEN lang = 'en' THEN list_filter(string_split(narrative, chr(10)), lambda s: trim(s) <> '') END AS facts FROM {_UNITS})
+    SELECT unit_id, md5(CASE WHEN len(facts) > 0 THEN array_to_string(facts, ' ') ELSE concat_ws(' ', subject, subject, subject, summary, summary, narrative) END) AS text_md5 FROM f"""
+)
 def r3_weighted_text(spark, sf):
-    u = T.memunits(spark, sf)
-    return u.select("unit_id", F.md5(F.concat_ws(" ", *["subject"] * 3, *["summary"] * 2, "narrative")).alias("text_md5"))
+    """English units have facts, their lines; the others' fields are weighted."""
+    lines = F.when(F.col("lang") == "en", F.filter(F.split("narrative", "\n", -1), lambda s: F.trim(s) != ""))
+    return T.memunits(spark, sf).select("unit_id", F.md5(X.searchable(lines, F.col("subject"), F.col("summary"), F.col("narrative"))).alias("text_md5"))
 
 
 @query(

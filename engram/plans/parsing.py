@@ -11,7 +11,7 @@ from engram.functions import text as X
 from engram.functions.stems import stem
 from engram.operators import clusters, profiles, rank
 from engram.plans.lookups import _joined
-from engram.plans.queries import _EVENTS, _MESSAGES, _TOKENS, _UNITS, query
+from engram.plans.queries import _EVENTS, _MESSAGES, _TOKENS, _UNITS, _units, query
 from engram.streaming import state
 
 # scalar functions
@@ -20,7 +20,7 @@ from engram.streaming import state
 @query()
 def x1_stemmed_terms(spark, sf):
     """Documents of each stem. Only distinct words are stemmed; tested against known stems and a plain count."""
-    words = rank.term_counts(rank.postings(T.memunits(spark, sf), "unit_id", "narrative", X.STOPWORDS))
+    words = rank.term_counts(rank.postings(_units(spark, sf), "unit_id", "narrative", X.STOPWORDS))
 
     @F.pandas_udf("string")
     def stems(w: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engram import tables as T
 from engram.functions import text as X
-from engram.operators import clusters, profiles, rank
+from engram.operators import clusters, matching, profiles, rank
 from engram.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,13 +246,10 @@ def j8_as_of_version(spark, sf):
     JOIN (SELECT user_id, epoch_us(min(ts)) // 1000000 AS a, epoch_us(min(ts)) // 1000000 + 86400 AS b FROM events GROUP BY user_id) p ON e.at BETWEEN p.a AND p.b GROUP BY 1"""
 )
 def j9_point_in_interval(spark, sf):
-    """How many users' first days hold the time of each event. Intervals are dealt to the days they touch."""
-    e = T.behaviors(spark, sf).select("event_id", "at", F.floor(F.col("at") / 86400).alias("day"))
-    p = T.behaviors(spark, sf).groupBy("user_id").agg(F.min("at").alias("a")).withColumn("b", F.col("a") + 86400)
-    p = p.select("a", "b", F.explode(F.sequence(F.floor(F.col("a") / 86400), F.floor(F.col("b") / 86400))).alias("day"))
-    # intervals of one day with the same bounds count once, by number
-    p = p.groupBy("day", "a", "b").agg(F.count("*").alias("m"))
-    return e.join(p, "day").filter("at between a and b").groupBy("event_id").agg(F.sum("m").alias("n"))
+    """How many users' first days hold the time of each event."""
+    e = T.behaviors(spark, sf)
+    p = e.groupBy("user_id").agg(F.min("at").alias("a")).select("a", (F.col("a") + 86400).alias("b"))
+    return matching.covering(e.select(F.col("event_id").alias("id"), "at"), p).select(F.col("id").alias("event_id"), "n")
 
 
 # aggregations
@@ -291,7 +288,7 @@ def a6_cluster_stats(spark, sf):
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT unit_id, term, count(*) AS tf FROM (SELECT unit_id, unnest({_TOKENS.format('narrative')}) AS term FROM {_UNITS}) GROUP BY 1, 2) GROUP BY 1")
 def a8_term_stats(spark, sf):
-    return rank.postings(T.memunits(spark, sf), "unit_id", "narrative").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return rank.term_counts(rank.postings(_units(spark, sf), "unit_id", "narrative"))
 
 
 _EVIDENCE_SQL = """WITH r AS (SELECT p_brand AS value, l_suppkey AS user_id, l_orderkey AS evidence, l_orderkey * 10 + l_linenumber AS seq, {level} AS level FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -413,13 +410,18 @@ _BM25 = (
 ).replace("{{", "{").replace("}}", "}")
 
 
+def _units(spark, sf):
+    """The memory units for the rankers, whose work on each text is large."""
+    return T.spread(T.memunits(spark, sf), "unit_id")
+
+
 def _queries(spark, sf):
     return T.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query(_BM25.replace("{field}", "narrative") + " SELECT query_id, doc_id, score, rank FROM hits WHERE rank <= 50")
 def r1_bm25(spark, sf):
-    return rank.bm25(_queries(spark, sf), T.memunits(spark, sf), 50).withColumn("rank", F.col("rank").cast("long"))
+    return rank.bm25(_queries(spark, sf), _units(spark, sf), 50).withColumn("rank", F.col("rank").cast("long"))
 
 
 _VQ = f"(SELECT vec_id AS query_id, vector AS qvector FROM {_VECTORS} WHERE vec_id % 20 = 0)"
@@ -493,7 +495,7 @@ def r11_hybrid(spark, sf):
     """Vectors and BM25, 50 candidates of each fused by reciprocal rank; where one side is empty the other stays as it is. The vector of
     question i is the one numbered 20 i, so that later questions have none."""
     asked = _queries(spark, sf)
-    words = rank.bm25(asked, T.memunits(spark, sf), 50).select("query_id", F.lit(0).alias("list_no"), "doc_id", "rank", "score")
+    words = rank.bm25(asked, _units(spark, sf), 50).select("query_id", F.lit(0).alias("list_no"), "doc_id", "rank", "score")
     vectors = _vector_queries(spark, sf).withColumn("query_id", F.expr("query_id div 20")).join(asked.select("query_id"), "query_id", "left_semi")
     near = rank.knn(vectors, T.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "vector"), 50).select("query_id", F.lit(1).alias("list_no"), "doc_id", "rank", "score")
     return rank.fused(words.unionByName(near), 20).withColumn("rank", F.col("rank").cast("long"))
@@ -523,19 +525,22 @@ def _variants(spark, sf):
 
 def _variant_lists(spark, sf):
     """query_id, list_no, doc_id, rank, score: the hits of each variant."""
-    hits = rank.bm25(_variants(spark, sf), T.memunits(spark, sf), 50)
+    hits = rank.bm25(_variants(spark, sf), _units(spark, sf), 50)
     return hits.select(F.expr("query_id div 4").alias("query_id"), F.pmod("query_id", F.lit(4)).alias("list_no"), "doc_id", "rank", "score")
 
 
 @query(
-    f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})), j AS (SELECT h.*, CASE WHEN (doc_id + query_id) % 3 = 0 THEN NULL ELSE (doc_id * 7 % 101)::DOUBLE END AS rs FROM h WHERE rank <= 20),
+    f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})),
+    j AS (SELECT h.*, CASE WHEN (doc_id + query_id) % 3 <> 0 AND (query_id % 40 = 0 OR doc_id % 5 = 0) THEN (doc_id * 7 % 101)::DOUBLE END AS rs FROM h JOIN documents d USING (doc_id) WHERE rank <= 20 AND coalesce(trim(d.text), '') <> ''),
     k AS (SELECT *, avg(CASE WHEN rs IS NOT NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY query_id) >= 0.3 AS reranked FROM j)
     SELECT query_id, doc_id, rank, reranked, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN reranked THEN -rs END NULLS LAST, rank) AS new_rank FROM k"""
 )
 def r15_rerank(spark, sf):
-    hits = r6_knn(spark, sf)
+    """Hits of documents without a text go; a reranker scores most hits of some queries and few of others, which keep their order."""
     d, q = F.col("doc_id"), F.col("query_id")
-    scores = hits.filter((d + q) % 3 != 0).select("query_id", "doc_id", (d * 7 % 101).cast("double").alias("rerank_score"))
+    texts = T.read(spark, sf, "documents").filter(F.coalesce(F.trim("text"), F.lit("")) != "").select("doc_id")
+    hits = r6_knn(spark, sf).join(texts, "doc_id", "left_semi")
+    scores = hits.filter(((d + q) % 3 != 0) & ((q % 40 == 0) | (d % 5 == 0))).select("query_id", "doc_id", (d * 7 % 101).cast("double").alias("rerank_score"))
     return rank.rerank(hits, scores).select("query_id", "doc_id", "rank", "reranked", F.col("new_rank").cast("long").alias("new_rank"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from engram import tables as T
 from engram.operators import clusters, matching, profiles, rank
-from engram.plans.queries import _BM25, _EVENTS, _KNN, _POSTS, _ROUNDS, _TOKENS, _UNITS, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r6_knn
+from engram.plans.queries import _BM25, _EVENTS, _KNN, _POSTS, _ROUNDS, _TOKENS, _UNITS, _units, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r6_knn
 
 # filters
 
@@ -109,19 +109,19 @@ _BOOSTED = (
 
 @query(_BOOSTED.replace("{where}", "true"))
 def r2_boosted_terms(spark, sf):
-    return rank.boosted(_queries(spark, sf), T.memunits(spark, sf), 20).withColumn("rank", F.col("rank").cast("long"))
+    return rank.boosted(_queries(spark, sf), _units(spark, sf), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_BOOSTED.replace("{where}", "lang IN ('en', 'de')"))
 def r7_filtered_keywords(spark, sf):
     """Keyword search over filtered rows."""
-    return rank.boosted(_queries(spark, sf), T.memunits(spark, sf), 20, F.col("lang").isin("en", "de")).withColumn("rank", F.col("rank").cast("long"))
+    return rank.boosted(_queries(spark, sf), _units(spark, sf), 20, F.col("lang").isin("en", "de")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_BOOSTED.replace("{where}", "lang = 'fr'"))
 def f15_pinned_type(spark, sf):
     """The same search with its type pinned."""
-    return rank.boosted(_queries(spark, sf), T.memunits(spark, sf), 20, F.col("lang") == "fr").withColumn("rank", F.col("rank").cast("long"))
+    return rank.boosted(_queries(spark, sf), _units(spark, sf), 20, F.col("lang") == "fr").withColumn("rank", F.col("rank").cast("long"))
 
 
 _SUBJECT_QUERIES = f"FROM (SELECT unit_id AS item_id, narrative AS text FROM {_UNITS} WHERE unit_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)))"
@@ -137,7 +137,7 @@ _SUBJECT_QUERIES = f"FROM (SELECT unit_id AS item_id, narrative AS text FROM {_U
 )
 def r12_modes(spark, sf):
     """Every mode in one row shape."""
-    v, u = T.vectors(spark, sf), T.memunits(spark, sf)
+    v, u = T.vectors(spark, sf), _units(spark, sf)
     asked = u.join(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("unit_id")), "unit_id", "left_semi").select(F.col("unit_id").alias("query_id"), F.col("narrative").alias("text"))
     words = lambda k: rank.bm25(asked, u, k)
     near = lambda k: rank.knn(_vector_queries(spark, sf), v.select(F.col("vec_id").alias("doc_id"), "vector"), k)
@@ -163,7 +163,7 @@ def r13_profile_lookup(spark, sf):
 )
 def r17_two_rounds(spark, sf):
     """What a judge and a reranker would say comes from formulas over the ids."""
-    q, u = _queries(spark, sf), T.memunits(spark, sf)
+    q, u = _queries(spark, sf), _units(spark, sf)
     first, second = rank.bm25(q, u, 20), rank.in_turn(_variant_lists(spark, sf))
     sufficient = q.select("query_id", (F.col("query_id") % 2 == 0).alias("is_sufficient"))
     d, both = F.col("doc_id"), first.select("query_id", "doc_id").union(second.select("query_id", "doc_id")).distinct()

@@ -47,16 +47,16 @@ def s5_haystack(spark, sf):
 
 @query(
     f"""WITH m AS (SELECT conv_id, turn, sender, content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no FROM {_MESSAGES}), e AS (SELECT conv_id, unnest([1, 3]) AS end_index FROM m GROUP BY 1)
-    SELECT conv_id AS context_id, end_index, 'D0:' || (row_number() OVER (PARTITION BY conv_id, end_index ORDER BY no) - 1) AS dia_id, CASE sender WHEN 'user' THEN 'User' ELSE 'Assistant' END AS speaker, length(content) AS chars
+    SELECT conv_id AS context_id, end_index, 'D0:' || (row_number() OVER (PARTITION BY conv_id, end_index ORDER BY no) - 1) AS dia_id, CASE sender WHEN 'user' THEN 'User' ELSE 'Assistant' END AS speaker, md5(trim(content)) AS text_md5
     FROM (SELECT * FROM m JOIN e USING (conv_id) WHERE no <= end_index AND sender <> 'system')"""
 )
 def s6_persona(spark, sf):
     """Two questions end in each conversation."""
-    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("sender").alias("role"), F.concat(F.initcap("sender"), F.lit(": x"), F.length("content")).alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("sender").alias("role"), F.concat(F.initcap("sender"), F.lit(": "), "content").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     contexts = T.messages(spark, sf).groupBy(F.col("conv_id").alias("context_id")).agg(said.alias("messages"))
     asked = contexts.select(F.col("context_id").alias("shared_context_id"), F.explode(F.array(F.lit(1), F.lit(3))).alias("end_index_in_shared_context"))
     rows = converters.persona_dialogues(asked, contexts)
-    return rows.select("context_id", "end_index", "dia_id", "speaker", F.substring("text", 2, 9).cast("long").alias("chars"))
+    return rows.select("context_id", "end_index", "dia_id", "speaker", F.md5("text").alias("text_md5"))
 
 
 @query("SELECT vec_id % 7 AS conv_id, label::BIGINT AS cluster_id, 't' || label AS topic, vec_id AS unit_id FROM embeddings")
@@ -129,18 +129,20 @@ _ROLE = "CASE l_linenumber WHEN 1 THEN 'coordinator' WHEN 2 THEN 'opinion_leader
 
 
 @query(
-    f"""WITH r AS (SELECT l_suppkey AS user_id, {_ROLE} AS role, l_orderkey AS unit, l_returnflag = 'R' AS strong FROM lineitem WHERE l_suppkey % 3 <> l_orderkey % 3)
-    SELECT role, user_id, CASE WHEN bool_or(strong) THEN 'strong' ELSE 'weak' END AS confidence, least(count(DISTINCT unit), 50) AS evidences FROM r WHERE role <> 'joker' GROUP BY 1, 2"""
+    f"""WITH r AS (SELECT l_suppkey AS user_id, {_ROLE} AS role, l_orderkey AS unit, l_linestatus = 'F' AS known, l_returnflag = 'R' AS strong FROM lineitem WHERE l_suppkey % 3 <> l_orderkey % 3),
+    f AS (SELECT role, user_id, unit, min(CASE WHEN known THEN 0 ELSE 1 END) AS part FROM r WHERE role <> 'joker' GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY role, user_id ORDER BY part DESC, unit DESC) AS nth FROM f)
+    SELECT role, user_id, any_value(confidence) AS confidence, md5(string_agg(unit::VARCHAR, ',' ORDER BY nth DESC)) AS evidences_md5 FROM k JOIN (SELECT role, user_id, CASE WHEN bool_or(strong) THEN 'strong' ELSE 'weak' END AS confidence FROM r GROUP BY 1, 2) USING (role, user_id) WHERE nth <= 50 GROUP BY 1, 2"""
 )
 def p11_roles(spark, sf):
-    """Known roles of participants: strong stays strong, at most fifty evidences. A unit's participants are those suppliers whose number differs from its own by three's remainder."""
-    l = T.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.expr(_ROLE).alias("role"), F.col("l_orderkey").alias("unit"), (F.col("l_returnflag") == "R").alias("strong"))
+    """History (lines of one status) and new findings (the others): known roles of participants, strong stays strong, old evidences and then
+    new ones, the last fifty. A unit's participants are those suppliers whose number differs from its own by three's remainder."""
+    l = T.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.expr(_ROLE).alias("role"), F.col("l_orderkey").alias("unit"), (F.col("l_linestatus") == "F").alias("known"), (F.col("l_returnflag") == "R").alias("strong"))
     valid = l.filter(F.col("role").isin(profiles.ROLES) & (F.col("user_id") % 3 != F.col("unit") % 3))
     strong = F.when(F.max("strong"), "strong").otherwise("weak")
     sizes = valid.groupBy("role", "user_id").agg(strong.alias("confidence"))
-    none = valid.limit(0).select("role", "user_id", F.col("unit").alias("evidence"), F.lit(0).alias("pos"))
-    merged = profiles.merge_evidences(none, valid.select("role", "user_id", F.col("unit").alias("evidence"), F.col("unit").alias("at")), ["role", "user_id"], 50)
-    return merged.join(sizes, ["role", "user_id"]).select("role", "user_id", "confidence", F.size("evidences").cast("long").alias("evidences"))
+    of = lambda known, at: valid.filter(F.col("known") == known).select("role", "user_id", F.col("unit").alias("evidence"), F.col("unit").alias(at))
+    merged = profiles.merge_evidences(of(True, "pos"), of(False, "at"), ["role", "user_id"], 50)
+    return merged.join(sizes, ["role", "user_id"]).select("role", "user_id", "confidence", F.md5(F.array_join("evidences", ",")).alias("evidences_md5"))
 
 
 @query(f"WITH m AS (SELECT user_id, event_type, event_id, at, row_number() OVER (PARTITION BY user_id, event_type ORDER BY at DESC, event_id DESC) AS nth, count(*) OVER (PARTITION BY user_id, event_type) AS n, bool_or(value > 60) OVER (PARTITION BY user_id, event_type) AS watched FROM {_EVENTS}) SELECT user_id, event_type, event_id FROM m WHERE watched AND n >= 3 AND nth <= 5")

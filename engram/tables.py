@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer pieces than there are cores, dealt to all of them by the key; what is larger stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def memunits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit_id, group_id, lang, subject (first line), summary (first 200 characters), narrative."""
     text = F.coalesce("text", F.lit(""))
