@@ -7,9 +7,9 @@ _OP7 = """WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE
     r AS (SELECT c.conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = last THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM conversations c LEFT JOIN l ON c.conv_id = l.conv_id),
     a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
     b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM r WHERE conv_id IS NOT NULL),
-    j AS (SELECT coalesce(a.conv_id, b.conv_id) AS pair_id, coalesce(a.place, b.place) AS place, a.role AS ar, a.text AS at, b.role AS br, b.text AS bt FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.place = b.place),
-    s AS (SELECT *, bool_and(ar IS NOT DISTINCT FROM br AND at IS NOT DISTINCT FROM bt) OVER (PARTITION BY pair_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS shared FROM j),
-    p AS (SELECT pair_id, CASE WHEN shared THEN 'prompt' ELSE 'chosen' END AS part, place, ar AS role, at AS text FROM s WHERE ar IS NOT NULL UNION ALL SELECT pair_id, 'rejected', place, br, bt FROM s WHERE br IS NOT NULL AND NOT shared),
+    j AS (SELECT coalesce(a.conv_id, b.conv_id) AS pair_id, coalesce(a.place, b.place) AS place, a.role AS ar, a.text AS a_text, b.role AS br, b.text AS b_text FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.place = b.place),
+    s AS (SELECT *, bool_and(ar IS NOT DISTINCT FROM br AND a_text IS NOT DISTINCT FROM b_text) OVER (PARTITION BY pair_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS shared FROM j),
+    p AS (SELECT pair_id, CASE WHEN shared THEN 'prompt' ELSE 'chosen' END AS part, place, ar AS role, a_text AS text FROM s WHERE ar IS NOT NULL UNION ALL SELECT pair_id, 'rejected', place, br, b_text FROM s WHERE br IS NOT NULL AND NOT shared),
     g AS (SELECT pair_id, part, place, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment, role = 'assistant' AND part <> 'prompt' AS in_loss FROM p),
     u AS (SELECT pair_id, bool_or(part = 'chosen' AND in_loss) AND bool_or(part = 'rejected' AND in_loss) AS usable FROM g GROUP BY 1),
     e AS (SELECT *, sum(length(segment)) OVER (PARTITION BY pair_id, part ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM g)
