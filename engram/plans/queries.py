@@ -475,8 +475,9 @@ def f17_score_threshold(spark, sf):
 
 @query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, label::BIGINT AS doc_id, max(round({_COS.format('qvector', 'vector')}, 6)) AS score FROM {_VQ}, {_VECTORS} GROUP BY 1, 2)) WHERE rank <= 5")
 def r5_max_sim(spark, sf):
-    facts = T.vectors(spark, sf).select(F.col("label").cast("long").alias("doc_id"), "vector")
-    return rank.max_sim(_vector_queries(spark, sf), facts, 5).withColumn("rank", F.col("rank").cast("long"))
+    """Documents are labels; those below seven have facts, the others only vectors of their fields."""
+    rows = T.vectors(spark, sf).select(F.col("label").cast("long").alias("doc_id"), "vector")
+    return rank.max_sim(_vector_queries(spark, sf), rows.filter("doc_id < 7"), 5, fields=rows).withColumn("rank", F.col("rank").cast("long"))
 
 
 #: Of a relation l (query_id, list_no, doc_id, rank, score).
