@@ -96,10 +96,11 @@ def top(hits: DataFrame, k: int, score: str = "score", by: str = "query_id", doc
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "unit_id", text_col: str = "narrative", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "unit_id", text_col: str = "narrative", k1: float = 1.5, b: float = 0.75, index: tuple | None = None) -> DataFrame:
     """Okapi BM25. queries: query_id, text; repeated query words count. query_id, doc_id, score, rank. Of a query with words, documents
-    without any of them score 0 and come last, by id, up to k in all; a query without words has no hits."""
-    posts, terms, stats = indexed(docs, id_col, text_col)
+    without any of them score 0 and come last, by id, up to k in all; a query without words has no hits. index: of the same
+    documents, from ``indexed``, where several searches share it."""
+    posts, terms, stats = index or indexed(docs, id_col, text_col)
     words = written(query_words(queries))
     parts = bm25_parts(words, posts, okapi_terms(terms, stats), stats, k1, b).select("query_id", "doc_id", "part")
     # fewer than k hits leave at least k of the first 2 k documents

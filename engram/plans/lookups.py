@@ -81,14 +81,18 @@ def j2_children_with_parent(spark, sf):
 )
 def j5_second_round(spark, sf):
     """The first round's best 20, then what only the variants' lists in turn have, 40 at most; origin names the round."""
-    return rank.merge_rounds(rank.bm25(_queries(spark, sf), _units(spark, sf), 20), rank.in_turn(_variant_lists(spark, sf)), 40)
+    u = _units(spark, sf)
+    index = rank.indexed(u, "unit_id", "narrative")
+    return rank.merge_rounds(rank.bm25(_queries(spark, sf), u, 20, index=index), rank.in_turn(_variant_lists(spark, sf, index)), 40)
 
 
 @query(_ROUNDS + " SELECT query_id, doc_id, rank FROM b WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.rank <= 20 AND x.query_id = b.query_id AND x.doc_id = b.doc_id)")
 def u1_variant_hits(spark, sf):
     """The lists of a question's variants one after another, each document once, without the first round's hits."""
-    first = rank.bm25(_queries(spark, sf), _units(spark, sf), 20).select("query_id", "doc_id")
-    return rank.in_turn(_variant_lists(spark, sf)).join(first, ["query_id", "doc_id"], "left_anti").withColumn("rank", F.col("rank").cast("long"))
+    u = _units(spark, sf)
+    index = rank.indexed(u, "unit_id", "narrative")
+    first = rank.bm25(_queries(spark, sf), u, 20, index=index).select("query_id", "doc_id")
+    return rank.in_turn(_variant_lists(spark, sf, index)).join(first, ["query_id", "doc_id"], "left_anti").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_BM25.replace("{field}", "narrative") + f" SELECT query_id, string_agg(substr(narrative, 1, 500), chr(10) ORDER BY rank) AS context FROM hits JOIN {_UNITS} u ON doc_id = unit_id WHERE rank <= 5 GROUP BY 1")

@@ -524,9 +524,9 @@ def _variants(spark, sf):
     return v.select(F.posexplode(F.when(F.size("v") == 0, F.array("text")).otherwise(F.col("v"))).alias("no", "text"), "query_id").select((F.col("query_id") * 4 + F.col("no")).alias("query_id"), "text")
 
 
-def _variant_lists(spark, sf):
+def _variant_lists(spark, sf, index=None):
     """query_id, list_no, doc_id, rank, score: the hits of each variant."""
-    hits = rank.bm25(_variants(spark, sf), _units(spark, sf), 50)
+    hits = rank.bm25(_variants(spark, sf), _units(spark, sf), 50, index=index)
     return hits.select(F.expr("query_id div 4").alias("query_id"), F.pmod("query_id", F.lit(4)).alias("list_no"), "doc_id", "rank", "score")
 
 

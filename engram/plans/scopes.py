@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engram import tables as T
+from engram.shared import written
 from engram.operators import clusters, matching, profiles, rank
 from engram.plans.queries import _BM25, _EVENTS, _KNN, _POSTS, _ROUNDS, _TOKENS, _UNITS, _units, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r6_knn
 
@@ -139,7 +140,8 @@ def r12_modes(spark, sf):
     """Every mode in one row shape."""
     v, u = T.vectors(spark, sf), _units(spark, sf)
     asked = u.join(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("unit_id")), "unit_id", "left_semi").select(F.col("unit_id").alias("query_id"), F.col("narrative").alias("text"))
-    words = lambda k: rank.bm25(asked, u, k)
+    index = rank.indexed(u, "unit_id", "narrative")
+    words = lambda k: rank.bm25(asked, u, k, index=index)
     near = lambda k: rank.knn(_vector_queries(spark, sf), v.select(F.col("vec_id").alias("doc_id"), "vector"), k)
     lists = lambda: words(50).withColumn("list_no", F.lit(0)).unionByName(near(50).withColumn("list_no", F.lit(1)))
     modes = {"bm25": lambda: words(10), "embedding": lambda: near(10), "rrf": lambda: rank.top(rank.rrf(lists()), 10)}
@@ -164,7 +166,8 @@ def r13_profile_lookup(spark, sf):
 def r17_two_rounds(spark, sf):
     """What a judge and a reranker would say comes from formulas over the ids."""
     q, u = _queries(spark, sf), _units(spark, sf)
-    first, second = rank.bm25(q, u, 20), rank.in_turn(_variant_lists(spark, sf))
+    index = rank.indexed(u, "unit_id", "narrative")
+    first, second = written(rank.bm25(q, u, 20, index=index)), written(rank.in_turn(_variant_lists(spark, sf, index)))  # each is used several times
     sufficient = q.select("query_id", (F.col("query_id") % 2 == 0).alias("is_sufficient"))
     d, both = F.col("doc_id"), first.select("query_id", "doc_id").union(second.select("query_id", "doc_id")).distinct()
     scores = both.filter((d + F.col("query_id")) % 3 != 0).withColumn("rerank_score", (d * 7 % 101).cast("double"))
