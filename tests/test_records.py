@@ -1,6 +1,7 @@
 """Chat files, profiles, event clusters, stems and streams against known results."""
 
 import json
+import time
 
 import pandas as pd
 import pytest
@@ -182,3 +183,28 @@ def test_clusters_of_a_stream(spark, tmp_path):
 def test_late_rows(spark):
     e = spark.createDataFrame([(1, 100), (2, 200), (3, 290)], "id int, at long")
     assert [r.id for r in state.late_rows(e, spark.createDataFrame([(300,)], "newest long"), 100).collect()] == [1]
+
+
+def wait_for(ready, seconds=90):
+    end = time.time() + seconds
+    while not ready():
+        assert time.time() < end
+        time.sleep(0.5)
+
+
+def test_state_expires(spark, tmp_path):
+    """What waits is forgotten after a silence: the unit that a boundary ends later has only what came after it."""
+    frame = lambda ids, boundary: spark.createDataFrame([(1, i, i, boundary) for i in ids], "user_id long, event_id long, at long, boundary boolean").coalesce(1)
+    frame([1, 2], False).write.parquet(str(tmp_path / "in/b0"))
+    raw = spark.readStream.schema(frame([1], True).schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    stream = state.segment_stream(raw, "user_id", "long", expires="3 seconds")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("expired").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        rows = lambda: sum(s["numRowsTotal"] for p in q.recentProgress[-1:] for s in p["stateOperators"])
+        wait_for(lambda: rows() == 1)
+        wait_for(lambda: rows() == 0)  # the state is gone
+        frame([3, 4], True).write.parquet(str(tmp_path / "in/b1"))
+        wait_for(lambda: spark.table("expired").count() == 2)
+        assert sorted((r.no, r.n, r.first_id, r.last_id) for r in spark.table("expired").collect()) == [(0, 1, 3, 3), (1, 1, 4, 4)]
+    finally:
+        q.stop()
