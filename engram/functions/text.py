@@ -305,11 +305,15 @@ def page_metadata(html: Column, url: Column) -> Column:
     """Struct title, description, image, site_name, type, favicon: Open Graph before Twitter before the page's title and meta tags; texts
     with template variables don't count. White space is collapsed, titles are cut at 200 and descriptions at 500 characters; an
     address needs a scheme and a host. Without an icon link the favicon is /favicon.ico."""
-    head = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     attribute = lambda tag, name: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1)
-    metas = F.regexp_extract_all(head, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
-    links = F.regexp_extract_all(head, F.lit(r"(?is)(<link\b[^>]*>)"), F.lit(1))
+    head = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    tags = lambda name: F.regexp_extract_all(head, F.lit(rf"(?is)(<{name}\b[^>]*>)"), F.lit(1))
+    found = F.struct(tags("meta").alias("metas"), tags("link").alias("links"), F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    # a lambda's argument is made once, so the page is searched once
+    return F.transform(F.array(found), lambda x: _page_fields(x["metas"], x["links"], x["title"], url, attribute))[0]
+
 
+def _page_fields(metas: Column, links: Column, page_title: Column, url: Column, attribute) -> Column:
     def safe(value: Column) -> Column:
         text = F.nullif(F.trim(value), F.lit(""))
         return F.when(~F.regexp_like(text, F.lit(TEMPLATE)), text)
@@ -322,7 +326,7 @@ def page_metadata(html: Column, url: Column) -> Column:
     plain = lambda value: F.nullif(collapsed(value), F.lit(""))
     cut = lambda value, n: F.when(F.length(value) > n, F.concat(F.left(value, F.lit(n)), F.lit("..."))).otherwise(value)
     valid = lambda value: F.when(F.regexp_like(value, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")), value)
-    title = F.coalesce(og("title"), twitter("title"), safe(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1)), content("name", "title"))
+    title = F.coalesce(og("title"), twitter("title"), safe(page_title), content("name", "title"))
     icon = F.try_element_at(F.filter(links, lambda t: F.contains(F.lower(attribute(t, "rel")), F.lit("icon")) & (attribute(t, "href") != "")), F.lit(1))
     favicon = F.coalesce(F.when(icon.isNotNull(), absolute_url(F.trim(attribute(icon, "href")), url)), F.concat(F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1), F.lit("/favicon.ico")))
     return F.struct(
