@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, kd_shard, license_scan, packing, preference, quality_mil, simhash, suffix_dedup, toxicity
+from . import chat_repair, decontam, exact_dedup, filter_audit, kd_shard, license_scan, line_dedup, packing, preference, quality_mil, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -71,6 +71,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids", "spans", "th")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.kept_texts(docs, line_dedup.keep_bitmaps(docs, 10), digest=True)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    audits, _ = chat_repair.repair(chat_repair.damaged(conversations))
+    return chat_repair.with_all(audits, conversations)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,5 +94,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_license_scan, op3_exact_dedup, op4_best_fit_packing, op5_toxicity, op6_quality_mil, op7_preference_format, op8_kd_shard, op9_simhash, op10_decontamination, pipeline)
+    for f in (op1_suffix_dedup, op2_license_scan, op3_exact_dedup, op4_best_fit_packing, op5_toxicity, op6_quality_mil, op7_preference_format, op8_kd_shard, op9_simhash, op10_decontamination, op11_line_dedup, op12_filter_audit, op13_chat_repair, pipeline)
 }
