@@ -114,7 +114,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     # groups of more bytes than a shard: fewer than there are shards
     large = [r["hash"] for r in rows.groupBy("hash", "size").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > total[0] / shards).collect()]
-    row_hash = F.xxhash64(F.col("doc_id").cast("string"), F.col("hash"))
+    row_hash = F.xxhash64("salt", "hash")  # whatever their ids: they may be null or one
     tie = F.when(F.col("hash").isin(large), row_hash).otherwise(F.col("hash")) if large else F.col("hash")
     low = tie.bitwiseAND(F.lit((1 << 31) - 1))
     placed = rows.select("*", *[(F.shiftleft(F.least(F.col(f"d{d}"), F.lit((1 << 31) - 1)), 31) + low).alias(f"k{d}") for d in range(DIMENSIONS)])
