@@ -228,7 +228,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     entries = found.select("row", F.inline(F.arrays_zip("h", "s", "p", "d")))
     entries = written(entries.join(grams, "h"))  # segments whose gram is repeated
     kinds = written(entries.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("row", "p", "d")).alias("one")))
-    families = kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+    families = written(kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"))
     to_sort = kinds.join(families, "h").select("h", "s", "one.*", (F.col("m") > share).alias("large"))
     all_of, largest = families.agg(F.sum("m"), F.max("m")).first()
     buckets = max(1, all_of or 0) // share + 1
