@@ -101,7 +101,7 @@ def _marks(words: np.ndarray, item: np.ndarray, shift: int, span: int) -> list[t
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, small_bytes: int = 32_000_000, keep: list[str] | None = None
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, small_bytes: int = 32_000_000, most_items: int = 256, keep: list[str] | None = None
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, spans, th, and row, a
     struct of the columns to keep, if any.
@@ -113,7 +113,8 @@ def contamination(
     as strings; spans: the hit runs of words as [from, to).
 
     The benchmark's fingerprints are broadcast only if their counted rows fit small_bytes, its texts only if their counted bytes do;
-    beyond that they are shuffled. Of a document and an item all shifts are collected before the item's text joins, once.
+    beyond that they are shuffled. Of a document and an item all shifts are collected before the item's text joins, once. A document
+    that hits more than about most_items items is judged in as many rows as that takes, so no row holds the benchmark.
     Texts of any length are read whole.
     """
     rows = texts(docs, id_col, text_col, keep).withColumn("th", F.xxhash64("t"))
@@ -130,41 +131,38 @@ def contamination(
     tests = tests.withColumnRenamed("place", "item_place")
     prints = _fingerprints(rows.select("doc_id", "th", "t"), spans, None, ["doc_id", "th"])
     hits = prints.join(few(tests), "hash").select("doc_id", "th", "item_th", (F.col("place") - F.col("item_place")).alias("shift"))
-    shifts = hits.groupBy("doc_id", "th", "item_th").agg(F.collect_set("shift").alias("shifts"))
-    extended = shifts.join(few_texts(bench), "item_th")
-    found = extended.groupBy("doc_id", "th").agg(F.collect_list(F.struct("items", "shifts", F.col("t").alias("words"))).alias("hits"))
-    a, b = rows.alias("a"), found.alias("b")
-    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left").select("a.*", "b.hits")
+    shifts = written(hits.groupBy("doc_id", "th", "item_th").agg(F.collect_set("shift").alias("shifts")))
+    # tables between aggregation and join: the join can then split what has very many rows
+    wide = written(shifts.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter(F.col("n") > most_items))
+    own = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.th") == F.col(f"{y}.th"))
+    hit = F.struct("items", "shifts", F.col("t").alias("words"))
+    texts_of = few_texts(bench)
+    a, b, c = rows.alias("a"), shifts.alias("b"), wide.alias("c")
+    any_wide = not wide.isEmpty()
+    narrow = b.join(c, own("b", "c"), "left_anti") if any_wide else b
+    found = written(narrow.join(texts_of, "item_th").groupBy("doc_id", "th").agg(F.collect_list(hit).alias("hits")))
+    if any_wide:
+        parts = b.join(c, own("b", "c")).select("b.*", F.pmod(F.xxhash64("item_th"), F.ceil(F.col("c.n") / most_items)).alias("part"))
+        parts = written(parts.join(texts_of, "item_th").groupBy("doc_id", "th", "part").agg(F.collect_list(hit).alias("hits"))).alias("d")
+        one = rows.select("doc_id", "th", "t").join(wide.select(F.col("doc_id").alias("i"), F.col("th").alias("h")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).drop("i", "h").dropDuplicates(["doc_id", "th"])
+        judged_parts = one.alias("a").join(parts, own("a", "d")).select("a.doc_id", "a.th", "a.t", "d.hits").mapInArrow(_partly(window), f"doc_id {id_type(rows)}, th bigint, runs array<array<bigint>>, named array<string>")
+        done = written(judged_parts.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("named"))).alias("named")))
+        b, d = found.alias("b"), done.alias("d")
+        joined = a.join(b, own("a", "b"), "left").join(d, own("a", "d"), "left").select("a.*", "b.hits", "d.runs", "d.named")
+    else:
+        b = found.alias("b")
+        none = F.lit(None)
+        joined = a.join(b, own("a", "b"), "left").select("a.*", "b.hits", none.cast("array<array<bigint>>").alias("runs"), none.cast("array<string>").alias("named"))
 
     def judged(batches):
         for b in batches:
             out = []
-            for text, hits in zip(b.column("t").to_pylist(), b.column("hits").to_pylist(), strict=True):
+            for text, hits, runs, named in zip(*(b.column(c).to_pylist() for c in ("t", "hits", "runs", "named")), strict=True):
                 words = plain_words(text)
-                n = len(words)
-                if not hits:
-                    out.append((n, 0, [], []))
-                    continue
-                doc, runs, named = _hashed(words), [], set()
-                exact = np.array(words, object)
-                for hit in hits:
-                    item = plain_words(hit["words"])
-                    item_hashes, span, before = _hashed(item), min(window, len(item)), len(runs)
-                    for shift in hit["shifts"]:
-                        for x, y in _marks(doc, item_hashes, shift, span):
-                            # the hashes agree; the words themselves decide
-                            same = np.array(item[x - shift : y - shift], object) == exact[x:y]
-                            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
-                            runs += [(x + p, x + q) for p, q in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if q - p >= span]
-                    if len(runs) > before:
-                        named.update(hit["items"])
-                merged: list[list[int]] = []
-                for x, y in sorted(runs):
-                    if merged and x <= merged[-1][1]:
-                        merged[-1][1] = max(y, merged[-1][1])
-                    else:
-                        merged.append([x, y])
-                out.append((n, sum(y - x for x, y in merged), sorted(named), merged))
+                if hits:
+                    runs, named = _judged(words, hits, window)
+                merged = _merged(runs or [])
+                out.append((len(words), sum(y - x for x, y in merged), sorted(named or []), merged))
             n, hit, named, runs = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -189,6 +187,50 @@ def contamination(
     )
 
 
+def _judged(words: list[bytes], hits: list[dict], window: int) -> tuple[list, set[str]]:
+    """The runs of words that occurrences of the items' windows cover, and the items that have one."""
+    doc, runs, named = _hashed(words), [], set()
+    exact = np.array(words, object)
+    for hit in hits:
+        item = plain_words(hit["words"])
+        item_hashes, span, before = _hashed(item), min(window, len(item)), len(runs)
+        for shift in hit["shifts"]:
+            for x, y in _marks(doc, item_hashes, shift, span):
+                # the hashes agree; the words themselves decide
+                same = np.array(item[x - shift : y - shift], object) == exact[x:y]
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
+                runs += [(x + p, x + q) for p, q in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if q - p >= span]
+        if len(runs) > before:
+            named.update(hit["items"])
+    return runs, named
+
+
+def _merged(runs: list) -> list[list[int]]:
+    out: list[list[int]] = []
+    for x, y in sorted(map(tuple, runs)):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(y, out[-1][1])
+        else:
+            out.append([x, y])
+    return out
+
+
+def _partly(window: int):
+    """Of a text and some of the items that it hits: the runs and the items' names."""
+
+    def partly(batches):
+        for b in batches:
+            runs, named = [], []
+            for text, hits in zip(b.column("t").to_pylist(), b.column("hits").to_pylist(), strict=True):
+                own, names = _judged(plain_words(text), hits, window)
+                runs.append(_merged(own))
+                named.append(sorted(names))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(named, pa.list_(pa.string()))], ["doc_id", "th", "runs", "named"])
+        _HASHES.clear()
+
+    return partly
+
+
 def _lengths(window: int):
     def lengths(batches):
         for b in batches:
