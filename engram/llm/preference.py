@@ -2,20 +2,26 @@
 
 The chosen and the rejected conversation of a pair are aligned turn by turn. The longest common turn prefix is rendered once,
 as the prompt; what follows on either side is its completion, of which only the assistant's turns count in the loss.
-Rows stay turns: a pair of any length is never gathered into one value.
+Rows stay turns: a pair of any length is never gathered into one value, nor sorted in one task. Its turns are numbered in ranges, the
+first turn that differs is a minimum, and offsets are sums of blocks of turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.operators.ordered import ranked, running_sum
+
+from .common import written
+
 
 def _numbered(turns: DataFrame, pair: str, turn: str, role: str, text: str) -> DataFrame:
     """Turns with a place from 0; ties of the turn number are ordered by role and text, null turns come last."""
     rows = turns.select(F.col(pair).alias("pair_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = Window.partitionBy("pair_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    return rows.filter("pair_id is not null").select("pair_id", (F.row_number().over(order) - 1).cast("long").alias("place"), "role", "text")
+    rows = rows.withColumns({"role_head": F.left("role", F.lit(64)), "head": F.left("text", F.lit(256)), "th": F.xxhash64("text")})
+    order = [F.col("turn").asc_nulls_last(), "role_head", "head", "th"]  # long texts are told apart by their hash
+    return ranked(rows.filter("pair_id is not null"), ["pair_id"], order).select("pair_id", (F.col("nth") - 1).cast("long").alias("place"), "role", "text")
 
 
 def render(role: Column, text: Column) -> Column:
@@ -38,25 +44,26 @@ def preference_segments(
     b = _numbered(rejected, pair, turn, role, text)
     both = a.withColumnsRenamed({"role": "c_role", "text": "c_text"}).join(b.withColumnsRenamed({"role": "r_role", "text": "r_text"}), ["pair_id", "place"], "full")
     same = F.col("c_role").eqNullSafe(F.col("r_role")) & F.col("c_text").eqNullSafe(F.col("r_text"))
-    per_pair = Window.partitionBy("pair_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    shared = F.min(F.when(same, 1).otherwise(0)).over(per_pair) == 1
-    aligned = both.withColumn("shared", shared)
+    both = written(both.withColumn("same", same))
+    # tables between aggregation and join: the join can then split a long pair
+    ends = written(both.filter(~F.col("same")).groupBy(F.col("pair_id").alias("p")).agg(F.min("place").alias("first")))
+    aligned = both.join(ends, F.col("pair_id") == F.col("p"), "left").withColumn("shared", F.col("first").isNull() | (F.col("place") < F.col("first"))).drop("p")
     side = lambda part, p, when: F.when(when & F.col(f"{p}_role").isNotNull(), F.struct(F.lit(part).alias("part"), F.col(f"{p}_role").alias("role"), F.col(f"{p}_text").alias("text")))
     parts = F.array_compact(F.array(side("prompt", "c", F.col("shared")), side("chosen", "c", ~F.col("shared")), side("rejected", "r", ~F.col("shared"))))
     rows = aligned.select("pair_id", "place", F.explode(parts).alias("s")).select(
         "pair_id", "s.part", "place", "s.role", render(F.col("s.role"), F.col("s.text")).alias("segment"), ((F.col("s.role") == loss_role) & (F.col("s.part") != "prompt")).alias("in_loss")
     )
-    in_part = Window.partitionBy("pair_id", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.length("segment").cast("long")).over(in_part))
+    rows = written(running_sum(rows.withColumn("length", F.length("segment").cast("long")), ["pair_id", "part"], "place", "length", "end"))
     trained = rows.groupBy(F.col("pair_id").alias("p")).agg(
         (F.max(F.when((F.col("part") == "chosen") & F.col("in_loss"), 1).otherwise(0)) + F.max(F.when((F.col("part") == "rejected") & F.col("in_loss"), 1).otherwise(0)) == 2).alias("usable")
     )
-    return rows.join(trained, rows.pair_id == trained.p).select("pair_id", "part", "place", "role", "segment", "in_loss", (F.col("end") - F.length("segment")).alias("start"), "end", "usable")
+    return rows.join(written(trained), F.col("pair_id") == F.col("p")).select("pair_id", "part", "place", "role", "segment", "in_loss", (F.col("end") - F.length("segment")).alias("start"), "end", "usable")
 
 
 def cut_answers(conversations: DataFrame) -> DataFrame:
     """The rejected side for conversations that have only one: each conversation, its last assistant turn cut off at half."""
     last = conversations.filter("role = 'assistant'").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
+    last = written(last)
     at_last = (F.col("role") == "assistant") & (F.col("turn") == F.col("last"))
     half = F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))")
     return conversations.join(last, F.col("conv_id") == F.col("c"), "left").select("conv_id", "turn", "role", F.when(at_last, half).otherwise(F.col("text")).alias("text"))
