@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, texts
+from .common import id_type, texts, written
 
 #: The byte classes of which a passage's shares are measured.
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".", b",", b"!?", b"|", b"%&#*$@", b"<>{}[]()/\\=", b"\"'`-_:;+^~"]
@@ -110,9 +110,11 @@ class Network:
                     self.p[k] -= rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000) -> Network:
+def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000, most_bytes: int = 1 << 28) -> Network:
     """labelled: doc_id, label (0 or 1). At most about most_rows labelled rows are used, chosen by a hash of the id; of rows with
-    one id that with the least hash of its text. Of those every passage is read. Ties and repeats in the sample count as rows of their own ids."""
+    one id that with the least hash of its text. Of those every passage is read, as long as the passages of all, taken in order of
+    their texts' hashes, fit most_bytes: the driver, which fits the network, holds no more. A text of more passages than that is
+    not in the sample. Ties and repeats in the sample count as rows of their own ids."""
     labelled = labelled.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     share = min(1.0, most_rows / max(1, labelled.count()))
     chosen = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -122,9 +124,18 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     def bags(batches):
         for b in batches:
             out = [passages(t).tobytes() for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(out, pa.binary())], ["label", "bag"])
-
-    sample = rows.mapInArrow(bags, "label int, bag binary").toPandas()
+            yield pa.RecordBatch.from_arrays([b.column("th"), b.column("label"), pa.array(out, pa.binary())], ["th", "label", "bag"])
+
+    kept = written(rows.mapInArrow(bags, "th bigint, label int, bag binary"))
+    sizes = kept.groupBy("th").agg(F.sum(F.length("bag")).alias("n")).orderBy("th").collect()  # at most about most_rows
+    held, some = 0, []
+    for r in sizes:
+        if held + r.n <= most_bytes:
+            held += r.n
+            some.append((r.th,))
+    if len(some) < len(sizes):
+        kept = kept.join(F.broadcast(docs.sparkSession.createDataFrame(some, "th long")), "th")  # at most about most_rows
+    sample = kept.select("label", "bag").toPandas()
     sample = sample.sort_values(["bag", "label"], ignore_index=True)  # in whatever order tasks end, the same fit
     net = Network()
     if sample["label"].nunique() == 2:
