@@ -135,6 +135,7 @@ def contamination(
     # tables between aggregation and join: the join can then split what has very many rows
     wide = written(shifts.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter(F.col("n") > most_items))
     own = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.th") == F.col(f"{y}.th"))
+    # rows with texts repeat the same few items, so their files are far smaller than they are: never broadcast by the size of those
     hit = F.struct("items", "shifts", F.col("t").alias("words"))
     texts_of = few_texts(bench)
     a, b, c = rows.alias("a"), shifts.alias("b"), wide.alias("c")
@@ -143,14 +144,14 @@ def contamination(
     found = written(narrow.join(texts_of, "item_th").groupBy("doc_id", "th").agg(F.collect_list(hit).alias("hits")))
     if any_wide:
         parts = b.join(c, own("b", "c")).select("b.*", F.pmod(F.xxhash64("item_th"), F.ceil(F.col("c.n") / most_items)).alias("part"))
-        parts = written(parts.join(texts_of, "item_th").groupBy("doc_id", "th", "part").agg(F.collect_list(hit).alias("hits"))).alias("d")
+        parts = written(parts.join(texts_of, "item_th").groupBy("doc_id", "th", "part").agg(F.collect_list(hit).alias("hits"))).hint("merge").alias("d")
         one = rows.select("doc_id", "th", "t").join(wide.select(F.col("doc_id").alias("i"), F.col("th").alias("h")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).drop("i", "h").dropDuplicates(["doc_id", "th"])
         judged_parts = one.alias("a").join(parts, own("a", "d")).select("a.doc_id", "a.th", "a.t", "d.hits").mapInArrow(_partly(window), f"doc_id {id_type(rows)}, th bigint, runs array<array<bigint>>, named array<string>")
         done = written(judged_parts.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("named"))).alias("named")))
-        b, d = found.alias("b"), done.alias("d")
+        b, d = found.hint("merge").alias("b"), done.hint("merge").alias("d")
         joined = a.join(b, own("a", "b"), "left").join(d, own("a", "d"), "left").select("a.*", "b.hits", "d.runs", "d.named")
     else:
-        b = found.alias("b")
+        b = found.hint("merge").alias("b")
         none = F.lit(None)
         joined = a.join(b, own("a", "b"), "left").select("a.*", "b.hits", none.cast("array<array<bigint>>").alias("runs"), none.cast("array<string>").alias("named"))
 
