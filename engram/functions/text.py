@@ -70,11 +70,16 @@ def any_epoch_ms(shown: Column, zone: Column | None = None) -> Column:
     return F.coalesce(epoch_ms(number).cast("long"), instant(shown, F.lit("UTC") if zone is None else zone) * 1000)
 
 
-def shingles(words: Column, width: int = 2) -> Column:
+def all_shingles(words: Column, least: int = 2, most: int = 5, separator: str = " ") -> Column:
+    """Runs of ``least`` to ``most`` words, joined by the separator, shorter runs first."""
+    return F.flatten(F.array(*[shingles(words, width, separator) for width in range(least, most + 1)]))
+
+
+def shingles(words: Column, width: int = 2, separator: str = " ") -> Column:
     """Runs of so many words, joined by blanks."""
     n = F.greatest(F.size(words) - width + 1, F.lit(0))
     parts = [F.slice(words, k, n).alias(f"w{k}") for k in range(1, width + 1)]  # zipped, so that no lambda makes the words anew
-    return F.transform(F.arrays_zip(*parts), lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(1, width + 1)]))
+    return F.transform(F.arrays_zip(*parts), lambda z: F.concat_ws(separator, *[z[f"w{k}"] for k in range(1, width + 1)]))
 
 
 def choice(answer: Column) -> Column:
@@ -148,12 +153,14 @@ def relative_dates(text: Column, base: Column) -> Column:
     return F.coalesce(out, text)
 
 
-def mentions(text: Column, refs: Column) -> Column:
-    """Names after @ become @name(user_id:x). refs: array of struct name, user_id; of one name the first counts. Idempotent."""
+def mentions(text: Column, refs: Column, sign: str = "@") -> Column:
+    """Names after @ become @name(user_id:x). refs: array of struct name, user_id; of one name the first counts. Idempotent. sign="":
+    names at the begin of a word, without @."""
+    begin = sign or r"(?U)\b"
 
     def add(t: Column, ref: Column) -> Column:
-        shown = F.concat(F.lit("@"), ref["name"], F.lit("(user_id:"), ref["user_id"].cast("string"), F.lit(")"))
-        name = F.concat(F.lit(r"@\Q"), ref["name"], F.lit(r"\E(?!\(user_id:)"))
+        shown = F.concat(F.lit(sign), ref["name"], F.lit("(user_id:"), ref["user_id"].cast("string"), F.lit(")"))
+        name = F.concat(F.lit(begin + r"\Q"), ref["name"], F.lit(r"\E(?!\(user_id:)"))
         usable = (F.coalesce(ref["name"], F.lit("")) != "") & (F.coalesce(ref["user_id"].cast("string"), F.lit("")) != "")
         return F.when(usable & ~F.contains(t, shown), F.regexp_replace(t, name, F.regexp_replace(shown, r"([\\$])", r"\\$1"))).otherwise(t)
 
@@ -201,6 +208,12 @@ def fact_text(time: Column, facts: Column) -> Column:
     return F.concat_ws("：", part(time), part(F.array_join(facts, " ")))
 
 
+def rerank_text(time: Column, facts: Column, narrative: Column) -> Column:
+    """What a reranker reads of a document: the time of its facts and the facts, a line each, else the narrative; null without either."""
+    lines = F.array_compact(F.concat(F.array(F.nullif(time, F.lit(""))), facts))
+    return F.when(F.size(F.coalesce(facts, F.array())) > 0, F.array_join(lines, "\n")).otherwise(F.nullif(narrative, F.lit("")))
+
+
 def edge_ngrams(text: Column, most: int = 20) -> Column:
     """The lower-case text's first character, its first two, and so on up to ``most``."""
     low = F.lower(text)
@@ -212,6 +225,23 @@ def lower_keyword(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
+def _stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def usable_variants(queries: Column, question: Column, most: int = 3) -> Column:
+    """Of rewritten queries the first three of 5 to 300 characters that aren't the question itself but for case and outer blanks, trimmed."""
+    new = F.filter(queries, lambda q: F.length(q).between(5, 300) & (F.lower(_stripped(q)) != F.lower(_stripped(question))))
+    return F.transform(F.slice(new, 1, most), _stripped)
+
+
+def query_variants(answer: Column, question: Column) -> Column:
+    """The usable variants of a model's answer, a JSON object with a list "queries" somewhere in the text; the question itself where the
+    answer can't be read or has none."""
+    found = usable_variants(F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), "queries array<string>")["queries"], question)
+    return F.when(F.size(F.coalesce(found, F.array())) > 0, found).otherwise(F.array(question))
+
+
 def short_code(number: Column, least: int = 4, digits: int = 11) -> Column:
     """Base 62, with zeros in front up to ``least`` characters."""
     code = base62(number, digits)

@@ -6,24 +6,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranks of level labels, English and Chinese; others rank 0.
-LEVELS = {"low": 1, "medium": 2, "high": 3, "低": 1, "中": 2, "高": 3}
+#: Level labels by rank, English and Chinese; other labels rank 0.
+LEVELS = {
+    1: ["低级", "low", "basic", "beginner", "初级", "familiar", "weak"],
+    2: ["中级", "medium", "intermediate"],
+    3: ["高级", "high", "advanced", "strong", "专家", "expert"],
+}
+_BLANKS = " \t\n\r\x0b\x0c"
+
+
+def level_rank(level: Column) -> Column:
+    """The rank of a label, whatever its case and the blanks around it."""
+    name = F.lower(F.btrim(level, F.lit(_BLANKS)))
+    rank = F.lit(0)
+    for no, labels in LEVELS.items():
+        rank = F.when(name.isin(labels), no).otherwise(rank)
+    return rank
 
 
 def merge_values(rows: DataFrame, keys: list[str], keep: str = "last") -> DataFrame:
-    """rows: keys, value, level, evidence, seq. One row per trimmed value: evidences distinct in first-seen order; the last
-    non-empty level, or with keep="highest" the highest, of which the earliest stays."""
+    """rows: keys, value, level, evidence, seq (of any type that has an order). One row per trimmed value: evidences distinct in first-seen
+    order; the last non-empty level, or with keep="highest" the highest, trimmed, of which the earliest stays: an empty level counts
+    less than an unknown one, and the level is empty where all are."""
     value = F.trim("value")
     rows = rows.filter(value != "").withColumn("value", value)
+    filled = F.coalesce(F.col("level"), F.lit("")) != ""
     if keep == "highest":
-        ranks = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
-        level = F.max_by("level", F.struct(F.coalesce(F.try_element_at(ranks, F.lower(F.trim("level"))), F.lit(0)).alias("r"), (-F.col("seq")).alias("s")))
+        best, of = F.min, F.when(filled, F.struct((-level_rank(F.col("level"))).alias("r"), "seq", "level"))
     else:
-        level = F.max_by("level", F.when(F.coalesce(F.col("level"), F.lit("")) != "", F.col("seq")))
-    # evidence by evidence first, so that a value with many copies of one evidence keeps one
-    first = rows.groupBy(*keys, "value", "evidence").agg(F.min("seq").alias("seq"))
-    lists = first.groupBy(*keys, "value").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"]).alias("evidences"))
-    return lists.join(rows.groupBy(*keys, "value").agg(level.alias("level")), [*keys, "value"])
+        best, of = F.max, F.when(filled, F.struct("seq", "level"))
+    # evidence by evidence first, so that a value with many copies of one evidence keeps one; the level is folded on the way
+    first = rows.groupBy(*keys, "value", "evidence").agg(F.min("seq").alias("seq"), best(of).alias("best"))
+    evidences = F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"])
+    lists = first.groupBy(*keys, "value").agg(evidences.alias("evidences"), best("best").alias("best"))
+    level = F.col("best")["level"] if keep != "highest" else F.coalesce(F.btrim(F.col("best")["level"], F.lit(_BLANKS)), F.lit(""))
+    return lists.select(*keys, "value", "evidences", level.alias("level"))
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -173,6 +190,31 @@ def judge_accuracy(questions: DataFrame) -> DataFrame:
     return runs.groupBy("scope").agg(F.count("*").alias("runs"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
 
 
+def majority_roll_up(questions: DataFrame, least: int = 2) -> DataFrame:
+    """questions: conv_id, category, judgments (map of run to boolean). conv_id and category (null: all), n, correct (questions that at
+    least ``least`` runs call right), accuracy; over all, by conversation and by category."""
+    right = F.size(F.filter(F.map_values("judgments"), lambda ok: F.coalesce(ok, F.lit(False)))) >= least
+    rows = questions.select("conv_id", F.coalesce(F.col("category").cast("string"), F.lit("unknown")).alias("category"), F.coalesce(right, F.lit(False)).cast("int").alias("ok"))
+    return rows.groupingSets([[], ["conv_id"], ["category"]], "conv_id", "category").agg(F.count("*").alias("n"), F.sum("ok").alias("correct"), F.avg("ok").alias("accuracy"))
+
+
+def role_evidences(history: DataFrame, new: DataFrame, units: DataFrame, most: int = 50) -> DataFrame:
+    """history: role, user_id, evidence, pos, confidence; new: role, user_id, evidence, confidence; units: evidence, user_id (who takes part),
+    at. For the known roles and users that new findings name: confidence, strong once either says so, and evidences: those of history as
+    they were, then the new ones in which the user takes part, by time, none twice, the last ``most``."""
+    known = lambda rows: rows.filter(F.col("role").isin(ROLES) & (F.coalesce(F.col("user_id").cast("string"), F.lit("")) != ""))
+    keys = ["role", "user_id"]
+    named, old = known(new), known(history)
+    strong = F.max(F.coalesce(F.col("confidence") == "strong", F.lit(False)))
+    said = named.groupBy(*keys).agg(strong.alias("now"))
+    before = old.groupBy(*keys).agg(strong.alias("was"))
+    valid = named.join(units, ["evidence", "user_id"]).select(*keys, "evidence", "at")
+    merged = merge_evidences(old.join(said.select(*keys), keys, "left_semi").select(*keys, "evidence", "pos"), valid, keys, most)
+    both = said.join(before, keys, "left").join(merged, keys, "left")
+    confidence = F.when(F.col("now") | F.coalesce("was", F.lit(False)), "strong").otherwise("weak")
+    return both.select(*keys, confidence.alias("confidence"), F.coalesce("evidences", F.array().cast("array<string>")).alias("evidences"))
+
+
 def merge_pair(old: DataFrame, new: DataFrame, keys: list[str], scalars: list[str], lists: list[str]) -> DataFrame:
     """One profile of each key: scalars of new win unless null, lists are joined without repeats."""
     joined = old.alias("a").join(new.alias("b"), keys, "full")
@@ -182,7 +224,7 @@ def merge_pair(old: DataFrame, new: DataFrame, keys: list[str], scalars: list[st
 
 
 def payload_rows(rows: DataFrame, key: str, payload: str) -> DataFrame:
-    """Loose JSON payloads as rows: key, seq, value, evidence (null: none), level. Shapes: an object with value, evidences and level; an
+    """Loose JSON payloads as rows: key, seq (the places of entry, value and evidence), value, evidence (null: none), level. Shapes: an object with value, evidences and level; an
     object of values and their evidences; a list of either, where a list entry's own evidences hold for all its values; a list of texts; a
     text. The names evidences and level in an object are no values."""
     text = F.trim(payload)
@@ -202,7 +244,7 @@ def payload_rows(rows: DataFrame, key: str, payload: str) -> DataFrame:
     found = F.trim("v.found")
     lists = F.when(found.startswith("["), F.from_json(found, "array<string>")).when(found != "", F.array(found))
     each = each.select(key, "no", "nth", "level", F.trim("v.value").alias("value"), F.posexplode_outer(lists).alias("place", "evidence"))
-    seq = F.col("no").cast("long") * 1_000_000 + F.col("nth") * 1000 + F.coalesce("place", F.lit(0))
+    seq = F.struct("no", "nth", F.coalesce("place", F.lit(0)).alias("place"))
     return each.filter("value <> ''").select(key, seq.alias("seq"), "value", "evidence", "level")
 
 

@@ -76,11 +76,12 @@ def query_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
-def bm25_parts(queries: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame, k1: float, b: float, few: int = 1_000_000) -> DataFrame:
-    """query_id, doc_id, term, tf, part. queries: query_id, term, weight; up to ``few`` rows of them are broadcast, more meet the
-    postings in a shuffle."""
+def bm25_parts(queries: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame, k1: float, b: float, small_bytes: int = 32_000_000) -> DataFrame:
+    """query_id, doc_id, term, tf, part. queries: query_id, term, weight; they are broadcast if their counted bytes fit ``small_bytes``, else
+    they meet the postings in a shuffle."""
     wanted = queries.join(terms, "term")
-    if queries.count() <= few:
+    size = queries.agg(F.sum(F.octet_length("term") + 96)).first()[0] or 0  # with what a hash table adds to a row
+    if size <= small_bytes:
         wanted = F.broadcast(wanted)
     tf, dl = F.col("tf"), F.col("dl")
     return (
@@ -103,10 +104,12 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "unit_id", t
     posts, terms, stats = index or indexed(docs, id_col, text_col)
     words = written(query_words(queries))
     parts = bm25_parts(words, posts, okapi_terms(terms, stats), stats, k1, b).select("query_id", "doc_id", "part")
+    best = written(top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k).drop("rank"))
+    few = words.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k), "query_id", "left_anti")
     # fewer than k hits leave at least k of the first 2 k documents
     first = docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * k)
-    zeros = words.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("part", F.lit(0.0))
-    return top(parts.unionByName(zeros).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
+    zeros = few.join(F.broadcast(first)).withColumn("score", F.lit(0.0)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return top(best.unionByName(zeros), k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -211,10 +214,10 @@ def _compared(queries: DataFrame, corpus: DataFrame, compare, most_query_rows: i
     blocks = max(-(-queries.count() // most_query_rows), 1)
     n, cores = corpus.count(), corpus.sparkSession.sparkContext.defaultParallelism
     parts = max(-(-n // most_corpus_rows), min(n, cores), 1)
-    dealt = lambda of: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(of)).cast("int")
+    dealt = lambda of, *by: F.pmod(F.xxhash64(*by), F.lit(of)).cast("int")  # noqa: E731  by what a row holds, so that a task that runs again deals alike
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    asked = queries.select("query_id", "qvector", dealt(blocks).alias("block")).withColumn("part", every(parts))
-    rows = corpus.select("doc_id", "vector", dealt(parts).alias("part")).withColumn("block", every(blocks))
+    asked = queries.select("query_id", "qvector", dealt(blocks, "query_id", "qvector").alias("block")).withColumn("part", every(parts))
+    rows = corpus.select("doc_id", "vector", dealt(parts, "doc_id", "vector").alias("part")).withColumn("block", every(blocks))
     tasks = min(blocks * parts, max(4 * cores, blocks * parts // 16))
     asked, rows = (df.repartition(tasks, "block", "part").groupBy("block", "part") for df in (asked, rows))
     types = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc_id"]
@@ -224,12 +227,29 @@ def _compared(queries: DataFrame, corpus: DataFrame, compare, most_query_rows: i
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, most_query_rows: int = 10_000, most_corpus_rows: int = 5_000, allowed: Column | None = None, least: float | None = None) -> DataFrame:
     """Exact. queries: query_id, qvector, of any number; corpus: doc_id, vector and what the filter ``allowed`` reads, which holds
-    before scores are made. Of each query the k best by cosine, of those that reach the radius ``least``, if it is given."""
+    before scores are made. Of each query the k best by cosine, of those that reach the radius ``least``, if it is given. A query or row
+    without a direction (norm 0, null) scores 0 with all: give a radius above 0 where it shall have no hits."""
     corpus = corpus if allowed is None else corpus.filter(allowed)
     found = _compared(queries, corpus, _best(k), most_query_rows, most_corpus_rows)
     return top(found if least is None else found.filter(F.col("score") >= least), k)
 
 
+def knn_within(queries: DataFrame, corpus: DataFrame, group: str, k: int, part_rows: int = 20_000, most_query_rows: int = 10_000, least: float | None = None) -> DataFrame:
+    """As ``knn``, but a query (group, query_id, qvector) meets only the rows of its own group (group, doc_id, vector). A group of many rows
+    or queries is several parts and blocks, each pair of them compared in a task of its own."""
+    sizes = corpus.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("n")).join(queries.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__asked")), "__g")
+    plan = written(sizes.select("__g", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"), F.ceil(F.col("__asked") / most_query_rows).cast("int").alias("blocks")))
+    dealt = lambda of, *by: F.pmod(F.xxhash64(*by), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asked = queries.join(plan, F.col(group) == F.col("__g")).select("query_id", "qvector", "__g", "parts", dealt("blocks", "query_id", "qvector").alias("block")).withColumn("part", every("parts")).drop("parts")
+    rows = corpus.join(plan, F.col(group) == F.col("__g")).select("doc_id", "vector", "__g", "blocks", dealt("parts", "doc_id", "vector").alias("part")).withColumn("block", every("blocks")).drop("blocks")
+    types = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc_id"]
+    asked, rows = asked.toDF("query_id", "qvector", "qg", "qblock", "qpart"), rows.toDF("doc_id", "vector", "dg", "dpart", "dblock")
+    pairs = asked.groupBy("qg", "qpart", "qblock").cogroup(rows.groupBy("dg", "dpart", "dblock"))
+    found = pairs.applyInArrow(_best(k), "query_id {}, doc_id {}, score double".format(*types)).withColumn("score", F.round("score", 6))
+    return top(found if least is None else found.filter(F.col("score") >= least), k)
+
+
 def within(queries: DataFrame, corpus: DataFrame, least: float, most_query_rows: int = 10_000, most_corpus_rows: int = 5_000) -> DataFrame:
     """query_id, doc_id, score: all rows whose cosine reaches ``least``."""
     return _compared(queries, corpus, _above(least), most_query_rows, most_corpus_rows).filter(F.col("score") >= least)
@@ -260,6 +280,23 @@ def fused(lists: DataFrame, n: int, k: int = 60) -> DataFrame:
     return top(both, n, "key").drop("key")
 
 
+def retrieved(queries: DataFrame, vectors: DataFrame, docs: DataFrame, rows: DataFrame, k: int, modes: tuple[str, ...] = ("bm25", "embedding", "rrf"), each: int = 50) -> DataFrame:
+    """One row shape for every mode over a source of data: mode, query_id, doc_id, score, rank. queries: query_id, text; vectors: query_id,
+    qvector; docs (unit_id, narrative) and rows (doc_id, vector): the source's texts and vectors."""
+    words = written(bm25(queries, docs, each)) if {"bm25", "rrf"} & {*modes} else None
+    near = written(knn(vectors, rows, each)) if {"embedding", "rrf"} & {*modes} else None
+    parts = {
+        "bm25": lambda: words.filter(F.col("rank") <= k),
+        "embedding": lambda: near.filter(F.col("rank") <= k),
+        "rrf": lambda: top(rrf(words.withColumn("list_no", F.lit(0)).unionByName(near.withColumn("list_no", F.lit(1)))), k),
+    }
+    out = None
+    for mode in modes:
+        found = parts[mode]().select(F.lit(mode).alias("mode"), "query_id", "doc_id", "score", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def in_turn(lists: DataFrame) -> DataFrame:
     """lists: query_id, list_no, doc_id, rank. The lists of a query one after another, documents only where they come first."""
     first = lists.groupBy("query_id", "doc_id").agg(F.min(F.struct("list_no", "rank")).alias("at"))

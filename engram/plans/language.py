@@ -26,14 +26,14 @@ def x5_text_classes(spark, sf):
 
 
 @query(
-    rf"""WITH t AS (SELECT unit_id, summary, regexp_extract_all(summary, '(?s)[A-Za-z]+|[0-9]+|\s+|.') AS t FROM {_UNITS}),
+    rf"""WITH t AS (SELECT unit_id, narrative, regexp_extract_all(narrative, '(?s)[A-Za-z]+|[0-9]+|\s+|.') AS t FROM {_UNITS}),
     p AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: regexp_full_match(t[i], '[A-Za-z]+|[0-9]+'))[21] AS p FROM t)
-    SELECT unit_id, CASE WHEN p IS NULL OR p = len(t) THEN summary ELSE regexp_replace(array_to_string(t[1:p], ''), '\s+$', '') || '...' END AS head FROM p"""
+    SELECT unit_id, CASE WHEN p IS NULL OR p = len(t) THEN narrative ELSE regexp_replace(array_to_string(t[1:p], ''), '\s+$', '') || '...' END AS head FROM p"""
 )
 def x4_truncated(spark, sf):
     """The first 20 words and numbers; 21 are within the 5 % that a whole word may exceed."""
     weights = {"cjk": 1.0, "word": 1.0, "number": 1.0, "punctuation": 0.0, "whitespace": 0.0, "other": 0.0}
-    return T.memunits(spark, sf).select("unit_id", X.truncated(F.col("summary"), 20, weights).alias("head"))
+    return T.memunits(spark, sf).select("unit_id", X.truncated(F.col("narrative"), 20, weights).alias("head"))
 
 
 @query(

@@ -9,14 +9,14 @@ from engram import tables as T
 from engram.functions import text as X
 from engram.operators import clusters, rank
 from engram.plans.lookups import _joined
-from engram.plans.queries import _BM25, _EVENTS, _FUSE, _MESSAGES, _USABLE, _VARIANTS, _VERSIONS, _usable, _variant_lists, query, r6_knn
+from engram.plans.queries import _BM25, _EVENTS, _FUSE, _MESSAGES, _USABLE, _VARIANTS, _VERSIONS, _inserted, _usable, _variant_lists, query, r6_knn
 
 # retrieval
 
 
-@query()
+@query(_inserted("after") + " SELECT query_id, place, doc_id, score, hit_id FROM x")
 def r18_insert_after_hits(spark, sf):
-    """Hits with the co-members nearest in time put after each; tested against known results."""
+    """Hits with the co-members nearest in time put after each."""
     hits = r6_knn(spark, sf)
     members = T.read(spark, sf, "embeddings").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("seq"))
     return clusters.insert_after_hits(hits, members)
@@ -32,6 +32,20 @@ def r14_multi_query(spark, sf):
     return rank.fused(_variant_lists(spark, sf), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    """WITH b AS (SELECT doc_id, coalesce(source, '') AS text, [upper(coalesce(source, '')), ' ' || lang || ' query' || chr(10), 'four', 'What of ' || doc_id || '?', repeat('x', (doc_id % 400)::INT), 'the last one'] AS q, doc_id % 4 AS kind FROM documents),
+    v AS (SELECT doc_id, text, CASE WHEN kind < 3 THEN list_slice(list_filter(q, lambda s: length(s) BETWEEN 5 AND 300 AND lower(trim(s, ' ' || chr(10))) <> lower(text)), 1, 3) END AS v FROM b)
+    SELECT doc_id, CASE WHEN len(v) > 0 THEN array_to_string(list_transform(v, lambda s: trim(s, ' ' || chr(10))), '|') ELSE text END AS variants FROM v"""
+)
+def x15_answers(spark, sf):
+    """Variants out of JSON answers, some of which are cut off: a source's name is the question."""
+    d = T.read(spark, sf, "documents").select("doc_id", "lang", F.coalesce("source", F.lit("")).alias("text"))
+    said = F.array(F.upper("text"), F.concat(F.lit(" "), "lang", F.lit(" query\n")), F.lit("four"), F.concat(F.lit("What of "), "doc_id", F.lit("?")), F.repeat(F.lit("x"), (F.col("doc_id") % 400).cast("int")), F.lit("the last one"))
+    answer = F.concat(F.lit("Here they are: "), F.to_json(F.struct(said.alias("queries"), F.lit("why").alias("reasoning"))))
+    cut = F.when(F.col("doc_id") % 4 == 3, F.substring(answer, 1, 40)).otherwise(answer)
+    return d.select("doc_id", F.array_join(X.query_variants(cut, F.col("text")), "|").alias("variants"))
+
+
 @query(f"SELECT item_id, CASE WHEN len(v) = 0 THEN text ELSE array_to_string(v, '|') END AS variants FROM (SELECT item_id, text, {_USABLE} AS v FROM (SELECT item_id, coalesce(text, '') AS text FROM benchmark))")
 def x15_variants(spark, sf):
     """At most three usable variants of a question, or the question itself."""

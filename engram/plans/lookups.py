@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from engram import tables as T
 from engram.functions import text as X
-from engram.operators import profiles, rank
-from engram.plans.queries import _BM25, _COS, _EVENTS, _KNN, _MESSAGES, _TOKENS, _UNITS, _units, _ROUNDS, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r1_bm25, r6_knn
+from engram.operators import inverted, profiles, rank
+from engram.plans.queries import _BM25, _COS, _EVENTS, _KNN, _MESSAGES, _TOKENS, _UNITS, _units, _ROUNDS, _VECTORS, _index, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r1_bm25, r6_knn
 
 _HITS = f"h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})) WHERE rank <= 20)"
 
@@ -81,18 +81,14 @@ def j2_children_with_parent(spark, sf):
 )
 def j5_second_round(spark, sf):
     """The first round's best 20, then what only the variants' lists in turn have, 40 at most; origin names the round."""
-    u = _units(spark, sf)
-    index = rank.indexed(u, "unit_id", "narrative")
-    return rank.merge_rounds(rank.bm25(_queries(spark, sf), u, 20, index=index), rank.in_turn(_variant_lists(spark, sf, index)), 40)
+    return rank.merge_rounds(inverted.bm25(_index(spark, sf), _queries(spark, sf), 20), rank.in_turn(_variant_lists(spark, sf)), 40)
 
 
 @query(_ROUNDS + " SELECT query_id, doc_id, rank FROM b WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.rank <= 20 AND x.query_id = b.query_id AND x.doc_id = b.doc_id)")
 def u1_variant_hits(spark, sf):
     """The lists of a question's variants one after another, each document once, without the first round's hits."""
-    u = _units(spark, sf)
-    index = rank.indexed(u, "unit_id", "narrative")
-    first = rank.bm25(_queries(spark, sf), u, 20, index=index).select("query_id", "doc_id")
-    return rank.in_turn(_variant_lists(spark, sf, index)).join(first, ["query_id", "doc_id"], "left_anti").withColumn("rank", F.col("rank").cast("long"))
+    first = inverted.bm25(_index(spark, sf), _queries(spark, sf), 20).select("query_id", "doc_id")
+    return rank.in_turn(_variant_lists(spark, sf)).join(first, ["query_id", "doc_id"], "left_anti").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_BM25.replace("{field}", "narrative") + f" SELECT query_id, string_agg(substr(narrative, 1, 500), chr(10) ORDER BY rank) AS context FROM hits JOIN {_UNITS} u ON doc_id = unit_id WHERE rank <= 5 GROUP BY 1")
@@ -137,9 +133,8 @@ def r22_members_by_score(spark, sf):
     """Co-members of each hit with a least score, best first."""
     v = T.vectors(spark, sf)
     hits = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("vector").alias("qvector"))
-    pairs = hits.join(v.withColumnRenamed("vec_id", "doc_id"), "label").filter("doc_id <> query_id")
-    scored = pairs.select("query_id", "doc_id", F.round(rank.cosine(F.col("qvector"), F.col("vector")), 6).alias("score")).filter("score >= 0.2")
-    return rank.top(scored, 10).withColumn("rank", F.col("rank").cast("long"))
+    found = rank.knn_within(hits, v.withColumnRenamed("vec_id", "doc_id"), "label", 11, least=0.2)  # a hit may be its own best
+    return rank.top(found.filter("doc_id <> query_id").drop("rank"), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 # aggregations

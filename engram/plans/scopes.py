@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from engram import tables as T
 from engram.shared import written
-from engram.operators import clusters, matching, profiles, rank
-from engram.plans.queries import _BM25, _EVENTS, _KNN, _POSTS, _ROUNDS, _TOKENS, _UNITS, _units, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r6_knn
+from engram.operators import clusters, inverted, matching, profiles, rank
+from engram.plans.queries import SQL, _BM25, _EVENTS, _KNN, _POSTS, _ROUNDS, _TOKENS, _inserted, _UNITS, _index, _units, _VECTORS, _VERSIONS, _queries, _variant_lists, _vector_queries, query, r6_knn
 
 # filters
 
@@ -140,8 +140,7 @@ def r12_modes(spark, sf):
     """Every mode in one row shape."""
     v, u = T.vectors(spark, sf), _units(spark, sf)
     asked = u.join(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("unit_id")), "unit_id", "left_semi").select(F.col("unit_id").alias("query_id"), F.col("narrative").alias("text"))
-    index = rank.indexed(u, "unit_id", "narrative")
-    words = lambda k: rank.bm25(asked, u, k, index=index)
+    words = lambda k: inverted.bm25(_index(spark, sf), asked, k)
     near = lambda k: rank.knn(_vector_queries(spark, sf), v.select(F.col("vec_id").alias("doc_id"), "vector"), k)
     lists = lambda: words(50).withColumn("list_no", F.lit(0)).unionByName(near(50).withColumn("list_no", F.lit(1)))
     modes = {"bm25": lambda: words(10), "embedding": lambda: near(10), "rrf": lambda: rank.top(rank.rrf(lists()), 10)}
@@ -165,9 +164,8 @@ def r13_profile_lookup(spark, sf):
 )
 def r17_two_rounds(spark, sf):
     """What a judge and a reranker would say comes from formulas over the ids."""
-    q, u = _queries(spark, sf), _units(spark, sf)
-    index = rank.indexed(u, "unit_id", "narrative")
-    first, second = written(rank.bm25(q, u, 20, index=index)), written(rank.in_turn(_variant_lists(spark, sf, index)))  # each is used several times
+    q = _queries(spark, sf)
+    first, second = written(inverted.bm25(_index(spark, sf), q, 20)), written(rank.in_turn(_variant_lists(spark, sf)))  # each is used several times
     sufficient = q.select("query_id", (F.col("query_id") % 2 == 0).alias("is_sufficient"))
     d, both = F.col("doc_id"), first.select("query_id", "doc_id").union(second.select("query_id", "doc_id")).distinct()
     scores = both.filter((d + F.col("query_id")) % 3 != 0).withColumn("rerank_score", (d * 7 % 101).cast("double"))
@@ -181,15 +179,15 @@ def _members(spark, sf):
     return T.read(spark, sf, "embeddings").select(F.col("label").cast("long").alias("cluster_id"), F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("seq"))
 
 
-@query()
+@query(_inserted("end") + " SELECT query_id, place, doc_id, score, hit_id FROM x")
 def r19_append_to_end(spark, sf):
-    """Co-members after all hits; tested against known results."""
+    """Co-members after all hits."""
     return clusters.insert_after_hits(r6_knn(spark, sf), _members(spark, sf), place="end")
 
 
-@query()
+@query(_inserted("score") + " SELECT query_id, place, doc_id, score, hit_id FROM x")
 def r20_merge_by_score(spark, sf):
-    """Hits and co-members by score; tested against known results."""
+    """Hits and co-members by score."""
     return clusters.insert_after_hits(r6_knn(spark, sf), _members(spark, sf), place="score")
 
 
@@ -205,13 +203,17 @@ def r21_rerank_by_cluster(spark, sf):
     return found.select("query_id", "place", "doc_id", F.round("score", 6).alias("score"), "cluster_id")
 
 
-@query()
+@query(
+    f"""WITH y AS ({_inserted("after")} SELECT query_id, place, doc_id, score FROM x), z AS ({SQL["r21_rerank_by_cluster"]}), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_KNN})) WHERE rank <= 20)
+    SELECT query_id, rank AS place, doc_id, round(score, 6) AS score, 'agentic_only' AS strategy FROM h WHERE query_id // 20 % 3 = 0 UNION ALL SELECT query_id, place, doc_id, round(score, 6), 'gec_insert_after_hit' FROM y WHERE query_id // 20 % 3 = 1
+    UNION ALL SELECT query_id, place, doc_id, score, 'gec_cluster_rerank' FROM z WHERE query_id // 20 % 3 = 2"""
+)
 def d3_strategies(spark, sf):
-    """Each query's hits as the strategy that its id stands for orders them; tested against the strategies one by one."""
+    """Each query's hits as the strategy that its id stands for orders them; also tested against the strategies one by one."""
     hits = r6_knn(spark, sf)
     named = F.element_at(F.array(*map(F.lit, clusters.STRATEGIES)), (F.col("query_id") / 20 % 3 + 1).cast("int"))
     routed = _vector_queries(spark, sf).select("query_id", named.alias("strategy"))
-    return clusters.by_strategy(hits, _members(spark, sf), routed)
+    return clusters.by_strategy(hits, _members(spark, sf), routed).withColumn("score", F.round("score", 6))
 
 
 # vectors of the units of a cluster

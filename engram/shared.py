@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of the scopes that are open, the innermost last.
-_SCOPES: list[str] = []
+#: Folders of the scopes that are open, the innermost last; each thread has its own.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -23,11 +25,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession):
     """Tables that are written inside are removed at the end; what needs them must be computed by then."""
     path = shared_dir(spark)
-    _SCOPES.append(path)
+    before = _SCOPES.set((*_SCOPES.get(), path))
     try:
         yield
     finally:
-        _SCOPES.remove(path)
+        _SCOPES.reset(before)
         remove(spark, path)
 
 
@@ -47,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         parent = _local_dir()
-    if _SCOPES:
-        parent = _SCOPES[-1]
+    if _SCOPES.get():
+        parent = _SCOPES.get()[-1]
     return f"{parent.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -57,3 +59,25 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, source: str, build) -> str:
+    """The folder of what build(path) makes of the table at source, made once for as long as the table's size and time stay the same,
+    and outside of all scopes: whoever owns the shared folder removes it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(conf)
+    held = f"{source} {fs.getFileStatus(at).getModificationTime()} {fs.getContentSummary(at).getLength()}"
+    opened = _SCOPES.set(())
+    try:
+        new = shared_dir(spark)
+        path = f"{new.rpartition('/')[0]}/kept-{name}-{hashlib.sha256(held.encode()).hexdigest()[:16]}"
+        to = jvm.org.apache.hadoop.fs.Path(path)
+        fs = to.getFileSystem(conf)
+        if not fs.exists(to):
+            build(new)
+            if not fs.rename(jvm.org.apache.hadoop.fs.Path(new), to) and not fs.exists(to):  # another job may have been first
+                raise OSError(f"{new} can't become {path}")
+    finally:
+        _SCOPES.reset(opened)
+    return path
