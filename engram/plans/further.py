@@ -460,3 +460,26 @@ def e4_staged_run(spark, sf):
     ]
     run_stages(spark, folder, stages)
     return run_stages(spark, folder, stages)["evaluate"]
+
+
+@query()
+def k10_live_clusters(spark, sf):
+    """The vectors as a stream, each with the cluster that it joins and the version of the cluster's profile after it; tested against the
+    batch form. Two rows of no group, long after all others, end the wait of the last."""
+    at = lambda s: F.timestamp_seconds(F.lit(1_704_067_200) + s)
+    v = T.vectors(spark, sf).select(F.col("label").cast("long").alias("group_id"), F.col("vec_id").alias("event_id"), at(F.col("vec_id") * 3600).alias("ts"), "vector")
+    folder, out, name = shared_dir(spark), shared_dir(spark), "spark.sql.streaming.stateStore.providerClass"
+    last = v.agg(F.max("event_id").alias("last"))
+    end = lambda days: last.select(F.lit(None).cast("long").alias("group_id"), F.lit(-days).cast("long").alias("event_id"), at(F.coalesce("last", F.lit(0)) * 3600 + days * 86400).alias("ts"), F.lit(None).cast("array<double>").alias("vector"))
+    before = spark.conf.get(name)
+    live.use_state_store(spark)
+    try:
+        for rows in (v, end(60), end(120)):  # a run goes on where the one before ended
+            rows.write.mode("append").parquet(f"{folder}/in")
+            stream = live.clusters(spark.readStream.schema(v.schema).parquet(f"{folder}/in"), "group_id", least=0.3, late="30 days")
+            q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    found = spark.read.schema("group_id long, event_id long, cluster_id string, similarity double, version long").parquet(out)
+    return found.filter("group_id is not null")

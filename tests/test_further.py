@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from engram.functions import questions as Q
 from engram.functions import text as X
 from engram.operators import clusters, matching, profiles, rank
 from engram.operators.ordered import ranked, running_sum
@@ -242,3 +243,25 @@ def test_long_part_without_silence(spark):
     assert found == wanted and len({c for (g, _), (c, _) in wanted.items() if g == 0}) > 100
     plan = clusters._parts(units, "group_id", 5000.0)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan  # over buckets, in a table of their own
+
+
+#: Own questions of every type: type, strategy.
+QUESTIONS = {
+    ("event_temporal", "agentic_only"): ["When did Ada go to the choir rehearsal?", "When did Ben paint a harbour?", "When did Ada sign up for a sailing class?", 'When did Ben read the book "small boats"?', "When is Ada going to the poetry festival?", "When is Ben planning on going climbing?", "WHEN DID ADA GO?", "when did ada go?"],
+    ("event_activity", "gec_cluster_rerank"): ["What activities does Ben partake in?", "What does Ben do to relax?"],
+    ("event_aggregation", "gec_insert_after_hit"): ["What experiences did Ben have?", "What kinds of music does Ada play?"],
+    ("counting", "agentic_only"): ["What books has Ben read?", "Where has Ben camped?", "How many times did Ada sing?", "List all the places."],
+    ("attribute_identity", "agentic_only"): ["What is Ada's identity?", "What is Ada's relationship status?"],
+    ("attribute_preference", "agentic_only"): ["What do Ben's kids like?"],
+    ("attribute_location", "agentic_only"): ["Where did Ada move from 4 years ago?"],
+    ("reasoning_hypothetical", "gec_insert_after_hit"): ["Would Ada still want to pursue teaching as a career if she hadn't had help?", "Would Ada likely have poems on her shelf?", "Would Ada pursue singing as a career option?"],
+    ("time_calculation", "agentic_only"): ["How long has Ada had her current group of friends for?", "How long ago was Ada's 18th birthday?"],
+    ("general", "gec_insert_after_hit"): ["What fields would Ada be likely to pursue in her education?", "What did Ada research?", "What career path has Ada decided to pursue?", "", "Tell me."],
+}
+
+
+def test_types_of_questions(spark):
+    asked = [(q, *kind) for kind, own in QUESTIONS.items() for q in own]
+    rows = spark.createDataFrame(asked, "q string, type string, strategy string").withColumn("k", Q.classify(F.col("q"))).withColumn("route", Q.route(F.col("k"))).collect()
+    assert [(r.q, r.k.type, r.k.strategy, r.route) for r in rows] == [(q, t, s, s) for q, t, s in asked]
+    assert all(0 <= r.k.confidence <= 1 for r in rows)

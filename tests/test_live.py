@@ -9,8 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import clusters
+from engram.plans import queries as plans
 from engram.streaming import live
 
+from .conftest import TINY
+
 SCHEMAS = {
     "units": "group_id long, event_id long, ts timestamp, vector array<double>",
     "cache": "user_id long, event_id long, ts timestamp, is_read boolean, first long, last long",
@@ -148,3 +151,12 @@ def test_late_rows_correct_closed_windows(spark, tmp_path):
     assert changed == {str(width(at(5 * day)))}
     sink.batch(more, 7)
     assert published() == wanted and sink.newest(spark) == T0 + 60 * day
+
+
+def test_live_clusters_of_the_vectors(spark):
+    found = {(r.group_id, r.event_id): (r.cluster_id, round(r.similarity, 5), r.version) for r in plans.QUERIES["k10_live_clusters"](spark, TINY).collect()}
+    seen: Counter = Counter()
+    for r in plans.c1_online_clusters(spark, TINY).orderBy("unit_id").collect():
+        seen[r.group_id, r.cluster_id] += 1
+        assert found.pop((r.group_id, r.unit_id)) == (r.cluster_id, round(r.similarity, 5), seen[r.group_id, r.cluster_id])
+    assert not found
