@@ -29,6 +29,8 @@ from engram.shared import shared_dir, written
 
 _RUNS = re.compile(r"[\w-]+")
 _SLACK = 2e-6  # scores are rounded to six digits
+#: Of the tables; one that is kept from before a change of it is not read.
+FORMAT = 2
 
 
 @dataclass

@@ -19,6 +19,8 @@ from engram.operators.rank import cosine, top
 from engram.shared import shared_dir, written
 
 _SLACK = 2e-6  # scores are rounded to six digits
+#: Of the tables; one that is kept from before a change of it is not read.
+FORMAT = 2
 
 
 @dataclass

@@ -425,7 +425,7 @@ def _units(spark, sf):
 
 def _index(spark, sf):
     """The kept index of the units' texts: built by the first query that needs it, loaded by the others."""
-    path = kept(spark, "terms", f"{sf}/documents.parquet", lambda to: inverted.build(_units(spark, sf), path=to))
+    path = kept(spark, f"terms-{inverted.FORMAT}", f"{sf}/documents.parquet", lambda to: inverted.build(_units(spark, sf), path=to))
     return inverted.load(spark, path)
 
 
@@ -469,7 +469,7 @@ def r6_knn(spark, sf):
 def _lists(spark, sf):
     """The kept inverted file of the vectors."""
     rows = T.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "vector")
-    path = kept(spark, "vectors", f"{sf}/embeddings.parquet", lambda to: ivf.build(rows, path=to))
+    path = kept(spark, f"vectors-{ivf.FORMAT}", f"{sf}/embeddings.parquet", lambda to: ivf.build(rows, path=to))
     return ivf.load(spark, path), rows
 
 

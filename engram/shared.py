@@ -63,7 +63,8 @@ def written(df: DataFrame) -> DataFrame:
 
 def kept(spark: SparkSession, name: str, source: str, build) -> str:
     """The folder of what build(path) makes of the table at source, made once for as long as the table's size and time stay the same,
-    and outside of all scopes: whoever owns the shared folder removes it."""
+    and outside of all scopes: whoever owns the shared folder removes it. name: with the number of the format, so that what another
+    version of the code has built isn't read."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(source)
     fs = at.getFileSystem(conf)
