@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.operators.rank import okapi_terms, query_words, top
+from engram.functions.text import text_score, tokens
+from engram.operators.rank import lucene_terms, okapi_terms, query_words, top
 from engram.shared import shared_dir, written
 
 _RUNS = re.compile(r"[\w-]+")
@@ -256,3 +257,14 @@ def bm25(index: Index, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0
     first = index.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
     zeros = few.select("query_id").join(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0).alias("score"))
     return top(best.drop("rank").unionByName(zeros.join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")), k)
+
+
+def boosted(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None = None, words: int = 10) -> DataFrame:
+    """The rows of ``rank.boosted``: of a query its ``words`` words with the highest text score count, each boosted by it. allowed: doc_id,
+    the documents that can be hits; frequencies are those of all."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("weight", text_score(F.col("term")))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))
+    asked = asked.withColumn("nth", nth).filter(F.col("nth") <= words)
+    wanted = asked.join(lucene_terms(index.terms, index.stats), "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("w"))
+    some = index if allowed is None else replace(index, docs=index.docs.join(allowed.select("doc_id"), "doc_id", "left_semi"))
+    return top(_scanned(some, written(wanted), k, index.stats.first().avgdl or 1.0, 1.2, 0.75), k)

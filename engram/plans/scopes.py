@@ -110,19 +110,21 @@ _BOOSTED = (
 
 @query(_BOOSTED.replace("{where}", "true"))
 def r2_boosted_terms(spark, sf):
-    return rank.boosted(_queries(spark, sf), _units(spark, sf), 20).withColumn("rank", F.col("rank").cast("long"))
+    return inverted.boosted(_index(spark, sf), _queries(spark, sf), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_BOOSTED.replace("{where}", "lang IN ('en', 'de')"))
 def r7_filtered_keywords(spark, sf):
     """Keyword search over filtered rows."""
-    return rank.boosted(_queries(spark, sf), _units(spark, sf), 20, F.col("lang").isin("en", "de")).withColumn("rank", F.col("rank").cast("long"))
+    some = T.memunits(spark, sf).filter(F.col("lang").isin("en", "de")).select(F.col("unit_id").alias("doc_id"))
+    return inverted.boosted(_index(spark, sf), _queries(spark, sf), 20, some).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_BOOSTED.replace("{where}", "lang = 'fr'"))
 def f15_pinned_type(spark, sf):
     """The same search with its type pinned."""
-    return rank.boosted(_queries(spark, sf), _units(spark, sf), 20, F.col("lang") == "fr").withColumn("rank", F.col("rank").cast("long"))
+    some = T.memunits(spark, sf).filter("lang = 'fr'").select(F.col("unit_id").alias("doc_id"))
+    return inverted.boosted(_index(spark, sf), _queries(spark, sf), 20, some).withColumn("rank", F.col("rank").cast("long"))
 
 
 _SUBJECT_QUERIES = f"FROM (SELECT unit_id AS item_id, narrative AS text FROM {_UNITS} WHERE unit_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)))"
@@ -140,11 +142,11 @@ def r12_modes(spark, sf):
     """Every mode in one row shape."""
     v, u = T.vectors(spark, sf), _units(spark, sf)
     asked = u.join(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("unit_id")), "unit_id", "left_semi").select(F.col("unit_id").alias("query_id"), F.col("narrative").alias("text"))
-    words = lambda k: inverted.bm25(_index(spark, sf), asked, k)
-    near = lambda k: rank.knn(_vector_queries(spark, sf), v.select(F.col("vec_id").alias("doc_id"), "vector"), k)
-    lists = lambda: words(50).withColumn("list_no", F.lit(0)).unionByName(near(50).withColumn("list_no", F.lit(1)))
-    modes = {"bm25": lambda: words(10), "embedding": lambda: near(10), "rrf": lambda: rank.top(rank.rrf(lists()), 10)}
-    parts = [f().select(F.lit(m).alias("mode"), "query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")) for m, f in modes.items()]
+    words = written(inverted.bm25(_index(spark, sf), asked, 50))
+    near = written(rank.knn(_vector_queries(spark, sf), v.select(F.col("vec_id").alias("doc_id"), "vector"), 50))
+    lists = words.withColumn("list_no", F.lit(0)).unionByName(near.withColumn("list_no", F.lit(1)))
+    modes = {"bm25": words.filter("rank <= 10"), "embedding": near.filter("rank <= 10"), "rrf": rank.top(rank.rrf(lists), 10)}
+    parts = [df.select(F.lit(m).alias("mode"), "query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")) for m, df in modes.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

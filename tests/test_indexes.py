@@ -151,5 +151,14 @@ def test_dealt_by_what_a_row_holds(spark):
     assert hits(rank.knn(queries, corpus.orderBy(F.desc("doc_id")), 3, 2, 20)) == hits(rank.knn(queries, corpus, 3, 2, 20))
 
 
+def test_boosted_words_by_the_index(spark):
+    docs = spark.createDataFrame([*corpus_of(1, 200), (999, None)], "unit_id long, narrative string").withColumn("odd", F.col("unit_id") % 2 == 1)
+    queries = spark.createDataFrame([*corpus_of(2, 10), (101, "nowhere"), (102, "")], "query_id long, text string")
+    index = inverted.build(docs)
+    assert hits(inverted.boosted(index, queries, 7)) == hits(rank.boosted(queries, docs, 7))
+    some = docs.filter("odd").select(F.col("unit_id").alias("doc_id"))
+    assert hits(inverted.boosted(index, queries, 7, some)) == hits(rank.boosted(queries, docs, 7, allowed=F.col("odd")))
+
+
 def test_tiny_index(spark):
     assert inverted.build(T.memunits(spark, TINY)).docs.count() == T.memunits(spark, TINY).count()
