@@ -8,8 +8,8 @@ A search first reads the blocks with the largest bounds, scores what they hold,
 document that stands only in blocks whose bounds together stay below that score can't be among the k best, so these blocks are
 never read. What the other blocks hold is scored whole from the documents' own rows.
 
-Bounds of many words add up to more than any document has, so a query whose words have more postings than there are documents is
-not searched by blocks: such queries together go over the documents once, each posting read once for all of them.
+Bounds of many words add up to more than any document has, so queries of frequent words are not searched by blocks: together they go
+over the documents once, each posting read once for all of them.
 """
 
 from __future__ import annotations
@@ -155,30 +155,36 @@ def _dense(k: int, avgdl: float, k1: float, b: float):
 
     def dense(told: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows.column("doc_id").combine_chunks()))
-        queries, at = np.unique(np.array(told.column("query_id").to_pylist(), object), return_inverse=True) if told.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
-        of: dict = {}
-        for q, term, w in zip(at.tolist(), told.column("term").to_pylist(), told.column("w").to_pylist(), strict=True):
-            of.setdefault(term, ([], []))
-            of[term][0].append(q)
-            of[term][1].append(w)
-        words = {term: (np.array(q), np.array(w)) for term, (q, w) in of.items()}
-        score, met = np.zeros((rows.num_rows, len(queries))), np.zeros((rows.num_rows, len(queries)), bool)
-        for i, (dl, terms, tfs) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("dl", "terms", "tfs")), strict=True)):
-            norm, own, seen = k1 * (1 - b + b * dl / avgdl), score[i], met[i]
-            for term, tf in zip(terms, tfs, strict=True):
-                if (found := words.get(term)) is not None:
-                    own[found[0]] += found[1] * (tf * (k1 + 1) / (tf + norm))
-                    seen[found[0]] = True
+        names, terms = (pc.unique(told.column(c).combine_chunks()) for c in ("query_id", "term"))
+        of_query, of_term = (pc.index_in(told.column(c).combine_chunks(), v).to_numpy(zero_copy_only=False) for c, v in (("query_id", names), ("term", terms)))
+        weight = told.column("w").to_numpy()
+        # the documents' postings of these words, word by word
+        lists = rows.column("terms").combine_chunks()
+        word = pc.index_in(pc.list_flatten(lists), terms)
+        known = pc.is_valid(word).to_numpy(zero_copy_only=False)
+        word = pc.fill_null(word, -1).to_numpy(zero_copy_only=False)[known]
+        doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known]
+        tf = pc.list_flatten(rows.column("tfs").combine_chunks()).to_numpy(zero_copy_only=False)[known].astype(float)
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * rows.column("dl").to_numpy()[doc] / avgdl))
+        score, met = np.zeros((rows.num_rows, len(names))), np.zeros((rows.num_rows, len(names)), bool)
+        postings, asked = np.argsort(word, kind="stable"), np.argsort(of_term, kind="stable")
+        posts_at, asked_at = (np.searchsorted(x, np.arange(len(terms) + 1)) for x in (word[postings], of_term[asked]))
+        for t in range(len(terms)):
+            p, q = postings[posts_at[t] : posts_at[t + 1]], asked[asked_at[t] : asked_at[t + 1]]
+            if len(p):
+                at = np.ix_(doc[p], of_query[q])
+                score[at] += part[p, None] * weight[q]
+                met[at] = True
         score = np.round(score, 6)
         out_q, out_d = [], []
-        for q in range(len(queries)):
+        for q in range(len(names)):
             docs = np.flatnonzero(met[:, q])
             if len(docs) > k:
                 docs = docs[np.argsort(-score[docs, q], kind="stable")[:k]]
             out_q.append(np.full(len(docs), q))
             out_d.append(docs)
         q, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_d))
-        return pa.table({"query_id": pa.array(queries[q].tolist(), told.schema.field("query_id").type), "doc_id": rows.column("doc_id").take(pa.array(d)), "score": pa.array(score[d, q])})
+        return pa.table({"query_id": names.take(pa.array(q)), "doc_id": rows.column("doc_id").take(pa.array(d)), "score": pa.array(score[d, q])})
 
     return dense
 
@@ -238,13 +244,19 @@ def search(index: Index, words: DataFrame, k: int, k1: float = 1.5, b: float = 0
     return Search(hits, planned)
 
 
-def bm25(index: Index, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, share: int = 64, least_cells: float = 2e10) -> DataFrame:
     """query_id, doc_id, score, rank: the rows of ``rank.bm25``. Documents without any word of a query score 0 and come last, by id, where
-    fewer than k have one."""
+    fewer than k have one.
+
+    Queries whose words have fewer postings than one for ``share`` documents are searched by blocks, if they are so many that going over the
+    documents for them, too, would be more than least_cells pairs; a search by blocks is some ten jobs. Either way gives the same rows."""
     words = written(query_words(queries))
     sizes = words.join(index.terms, "term").groupBy("query_id").agg(F.sum("df").alias("postings"))
     n, avgdl = index.stats.first()  # one row
-    wide = written(sizes.select("query_id", (F.col("postings") > F.lit(n)).alias("wide")))
+    wide = sizes.select("query_id", (F.col("postings") * share > F.lit(n)).alias("wide"))
+    wide = written(wide)
+    if wide.filter("not wide").count() * n < least_cells:
+        wide = wide.withColumn("wide", F.lit(True))
     kinds = {r.wide for r in wide.select("wide").distinct().collect()}
     of = lambda w: words.join(wide.filter(F.col("wide") == w), "query_id").drop("wide")
     parts = [_scanned(index, written(_wanted(index, of(True))), k, avgdl or 1.0, k1, b)] if True in kinds else []

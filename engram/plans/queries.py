@@ -443,7 +443,7 @@ _NAMED = f"""(SELECT unit_id AS item_id, array_to_string(list_slice({_TOKENS.for
 
 @query(_BM25.replace("{field}", "narrative").replace("FROM benchmark)", f"FROM {_NAMED})") + " SELECT query_id, doc_id, score, rank FROM hits WHERE rank <= 5")
 def r1_short_queries(spark, sf):
-    """Three words of every unit as a query: found by blocks of postings, most of which are never read."""
+    """Three words of every unit as a query."""
     u = T.memunits(spark, sf)
     asked = u.select(F.col("unit_id").alias("query_id"), F.array_join(F.slice(X.tokens(F.col("narrative")), 3, 3), " ").alias("text"))
     return inverted.bm25(_index(spark, sf), asked, 5).withColumn("rank", F.col("rank").cast("long"))

@@ -82,7 +82,10 @@ def test_pruned_search_is_exact(spark, k):
     asked = [(i, t) for i, t in corpus_of(2, 25)] + [(100, "same bm"), (101, "nowhere"), (102, ""), (103, "al bl cl"), (104, "al al al hu")]
     queries = spark.createDataFrame(asked, "query_id long, text string")
     index = inverted.build(docs)
-    assert hits(inverted.bm25(index, queries, k)) == hits(rank.bm25(queries, docs, k))
+    wanted = hits(rank.bm25(queries, docs, k))
+    assert hits(inverted.bm25(index, queries, k)) == wanted
+    assert hits(inverted.bm25(index, queries, k, share=1, least_cells=0)) == wanted  # some by blocks
+    assert hits(inverted.bm25(index, queries, k, share=0, least_cells=0)) == wanted  # all by blocks
 
 
 def test_postings_read(spark):
