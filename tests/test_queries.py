@@ -41,6 +41,29 @@ def test_base62(spark, n, code):
     assert one(spark, X.base62(F.lit(n))) == code
 
 
+@pytest.mark.parametrize("n", [62**4 - 1, 62**4, 62**5 - 1, 62**7 - 2, 62**10 - 1, 2**63 - 1])
+def test_base62_is_exact(spark, n):
+    """One less than a power: its quotients are just below whole numbers."""
+    digits, rest = "", n
+    while rest:
+        digits, rest = X.BASE62[rest % 62] + digits, rest // 62
+    assert one(spark, X.base62(F.lit(n).cast("long"))) == digits
+
+
+@pytest.mark.parametrize("n", [62**4 - 1, 62**5 - 1, 2**63 - 1])
+def test_codes_are_read_back(spark, n):
+    assert one(spark, X.unbase62(X.short_code(F.lit(n).cast("long")))) == n
+
+
+def test_sessions_count_whole_seconds(spark):
+    """From 00:00:00.9 to 06:00:00.1 are six hours in whole seconds, as the SQL counts; to 05:59:59.9 they are not."""
+    from engram.streaming import state
+
+    rows = [("a", "2024-01-01 00:00:00.9"), ("a", "2024-01-01 06:00:00.1"), ("b", "2024-01-01 00:00:00.9"), ("b", "2024-01-01 05:59:59.9"), ("c", "2024-01-01 00:00:00"), ("c", "2024-01-01 06:00:00")]
+    events = spark.createDataFrame(rows, "user_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted((r.user_id, r.n) for r in state.sessions(events).collect()) == [("a", 1), ("a", 1), ("b", 2), ("c", 1), ("c", 1)]
+
+
 @pytest.mark.parametrize(("answer", "found"), [("(B)", "(b)"), ("b)", "(b)"), ("B.", "(b)"), (" b ", "(b)"), ("no choice", None)])
 def test_choice(spark, answer, found):
     assert one(spark, X.choice(F.lit(answer))) == found
