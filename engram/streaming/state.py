@@ -19,9 +19,11 @@ def tumbling_counts(events: DataFrame, key: str = "user_id", width: str = "1 day
 
 
 def sessions(events: DataFrame, key: str = "user_id", gap: str = "6 hours", late: str = "1 day") -> DataFrame:
-    """Segments of a key's messages, cut where the gap to the one before is reached. A stream or a table."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    found = rows.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """Segments of a key's messages, cut where the gap to the one before is reached, in whole seconds. A stream or a table."""
+    rows = events.withColumn("ts", F.date_trunc("second", "ts"))
+    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
+    below = f"{int(pd.Timedelta(gap).total_seconds() * 1_000_000) - 1} microseconds"  # a window also takes what comes when it ends
+    found = rows.groupBy(F.session_window("ts", below).alias("w"), key).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return found.select(key, F.unix_seconds("first").alias("first_at"), F.unix_seconds("last").alias("last_at"), "n")
 
 
