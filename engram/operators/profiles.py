@@ -295,8 +295,12 @@ def merge_group_info(rows: DataFrame) -> DataFrame:
 
 def merge_projects(rows: DataFrame) -> DataFrame:
     """rows: user_id, project_id, project_name, field, value, level, evidence, seq, entry_date. Projects are one by their id, else by their
-    name; each field's values are merged, the first entry date that isn't empty is the project's."""
-    rows = rows.withColumn("project", F.coalesce(F.nullif("project_id", F.lit("")), "project_name"))
-    date = F.min_by("entry_date", F.when(F.coalesce("entry_date", F.lit("")) != "", F.col("seq")))
-    dates = rows.groupBy("user_id", "project").agg(F.coalesce(date, F.lit("")).alias("entry_date"))
-    return merge_values(rows, ["user_id", "project", "field"]).join(dates, ["user_id", "project"])
+    name; each field's values are merged, the first entry date that isn't empty is the project's. Where rows with one seq tell different
+    dates or levels, those of the least place (struct of a number and a name that tell rows apart; optional) count, else the least date
+    and the greatest level."""
+    place = F.col("place") if "place" in rows.columns else F.struct(F.lit(0).alias("no"), F.lit("").alias("name"))
+    rows = rows.withColumn("project", F.coalesce(F.nullif("project_id", F.lit("")), "project_name")).withColumn("place", place)
+    date = F.min(F.when(F.coalesce("entry_date", F.lit("")) != "", F.struct("seq", "place", "entry_date")))
+    dates = rows.groupBy("user_id", "project").agg(F.coalesce(date["entry_date"], F.lit("")).alias("entry_date"))
+    last = rows.withColumn("seq", F.struct("seq", (-F.col("place.no")).alias("no"), "place.name"))  # of the greatest the least place
+    return merge_values(last, ["user_id", "project", "field"]).join(dates, ["user_id", "project"])

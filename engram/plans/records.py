@@ -260,13 +260,14 @@ _PROJECTS = """(SELECT l_suppkey AS user_id, coalesce(nullif(CASE WHEN l_partkey
     SELECT user_id, project, field, value, any_value(level) AS level, md5(string_agg(evidence::VARCHAR, ',' ORDER BY seq)) AS evidences_md5, any_value(entry_date) AS entry_date FROM f JOIN l USING (user_id, project, field, value) JOIN d USING (user_id, project) GROUP BY 1, 2, 3, 4"""
 )
 def a12_project_merge(spark, sf):
-    """Projects by id, else by name: their four lists merged value by value, and the first entry date that is not empty."""
-    l = T.read(spark, sf, "lineitem")
+    """Projects by id, else by name: their four lists merged value by value, and the first entry date that is not empty. An order has
+    several lines of one number; of those the first in the table counts."""
+    l = T.read(spark, sf, "lineitem").withColumn("place", F.struct(F.col("_metadata.row_index").alias("no"), F.col("_metadata.file_name").alias("name")))
     p = T.read(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name")
     kind = F.element_at(F.array(*map(F.lit, ("subtasks", "user_objective", "contributions", "user_concerns"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
     rows = l.join(p, l.l_partkey == p.p_partkey).select(
         F.col("l_suppkey").alias("user_id"), F.when(F.col("l_partkey") % 2 == 0, F.col("p_brand")).otherwise("").alias("project_id"), F.col("p_type").alias("project_name"), kind.alias("field"), F.col("p_name").alias("value"),
-        F.col("l_returnflag").alias("level"), F.col("l_orderkey").alias("evidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_linenumber") > 2, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("").alias("entry_date"),
+        F.col("l_returnflag").alias("level"), F.col("l_orderkey").alias("evidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_linenumber") > 2, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("").alias("entry_date"), "place",
     )
     merged = profiles.merge_projects(rows)
     return merged.select("user_id", "project", "field", "value", "level", F.md5(F.array_join("evidences", ",")).alias("evidences_md5"), "entry_date")

@@ -150,3 +150,13 @@ def test_stages_skip_what_is_done(spark, tmp_path):
     shutil.rmtree(tmp_path / "second.done")
     staged.run_stages(spark, str(tmp_path), [("first", first), ("second", second)])
     assert ran == ["first", "second", "second"]
+
+
+def test_project_ties_go_to_the_first_row(spark):
+    """Rows with one seq: those of the least place tell the date and the level, in whatever order they come."""
+    said = [(1, "p", "n", "f", "v", level, 10, 5, date, no) for level, date, no in [("A", "2024-03-01", 7), ("N", "2024-01-01", 9), ("R", "2024-02-01", 8)]]
+    names = "user_id long, project_id string, project_name string, field string, value string, level string, evidence long, seq long, entry_date string, no long"
+    for rows in (said, said[::-1], [said[1], said[0], said[2]]):
+        df = spark.createDataFrame(rows, names).repartition(1).withColumn("place", F.struct("no", F.lit("x").alias("name"))).drop("no")
+        got = profiles.merge_projects(df).first()
+        assert (got.entry_date, got.level, got.evidences) == ("2024-03-01", "A", [10])
