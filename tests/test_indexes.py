@@ -1,9 +1,11 @@
 """The kept indexes: inverted file of vectors and inverted index of words, against exact search over all rows."""
 
+import inspect
 import random
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +167,45 @@ def test_boosted_words_by_the_index(spark):
 
 def test_tiny_index(spark):
     assert inverted.build(T.memunits(spark, TINY)).docs.count() == T.memunits(spark, TINY).count()
+
+
+def test_texts_become_objects_in_small_pieces():
+    """A batch of ten thousand texts is never a list of Python objects as a whole."""
+    texts = ["ab " * (i % 50) for i in range(10_000)] + [None, "x" * 3_000_000, "", "last"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    parts = list(inverted._pieces(batch))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or (p.num_rows <= 256 and sum(len(t or "") for t in p.column("text").to_pylist()) <= 1 << 20) for p in parts)
+    assert list(inverted._pieces(batch.slice(0, 0))) == []
+
+
+def test_few_copies_are_dealt():
+    """Of half a million queries of three words over as many documents, no document goes to more than a few blocks."""
+    names = ("block_words", "block_queries", "part_docs")
+    sizes = [inspect.signature(inverted._scanned).parameters[n].default for n in names]
+    blocks, parts = inverted._dealing(1_500_000, 500_000, 500_000, 12, *sizes)
+    assert blocks <= 5 and parts <= 50
+    assert inverted._dealing(3, 1, 2, 12, *sizes) == (1, 2) and inverted._dealing(0, 0, 0, 12, *sizes) == (1, 1)
+
+
+@pytest.mark.parametrize(("words", "least"), [(3, 0.1), (60, 0.1), (20, -2.0)])
+def test_scores_of_common_and_rare_words(words, least):
+    """By matrix, row by row or by postings, also with weights below 0, in steps of several sizes: the sums of each pair."""
+    r = np.random.default_rng(words)
+    share = 1 / np.arange(1, 301)
+    docs = [np.unique(r.choice(300, size=r.integers(0, 90), p=share / share.sum()), return_counts=True) for _ in range(70)]
+    asked = [(q, int(t), float(r.uniform(least, 5))) for q in range(40) for t in np.unique(r.choice(300, size=words, p=share / share.sum()))]
+    told = pa.table({"query_id": [a[0] for a in asked], "term": [f"w{a[1]}" for a in asked], "w": [a[2] for a in asked]})
+    rows = pa.table({"doc_id": list(range(70)), "dl": [int(c.sum()) for _, c in docs], "terms": pa.array([[f"w{t}" for t in d] for d, _ in docs], pa.list_(pa.string())), "tfs": pa.array([c.tolist() for _, c in docs], pa.list_(pa.int32()))})
+    wanted = {}
+    for q in range(40):
+        found = {}
+        for d, (terms, counts) in enumerate(docs):
+            tf, dl = dict(zip(terms.tolist(), counts.tolist(), strict=True)), counts.sum()
+            own = [w * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * dl / 30)) for p, t, w in asked if p == q and t in tf]
+            if own:
+                found[d] = round(sum(own), 6)
+        wanted |= {(q, d): found[d] for d in sorted(found, key=lambda d: (-found[d], d))[:5]}
+    for cells in (1, 500, 1_000_000):
+        got = inverted._dense(5, 30.0, 1.5, 0.75, most_cells=cells)(told, rows)
+        assert dict(zip(zip(got.column("query_id").to_pylist(), got.column("doc_id").to_pylist(), strict=True), got.column("score").to_pylist(), strict=True)) == pytest.approx(wanted, abs=2e-6)
