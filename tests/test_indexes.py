@@ -209,3 +209,14 @@ def test_scores_of_common_and_rare_words(words, least):
     for cells in (1, 500, 1_000_000):
         got = inverted._dense(5, 30.0, 1.5, 0.75, most_cells=cells)(told, rows)
         assert dict(zip(zip(got.column("query_id").to_pylist(), got.column("doc_id").to_pylist(), strict=True), got.column("score").to_pylist(), strict=True)) == pytest.approx(wanted, abs=2e-6)
+
+
+def test_groups_of_vectors_are_small():
+    """No cosines of more than 256 queries with 5,000 rows are held at once; nulls, null values and lengths are told apart."""
+    defaults = {n: inspect.signature(rank.knn_within).parameters[n].default for n in ("part_rows", "most_query_rows")}
+    assert defaults["part_rows"] <= 5_000 and defaults["most_query_rows"] <= 5_000
+    rows = pa.chunked_array([[[1.0, 2.0], None, []], [[3.0, None, 4.0], [5.0, 6.0, 7.0]]], pa.list_(pa.float64()))
+    values, size, known = rank._matrix(rows)
+    assert values.tolist() == [[1, 2, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [5, 6, 7]]
+    assert size.tolist() == [2, 0, 0, 0, 3] and known.tolist() == [True, False, True, False, True]
+    assert rank._matrix(pa.chunked_array([], pa.list_(pa.float64())))[0].shape == (0, 0)
