@@ -57,6 +57,13 @@ def passages(text: bytes, size: int = 100) -> np.ndarray:
     return np.array([encode(words[i : i + size]) for i in range(0, len(words), size)], np.float32)
 
 
+def _slices(batches, rows: int = 256):
+    """A few rows of Arrow's batches at a time, so that not all texts of a batch are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class Network:
     def __init__(self, hidden: int = 24, gate: int = 12, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -122,7 +129,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("t").alias("th"), "t", "label")).alias("one")).select("one.*")
 
     def bags(batches):
-        for b in batches:
+        for b in _slices(batches):
             out = [passages(t).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("th"), b.column("label"), pa.array(out, pa.binary())], ["th", "label", "bag"])
 
@@ -155,7 +162,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     def scored(batches):
         own = Network()
         own.p, own.mean, own.scale = p, mean, scale
-        for b in batches:
+        for b in _slices(batches):
             bags = [passages(t) for t in b.column("t").to_pylist()]
             if not bags:
                 continue

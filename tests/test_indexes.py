@@ -220,3 +220,12 @@ def test_groups_of_vectors_are_small():
     assert values.tolist() == [[1, 2, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [5, 6, 7]]
     assert size.tolist() == [2, 0, 0, 0, 3] and known.tolist() == [True, False, True, False, True]
     assert rank._matrix(pa.chunked_array([], pa.list_(pa.float64())))[0].shape == (0, 0)
+
+
+def test_scored_texts_are_sliced():
+    from engram.llm import quality_mil
+
+    batches = [pa.RecordBatch.from_pydict({"t": list(range(n))}) for n in (1000, 0, 3)]
+    slices = list(quality_mil._slices(iter(batches)))
+    assert max(s.num_rows for s in slices) <= 256 and [x for s in slices for x in s.column("t").to_pylist()] == [*range(1000), 0, 1, 2]
+
