@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.shared import written
+
 #: Level labels by rank, English and Chinese; other labels rank 0.
 LEVELS = {
     1: ["低级", "low", "basic", "beginner", "初级", "familiar", "weak"],
@@ -142,34 +143,35 @@ def updated_topics(topics: DataFrame, updates: DataFrame, units: DataFrame, most
     old = topics.select("group_id", F.explode("evidences").alias("unit_id"))
     wanted = named.select("group_id", "unit_id").unionByName(old).distinct().join(units, ["group_id", "unit_id"]).groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "at"))).alias("known"))
     newest = units.groupBy("group_id").agg(F.max("at").alias("newest"))
-    none = lambda t, n: F.lit(None).cast(t).alias(n)
-    rows = topics.select("group_id", none("int", "seq"), none("string", "update_type"), "topic_id", "name", "status", "last_at", "evidences")
-    rows = rows.unionByName(updates.select("group_id", "seq", F.coalesce("update_type", F.lit("new")).alias("update_type"), "topic_id", "name", "status", none("bigint", "last_at"), "evidences"))
-    rows = rows.join(wanted, "group_id", "left").join(newest, "group_id", "left")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        known = dict(rows["known"].iloc[0] or {})
-        now = rows["newest"].iloc[0]
+    of = lambda rows, name, *columns: rows.groupBy("group_id").agg(F.collect_list(F.struct(*columns)).alias(name))
+    held = of(topics, "topics", "topic_id", "name", "status", "last_at", "evidences")
+    told = of(updates, "updates", "seq", F.coalesce("update_type", F.lit("new")).alias("update_type"), "topic_id", "name", "status", "evidences")
+    same = F.col("group_id").eqNullSafe(F.col("g"))
+    groups = held.join(told.withColumnRenamed("group_id", "g"), same, "full").select(F.coalesce("group_id", "g").alias("group_id"), "topics", "updates")
+    groups = groups.join(wanted, "group_id", "left").join(newest, "group_id", "left")
+
+    def fold(topics, updates, known, now):
+        known = known or {}
         active = lambda ids: max((known[i] for i in ids if i in known), default=now)
-        held = {r.topic_id: (r.name, r.status, r.last_at, list(r.evidences)) for r in rows[rows["seq"].isna()].itertuples()}
-        for r in rows[rows["seq"].notna()].sort_values("seq").itertuples():
-            told = [e for e in r.evidences if e in known]
-            if r.update_type == "update":
-                if r.topic_id in held:
-                    before = held[r.topic_id][3]
+        held = {t["topic_id"]: (t["name"], t["status"], t["last_at"], list(t["evidences"] or [])) for t in topics or []}
+        old = lambda t: t[1] == "implemented" and now is not None and (now if t[2] is None else t[2]) < now - inactive
+        for u in sorted(updates or [], key=lambda u: u["seq"]):
+            told = [e for e in u["evidences"] or [] if e in known]
+            if u["update_type"] == "update":
+                if u["topic_id"] in held:
+                    before = held[u["topic_id"]][3]
                     merged = (before + sorted((e for e in dict.fromkeys(told) if e not in before), key=known.get))[-most_evidences:]
-                    held[r.topic_id] = (r.name, r.status, active(merged), merged)
+                    held[u["topic_id"]] = (u["name"], u["status"], active(merged), merged)
                 continue
             if len(held) >= most:
-                old = lambda t: t[1] == "implemented" and t[2] < now - inactive
-                del held[min(held, key=lambda i: (not old(held[i]), held[i][2], i))]
-            held[f"new_{int(r.seq)}"] = (r.name, r.status, active(told), told)
-        out = sorted(((i, *t) for i, t in held.items()), key=lambda t: (-t[3], t[0]))
-        found = pd.DataFrame(out, columns=["topic_id", "name", "status", "last_at", "evidences"])
-        return found.assign(group_id=rows["group_id"].iloc[0], place=range(1, len(out) + 1))[["group_id", "place", "topic_id", "name", "status", "last_at", "evidences"]]
-
-    kind = topics.schema["group_id"].dataType.simpleString()
-    return rows.groupBy("group_id").applyInPandas(fold, f"group_id {kind}, place long, topic_id string, name string, status string, last_at long, evidences array<string>")
+                del held[min(held, key=lambda i: (not old(held[i]), -(1 << 62) if held[i][2] is None else held[i][2], i))]
+            held[f"new_{u['seq']}"] = (u["name"], u["status"], active(told), told)
+        out = sorted(((i, *t) for i, t in held.items()), key=lambda t: (t[3] is None, -(t[3] or 0), t[0]))
+        return [(place, *t) for place, t in enumerate(out, 1)]
+
+    # a group is one row, so that a fold costs no more than its updates
+    folded = F.udf(fold, "array<struct<place:bigint,topic_id:string,name:string,status:string,last_at:bigint,evidences:array<string>>>")
+    return groups.select("group_id", F.inline(folded("topics", "updates", "known", "newest")))
 
 
 def unit_dates(units: DataFrame) -> DataFrame:

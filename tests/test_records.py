@@ -208,3 +208,13 @@ def test_state_expires(spark, tmp_path):
         assert sorted((r.no, r.n, r.first_id, r.last_id) for r in spark.table("expired").collect()) == [(0, 1, 3, 3), (1, 1, 4, 4)]
     finally:
         q.stop()
+
+
+def test_topics_of_a_group_fold_without_a_frame(spark):
+    """A group costs a row, not a frame of its own; groups without updates, topics or known units keep what they have."""
+    topics = spark.createDataFrame([("a", "t", "T", "exploring", 5, ["e"]), ("b", "t", "T", "implemented", None, ["e"])], "group_id string, topic_id string, name string, status string, last_at long, evidences array<string>")
+    updates = spark.createDataFrame([("c", 0, None, None, "N", "exploring", ["e"]), ("b", 0, "update", "t", "T2", "exploring", ["e", "u"])], "group_id string, seq int, update_type string, topic_id string, name string, status string, evidences array<string>")
+    units = spark.createDataFrame([("b", "u", 9), ("c", "v", 4)], "group_id string, unit_id string, at long")
+    found = profiles.updated_topics(topics, updates, units)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("a", 1, "t", "T", "exploring", 5, ["e"]), ("b", 1, "t", "T2", "exploring", 9, ["e", "u"]), ("c", 1, "new_0", "N", "exploring", 4, [])]
