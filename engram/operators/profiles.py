@@ -25,10 +25,13 @@ def level_rank(level: Column) -> Column:
     return rank
 
 
-def merge_values(rows: DataFrame, keys: list[str], keep: str = "last") -> DataFrame:
+def merge_values(rows: DataFrame, keys: list[str], keep: str = "last", n: int | None = None, part_rows: int = 500_000) -> DataFrame:
     """rows: keys, value, level, evidence, seq (of any type that has an order). One row per trimmed value: evidences distinct in first-seen
     order; the last non-empty level, or with keep="highest" the highest, trimmed, of which the earliest stays: an empty level counts
-    less than an unknown one, and the level is empty where all are."""
+    less than an unknown one, and the level is empty where all are. n: how many rows there are, if that is known; both aggregates sort
+    part_rows of them in a task, however many there are."""
+    # the first key alone, as another may be a constant, which Spark leaves out of the groups and then shuffles once more
+    parts = max(1, -(-(rows.count() if n is None else n) // part_rows))
     value = F.trim("value")
     rows = rows.filter(value != "").withColumn("value", value)
     filled = F.coalesce(F.col("level"), F.lit("")) != ""
@@ -37,9 +40,9 @@ def merge_values(rows: DataFrame, keys: list[str], keep: str = "last") -> DataFr
     else:
         best, of = F.max, F.when(filled, F.struct("seq", "level"))
     # evidence by evidence first, so that a value with many copies of one evidence keeps one; the level is folded on the way
-    first = rows.groupBy(*keys, "value", "evidence").agg(F.min("seq").alias("seq"), best(of).alias("best"))
+    first = rows.repartition(parts, keys[0], "value", "evidence").groupBy(*keys, "value", "evidence").agg(F.min("seq").alias("seq"), best(of).alias("best"))
     evidences = F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"])
-    lists = first.groupBy(*keys, "value").agg(evidences.alias("evidences"), best("best").alias("best"))
+    lists = first.repartition(parts, keys[0], "value").groupBy(*keys, "value").agg(evidences.alias("evidences"), best("best").alias("best"))
     level = F.col("best")["level"] if keep != "highest" else F.coalesce(F.btrim(F.col("best")["level"], F.lit(_BLANKS)), F.lit(""))
     return lists.select(*keys, "value", "evidences", level.alias("level"))
 
@@ -278,9 +281,10 @@ def merge_groups(rows: DataFrame, level_fields: list[str]) -> DataFrame:
     """One profile of each user from those of their groups. rows: user_id, group_id, important (null counts as true), field, value,
     level, evidence, seq. Only important groups count, all where none is; fields with levels keep the highest, others the last."""
     important = F.coalesce("important", F.lit(True))
-    some = rows.groupBy("user_id").agg(F.max(important).alias("some"))
-    used = rows.join(some, "user_id").filter(important | ~F.col("some"))
-    of = lambda cond, keep: merge_values(used.filter(cond), ["user_id", "field"], keep)
+    some = written(rows.groupBy("user_id").agg(F.max(important).alias("some"), F.count("*").alias("n")))
+    n = some.agg(F.sum("n")).first()[0] or 0
+    used = rows.join(some.select("user_id", "some"), "user_id").filter(important | ~F.col("some"))
+    of = lambda cond, keep: merge_values(used.filter(cond), ["user_id", "field"], keep, n)
     levelled = F.col("field").isin(level_fields)
     return of(levelled, "highest").unionByName(of(~levelled, "last"))
 

@@ -210,6 +210,16 @@ def test_state_expires(spark, tmp_path):
         q.stop()
 
 
+def test_values_are_merged_in_parts_of_bounded_size(spark):
+    """Both aggregates have as many tasks as the rows need, whatever Spark makes of the shuffles' sizes; a constant key adds no shuffle."""
+    rows = spark.range(4000).select((F.col("id") % 50).alias("user_id"), F.lit(1).alias("group_id"), (F.col("id") % 3 == 0).alias("important"), F.lit("f").alias("field"), (F.col("id") % 7).cast("string").alias("value"), F.lit("low").alias("level"), F.col("id").alias("evidence"), F.col("id").alias("seq"))
+    merged = profiles.merge_values(rows, ["user_id", "field"], part_rows=300)
+    assert merged.rdd.getNumPartitions() == 14
+    whole = profiles.merge_values(rows, ["user_id", "field"])
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 350
+    assert sum(len(r.evidences) for r in profiles.merge_groups(rows, ["f"]).collect()) == 1334  # each user has important rows
+
+
 def test_topics_of_a_group_fold_without_a_frame(spark):
     """A group costs a row, not a frame of its own; groups without updates, topics or known units keep what they have."""
     topics = spark.createDataFrame([("a", "t", "T", "exploring", 5, ["e"]), ("b", "t", "T", "implemented", None, ["e"])], "group_id string, topic_id string, name string, status string, last_at long, evidences array<string>")
