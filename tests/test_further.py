@@ -265,3 +265,34 @@ def test_types_of_questions(spark):
     rows = spark.createDataFrame(asked, "q string, type string, strategy string").withColumn("k", Q.classify(F.col("q"))).withColumn("route", Q.route(F.col("k"))).collect()
     assert [(r.q, r.k.type, r.k.strategy, r.route) for r in rows] == [(q, t, s, s) for q, t, s in asked]
     assert all(0 <= r.k.confidence <= 1 for r in rows)
+
+
+def test_texts_are_read_once_for_many_patterns(spark, monkeypatch):
+    """Evidences of 1.2 million characters are one part, and units that are longer than all of them are looked for in none."""
+    import pyarrow as pa
+
+    def spy(direction):
+        def seen(patterns, texts):
+            told = [f"{direction} {sum(map(len, t.column('id').to_pylist()))}" for t in (patterns, texts) if patterns.num_rows and texts.num_rows]
+            return pa.table({"evidence_id": pa.array([f"{i} {x} {hash((x, i, texts.num_rows))}" for i, x in enumerate(told)], pa.string()), "unit_id": pa.array([""] * len(told), pa.string())})
+
+        return seen
+
+    monkeypatch.setattr(matching, "_first_inside", spy)
+    e = spark.range(24_000).select(F.rpad(F.md5(F.col("id").cast("string")), 50, "x").alias("evidence_id"))
+    u = spark.range(40).select(F.rpad(F.md5(F.col("id").cast("string")), 900, "y").alias("unit_id"))
+    rows = [r.evidence_id.split() for r in matching.containing(e, u).collect()]
+    assert sum(int(n) for i, d, n, _ in rows if i == "1" and d == "evidence") == 40 * 900
+    assert [r for r in rows if r[1] == "unit"] == []
+
+
+def test_windows_meet_texts_of_any_alphabet(spark):
+    """Pieces of every length at every place, some a character short or long, repeated letters and several bytes a letter."""
+    draw = random.Random(8)
+    for letters in ("ab", "aé漢😀", "abc \n"):
+        word = lambda n: "".join(draw.choice(letters) for _ in range(n))  # noqa: E731, B023
+        units = [word(draw.choice([1, 4, 9, 70, 200])) for _ in range(40)]
+        evidences = [u[a : a + n] for u in units for a, n in [(draw.randrange(len(u)), draw.choice([1, 2, 3, 8, 15, 16, 17, 31, 64, 65]))]] + [word(n) for n in range(1, 40)] + ["a" * 33]
+        e, u = (spark.createDataFrame([(x,) for x in rows], f"{c} string") for rows, c in ((evidences, "evidence_id"), (units, "unit_id")))
+        wanted = {x: min((y for y in units if x in y or y in x), key=str.encode, default=None) for x in set(evidences) - set(units)}
+        assert {r.evidence_id: r.unit_id for r in matching.containing(e, u).collect() if r.how == "contained"} == {x: y for x, y in wanted.items() if y is not None}
