@@ -229,3 +229,44 @@ def test_scored_texts_are_sliced():
     slices = list(quality_mil._slices(iter(batches)))
     assert max(s.num_rows for s in slices) <= 256 and [x for s in slices for x in s.column("t").to_pylist()] == [*range(1000), 0, 1, 2]
 
+
+
+def test_blocks_are_cut_when_a_search_goes_by_them(spark):
+    """Searches over the documents need none."""
+    docs = spark.createDataFrame(corpus_of(1, 200), "unit_id long, narrative string")
+    queries = spark.createDataFrame(corpus_of(2, 10), "query_id long, text string")
+    path, asked = shared.shared_dir(spark), []
+    inverted.build(docs, path=path, blocks=False)
+
+    def cut():
+        asked.append(shared.shared_dir(spark))
+        inverted.cut(spark, path, asked[-1])
+        return asked[-1]
+
+    index, wanted = inverted.load(spark, path, cut), hits(rank.bm25(queries, docs, 5))
+    assert hits(inverted.bm25(index, queries, 5)) == wanted and not asked
+    assert hits(inverted.bm25(index, queries, 5, share=0, least_cells=0)) == wanted and len(asked) == 1
+
+
+def test_part_of_an_index_is_a_corpus(spark):
+    """Its frequencies, lengths and documents without any word of a query are those of the part alone."""
+    docs = spark.createDataFrame([*corpus_of(1, 200), (999, None)], "unit_id long, narrative string")
+    queries = spark.createDataFrame([*corpus_of(2, 10), (101, "nowhere"), (102, "")], "query_id long, text string")
+    some = inverted.within(inverted.build(docs, blocks=False), F.col("doc_id") % 3 == 0)
+    own = docs.filter("unit_id % 3 = 0")
+    assert hits(inverted.bm25(some, queries, 7)) == hits(rank.bm25(queries, own, 7))
+    assert hits(inverted.bm25(some, queries, 7, share=0, least_cells=0)) == hits(rank.bm25(queries, own, 7))
+    v = spark.createDataFrame([(1, [1.0])], "query_id long, qvector array<double>")
+    x = own.select(F.col("unit_id").alias("doc_id"), F.array(F.lit(1.0)).alias("vector"))
+    found = rank.retrieved(queries, v, docs.limit(0), x, 5, search=lambda q, k: inverted.bm25(some, q, k))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rank.retrieved(queries, v, own, x, 5).collect()))
+
+
+def test_explained_by_the_index(spark):
+    docs = spark.createDataFrame([*corpus_of(1, 200), (999, None)], "unit_id long, narrative string")
+    queries = spark.createDataFrame([*corpus_of(2, 10), (101, "nowhere"), (102, ""), (103, "al al bm")], "query_id long, text string")
+    rows = lambda df: sorted((r.query_id, r.doc_id, r.term, r.tf, round(r.part, 6)) for r in df.collect())
+    found = inverted.explain(inverted.build(docs, blocks=False), queries, 5)
+    wanted = rank.explain(queries, docs, 5)
+    assert rows(found) == rows(wanted) and found.schema["tf"].dataType == wanted.schema["tf"].dataType
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # no text is read again
