@@ -21,13 +21,13 @@ def neighbours(hits: DataFrame, members: DataFrame, per_hit: int = 3, with_hits:
     them as the query has hits in the cluster."""
     placed = ranked(members.select("cluster_id", "doc_id", "seq"), ["cluster_id"], ["seq", "doc_id"], "place")
     mine = hits.join(placed, "doc_id").select("query_id", "doc_id", "cluster_id", F.col("place").alias("at"))
-    # a member further than per_hit places away can't be among the nearest, so only those places are looked up
+    # a member further than ``most`` places away can't be among the nearest, even at a cluster's ends, so only those places are looked up
     if with_hits:
         sizes = mine.groupBy("query_id", "cluster_id").agg(F.count("*").cast("int").alias("others"))
         mine = mine.join(sizes, ["query_id", "cluster_id"]).withColumn("most", F.col("others") + per_hit)
     else:
         mine = mine.withColumn("most", F.lit(per_hit))
-    near = mine.select("*", F.explode(F.sequence(-2 * F.col("most"), 2 * F.col("most"))).alias("d")).filter("d <> 0").withColumn("place", F.col("at") + F.col("d"))
+    near = mine.select("*", F.explode(F.sequence(-F.col("most"), F.col("most"))).alias("d")).filter("d <> 0").withColumn("place", F.col("at") + F.col("d"))
     others = placed.select("cluster_id", F.col("doc_id").alias("member_id"), "place")
     found = near.join(others, ["cluster_id", "place"])
     order = Window.partitionBy("query_id", "doc_id", "cluster_id").orderBy(F.abs("d"), F.desc("d"))

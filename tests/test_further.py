@@ -296,3 +296,16 @@ def test_windows_meet_texts_of_any_alphabet(spark):
         e, u = (spark.createDataFrame([(x,) for x in rows], f"{c} string") for rows, c in ((evidences, "evidence_id"), (units, "unit_id")))
         wanted = {x: min((y for y in units if x in y or y in x), key=str.encode, default=None) for x in set(evidences) - set(units)}
         assert {r.evidence_id: r.unit_id for r in matching.containing(e, u).collect() if r.how == "contained"} == {x: y for x, y in wanted.items() if y is not None}
+
+
+def test_no_more_places_are_looked_up_than_can_be_nearest(spark):
+    """As many on each side as are wanted; at a cluster's ends all come from one side."""
+    members = spark.createDataFrame([("c", i, i) for i in range(12)] + [("d", 50, 0), ("d", 51, 1)], "cluster_id string, doc_id int, seq int")
+    hits = spark.createDataFrame([(i, i) for i in range(12)] + [(50, 50)], "query_id int, doc_id int")
+    found = clusters.neighbours(hits, members, 4)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r.nth] = r.member_id
+    near = lambda i: sorted((j for j in range(12) if j != i), key=lambda j: (abs(j - i), i - j))[:4]
+    assert {q: [m for _, m in sorted(own.items())] for q, own in got.items()} == {**{i: near(i) for i in range(12)}, 50: [51]}
+    assert "* most" not in found._jdf.queryExecution().analyzed().toString()
