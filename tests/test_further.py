@@ -29,6 +29,27 @@ def test_interval_pairs(spark):
     assert matching.interval_pairs(p.filter("at is null"), v).count() == 0 and matching.interval_pairs(p, v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [32_000_000, 0])
+def test_interval_pairs_in_shares(spark, small):
+    """Broadcast, and in a shuffle with crowded buckets in shares."""
+    draw = random.Random(4)
+    points = [(i, draw.choice([None, 7, 7, 7, draw.randrange(-50, 90_000)])) for i in range(400)]
+    intervals = [(i, a, a + draw.randrange(-2, 9000)) for i in range(150) for a in [draw.randrange(-100, 90_000)]] + [(1000, None, None), (1001, None, 7), (1002, 8, None), (1003, 7, 7)]
+    found = matching.interval_pairs(spark.createDataFrame(points, "id long, at long"), spark.createDataFrame(intervals, "interval_id long, a long, b long"), 500, small)
+    wanted = [(i, k) for i, t in points if t is not None for k, a, b in intervals if (a is None or a <= t) and (b is None or t <= b)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+
+
+def test_interval_pairs_are_dealt(spark):
+    p = spark.range(0, 8000, 1, 1).select("id", (F.col("id") % 5).alias("at"))  # one piece, few times
+    v = spark.createDataFrame([(1, None, None), (2, 0, 4), (3, 2, 2)], "interval_id long, a long, b long")
+    for small in (32_000_000, 0):
+        found = matching.interval_pairs(p, v, 2000, small)
+        tasks = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(tasks) == 17_600 and max(tasks) < 7000
+    assert matching.interval_pairs(p, v).groupBy(F.spark_partition_id()).count().count() == 4
+
+
 def test_containing_of_any_length(spark):
     draw = random.Random(5)
     word = lambda n: "".join(draw.choices("abAé1", k=n))
