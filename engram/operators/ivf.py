@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.operators.rank import cosine, top
 from engram.shared import shared_dir, written
 
 _SLACK = 2e-6  # scores are rounded to six digits
+_CELLS = 1 << 20  # of a matrix that a task holds
 #: Of the tables; one that is kept from before a change of it is not read.
 FORMAT = 2
 
@@ -100,7 +101,8 @@ def add(index: Index, rows: DataFrame) -> None:
 
     def code(batches):
         c = shared.value
-        for b in batches:
+        step = max(1, _CELLS // len(c))
+        for b in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
             x = _unit(b.column("vector"), c.shape[1])
             near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :copies]
             row, own = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
@@ -116,71 +118,118 @@ def add(index: Index, rows: DataFrame) -> None:
     coded.repartitionByRange("list", "doc_id").sortWithinPartitions("list").write.mode("append").parquet(f"{index.path}/codes")
 
 
-def _probed(index: Index, queries: DataFrame, probes: int) -> DataFrame:
-    """query_id, qvector, list: a row for each of the probes lists nearest to a query."""
-    shared = queries.sparkSession.sparkContext.broadcast(index.centroids)
+def _probed(index: Index, queries: DataFrame, probes: int, first: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """query_id, qvector, lists, part: the probes lists nearest to a query as bits, a row for each part that any of them is in. first,
+    parts: of each list its first part and how many it reaches over."""
+    shared = queries.sparkSession.sparkContext.broadcast((index.centroids, first, parts))
     types = dict(queries.dtypes)
 
     def near(batches):
-        c = shared.value
-        k = min(probes, len(c))
-        for b in batches:
-            q = _unit(b.column("qvector"), c.shape[1])
-            lists = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :k].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("qvector"), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["query_id", "qvector", "lists"])
-
-    found = queries.select("query_id", "qvector").mapInArrow(near, f"query_id {types['query_id']}, qvector {types['qvector']}, lists array<int>")
-    return found.select("query_id", "qvector", F.explode("lists").alias("list"))
-
-
-def _bounded(index: Index, k: int):
-    """Of the queries and the codes of a part of a list, the pairs that can be among the k best of the part, with the bounds of their cosines."""
-    centroids = index.centroids
+        c, first, parts = shared.value
+        k, step = min(probes, len(c)), max(1, _CELLS // len(c))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                q = _unit(b.column("qvector"), c.shape[1])
+                lists = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :k]
+                asked = np.zeros((len(q), len(c)), bool)
+                np.put_along_axis(asked, lists, True, axis=1)
+                bits = [r.tobytes() for r in np.packbits(asked, axis=1)]
+                into = [np.unique(np.repeat(first[r] - (np.cumsum(parts[r]) - parts[r]), parts[r]) + np.arange(parts[r].sum())).tolist() for r in lists]
+                columns = [b.column("query_id"), b.column("qvector"), pa.array(bits, pa.binary()), pa.array(into, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "qvector", "lists", "parts"])
+
+    found = queries.select("query_id", "qvector").mapInArrow(near, f"query_id {types['query_id']}, qvector {types['qvector']}, lists binary, parts array<int>")
+    return found.select("query_id", "qvector", "lists", F.explode("parts").alias("part"))
+
+
+def _largest(best: np.ndarray, at: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """best: of each query its largest values; the same with more values, low, of the queries at."""
+    order = np.lexsort((-low, at))
+    at, low = at[order], low[order]
+    nth = np.arange(len(at)) - np.searchsorted(at, at)
+    kept = nth < best.shape[1]
+    more = np.full_like(best, -np.inf)
+    more[at[kept], nth[kept]] = low[kept]
+    return -np.partition(-np.concatenate((best, more), axis=1), best.shape[1] - 1, axis=1)[:, : best.shape[1]]
+
+
+def _bounded(index: Index, k: int, step_rows: int = 4096, step_queries: int = 256):
+    """Of the queries and the codes of a part, the pairs of lists that a query reads that can be among the k best of the part, with the
+    bounds of their cosines. Some rows are compared with some queries at a time."""
+    centroids, most = index.centroids, k * index.copies  # a row counts once, but is there for each of its lists
 
     def bounded(asked: pa.Table, rows: pa.Table) -> pa.Table:
         q = _unit(asked.column("qvector"), centroids.shape[1])
-        at_q, at_x, lows, highs = [], [], [], []
-        if rows.num_rows and asked.num_rows:
-            own = centroids[rows.column("list")[0].as_py()]
-            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(rows.num_rows, -1)
-            scale, slip = rows.column("scale").to_numpy(), rows.column("slip").to_numpy()
-            x = own + codes * scale[:, None]
-            for at in range(0, len(q), 256):
-                near = q[at : at + 256] @ x.T
-                low = near - slip
-                least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-                i, j = np.nonzero(near + slip >= least[:, None] - _SLACK)
-                at_q.append(i + at)
-                at_x.append(j)
-                lows.append(low[i, j])
-                highs.append(near[i, j] + slip[j])
-        i, j, low, high = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((at_q, np.int64), (at_x, np.int64), (lows, float), (highs, float)))
+        bits = np.frombuffer(b"".join(asked.column("lists").to_pylist()), np.uint8).reshape(len(q), (len(centroids) + 7) // 8)
+        some = bool((np.bitwise_count(bits).sum(axis=1) < len(centroids)).any())
+        best = np.full((len(q), most), -np.inf)
+        found, size = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]], 0
+
+        def possible() -> list[np.ndarray]:
+            whole = [np.concatenate(c) for c in zip(*found, strict=True)]
+            kept = whole[3] >= best.min(axis=1, initial=np.inf)[whole[0]] - _SLACK
+            return [c[kept] for c in whole]
+
+        for row in range(0, rows.num_rows if len(q) else 0, step_rows):
+            part = rows.slice(row, step_rows)
+            own = part.column("list").to_numpy()
+            codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.int8).reshape(part.num_rows, -1)
+            slip = part.column("slip").to_numpy()
+            x = centroids[own] + codes * part.column("scale").to_numpy()[:, None]
+            for at in range(0, len(q), step_queries):
+                near = q[at : at + step_queries] @ x.T
+                if some:
+                    near[((bits[at : at + step_queries, own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1) == 0] = -np.inf
+                low, own_best = near - slip, best[at : at + step_queries]
+                least = own_best.min(axis=1)
+                if np.isinf(least).any() and low.shape[1] >= most:
+                    least = np.maximum(least, np.partition(low, -most, axis=1)[:, -most])
+                high = near + slip
+                i, j = np.nonzero((high >= least[:, None] - _SLACK) & (high > -np.inf))
+                best[at : at + step_queries] = _largest(own_best, i, low[i, j])
+                found.append([i + at, j + row, low[i, j], high[i, j]])
+                size += len(i)
+            if size > _CELLS:
+                found = [possible()]
+                size = len(found[0][0]) // 2
+        i, j, low, high = possible()
         return pa.table({"query_id": asked.column("query_id").take(pa.array(i)), "doc_id": rows.column("doc_id").take(pa.array(j)), "low": pa.array(low), "high": pa.array(high)})
 
     return bounded
 
 
-def candidates(index: Index, queries: DataFrame, k: int, probes: int = 16, part_rows: int = 50_000, most_query_rows: int = 10_000) -> DataFrame:
-    """query_id, doc_id: what can be among the k best of the lists that were read. A list of more than part_rows rows is read in parts,
-    and the queries of a list in blocks, each pair of them in a group of its own."""
+def candidates(index: Index, queries: DataFrame, k: int, probes: int = 16, part_rows: int = 200_000, most_query_rows: int = 5_000, task_rows: int = 500_000) -> DataFrame:
+    """query_id, doc_id: what can be among the k best of the lists that were read. Lists that follow one another make parts of about
+    part_rows rows, a longer list is several; queries are dealt into blocks, each pair of a part and a block is a group of its own.
+    What the groups find is dealt by query to tasks of about task_rows."""
     spark = queries.sparkSession
     codes = spark.read.parquet(f"{index.path}/codes")
-    asked = written(_probed(index, queries, probes))
-    sizes = codes.groupBy("list").agg(F.count("*").alias("n"))
-    wanted = asked.groupBy("list").agg(F.count("*").alias("asked"))
-    plan = written(sizes.join(wanted, "list").select("list", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"), F.ceil(F.col("asked") / most_query_rows).cast("int").alias("blocks")))
-    plan = F.broadcast(plan)  # a row for each list, of which there are fewer than fit most_bytes
-    dealt = lambda of, *by: F.pmod(F.xxhash64(*by), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = asked.join(plan, "list").select("query_id", "qvector", "list", "parts", dealt("blocks", "query_id").alias("block")).withColumn("part", every("parts"))
-    right = codes.join(plan, "list").select("doc_id", "code", "scale", "slip", "list", "blocks", dealt("parts", "doc_id", "code").alias("part")).withColumn("block", every("blocks"))
-    left, right = left.drop("parts"), right.drop("blocks")
+    cores = spark.sparkContext.defaultParallelism
+    sizes = np.zeros(index.lists, np.int64)
+    for r in codes.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list, of which there are fewer than fit most_bytes
+        sizes[r.list] = r.n
+    n = int(sizes.sum())
+    width = max(1, -(-n // max(1, -(-n // part_rows), min(cores, n // 1000))))
+    ends = np.cumsum(sizes)
+    first = ((ends - sizes) // width).astype(np.int32)
+    parts = np.where(sizes > width, (np.maximum(ends, 1) - 1) // width - first + 1, sizes > 0).astype(np.int32)
+    plan = F.broadcast(spark.createDataFrame(pa.table({"list": pa.array(range(index.lists), pa.int32()), "first": pa.array(first), "parts": pa.array(parts)})))
+    asked = written(_probed(index, queries, probes, first, parts))
+    blocks = max(1, -(-queries.count() // most_query_rows))
+    left = asked.select("query_id", "qvector", "lists", "part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = F.col("first") + F.pmod(F.xxhash64("doc_id", "code"), F.col("parts")).cast("int")
+    right = codes.join(plan, "list").select("doc_id", "list", "code", "scale", "slip", dealt.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    groups = blocks * max(1, -(-n // width))
+    tasks = min(groups, max(4 * cores, groups // 16))
+    left, right = (df.repartition(tasks, "part", "block").groupBy("part", "block") for df in (left, right))
     types = dict(queries.dtypes)["query_id"], dict(codes.dtypes)["doc_id"]
-    grouped = left.groupBy("list", "part", "block").cogroup(right.groupBy("list", "part", "block"))
-    found = grouped.applyInArrow(_bounded(index, k), "query_id {}, doc_id {}, low double, high double".format(*types))
-    found = written(found.groupBy("query_id", "doc_id").agg(F.max("low").alias("low"), F.min("high").alias("high")))
-    sure = top(found, k, "low").groupBy("query_id").agg(F.min("low").alias("least"), F.count("*").alias("n"))
-    possible = found.join(sure, "query_id").filter((F.col("n") < k) | (F.col("high") >= F.col("least") - _SLACK))
+    found = written(left.cogroup(right).applyInArrow(_bounded(index, k), "query_id {}, doc_id {}, low double, high double".format(*types)))
+    found = found.repartition(max(cores, -(-found.count() // task_rows)), "query_id")
+    found = found.groupBy("query_id", "doc_id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    by = Window.partitionBy("query_id")
+    nth = found.withColumn("nth", F.row_number().over(by.orderBy(F.desc("low"))))
+    possible = nth.withColumn("least", F.max(F.when(F.col("nth") == k, F.col("low"))).over(by)).filter((F.col("least").isNull()) | (F.col("high") >= F.col("least") - _SLACK))
     return possible.select("query_id", "doc_id")
 
 

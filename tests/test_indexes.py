@@ -64,6 +64,24 @@ def test_hot_lists_ties_and_odd_vectors(spark):
     assert hits(ivf.search(again, queries, corpus.unionByName(more), 7, probes=99)) == hits(rank.knn(queries, corpus.unionByName(more), 7))
 
 
+def test_queries_meet_parts_not_lists(spark, monkeypatch):
+    rows = T.vectors(spark, BIG).select(F.col("vec_id").alias("doc_id"), "vector")
+    queries = rows.filter("doc_id % 20 = 0").toDF("query_id", "qvector")
+    index = ivf.build(rows)
+    sizes = []
+
+    def counted(df):
+        table = shared.written(df)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(ivf, "written", counted)
+    found = ivf.search(index, queries, rows, 20, index.lists)
+    assert hits(found) == hits(rank.knn(queries, rows, 20))
+    # k of each list and query, and a row for each list and query, are not written
+    assert index.lists > 40 and sum(sizes) < queries.count() * index.lists * 20 / 2, sizes
+
+
 def test_index_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, vector array<double>")
     index = ivf.build(none)
