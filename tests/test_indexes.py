@@ -3,6 +3,7 @@
 import inspect
 import random
 import threading
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,24 @@ def test_hot_lists_ties_and_odd_vectors(spark):
     assert hits(ivf.search(again, queries, corpus.unionByName(more), 7, probes=99)) == hits(rank.knn(queries, corpus.unionByName(more), 7))
 
 
+def test_cosines_hold_few_at_a_time():
+    draw = np.random.default_rng(5)
+    q, x = draw.normal(size=(600, 16)), draw.normal(size=(5000, 16))
+    q[7] = 0
+    kind = pa.list_(pa.float64())
+    asked, rows = pa.table({"qvector": pa.array(q.tolist(), kind)}), pa.table({"vector": pa.array(x.tolist(), kind)})
+    with np.errstate(invalid="ignore"):
+        wanted = np.nan_to_num((q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1))
+    seen = 0
+    tracemalloc.start()
+    for at, score, null in rank._cosines(asked, rows):
+        assert np.allclose(score, wanted[at : at + len(score)], atol=1e-12) and not null.any()
+        seen += len(score)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 600 and most < 24_000_000, most
+
+
 def test_queries_meet_parts_not_lists(spark, monkeypatch):
     rows = T.vectors(spark, BIG).select(F.col("vec_id").alias("doc_id"), "vector")
     queries = rows.filter("doc_id % 20 = 0").toDF("query_id", "qvector")
