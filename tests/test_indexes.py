@@ -307,3 +307,32 @@ def test_explained_by_the_index(spark):
     wanted = rank.explain(queries, docs, 5)
     assert rows(found) == rows(wanted) and found.schema["tf"].dataType == wanted.schema["tf"].dataType
     assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # no text is read again
+
+
+def test_documents_are_dealt_to_one_block():
+    """Of half a million queries of three words over as many documents a document is shuffled once, and a query and its hits to no more parts than cores."""
+    sizes = [inspect.signature(inverted._scanned).parameters[n].default for n in ("block_words", "block_queries", "part_docs")]
+    assert inverted._dealing(1_500_000, 512_820, 512_820, 12, *sizes) == (1, 12)
+
+
+@pytest.mark.parametrize(("words", "least"), [(3, 0.1), (60, 0.1), (20, -2.0)])
+def test_documents_in_a_stream(words, least):
+    """The k best of a part that is read in slices, also with equal scores, queries of the same frequent words and weights below 0, are those of all its documents at once."""
+    r = np.random.default_rng(words)
+    share = 1 / np.arange(1, 301)
+    share /= share.sum()
+    drawn = [np.unique(r.choice(300, size=r.integers(1, 90), p=share), return_counts=True) for _ in range(200)]
+    docs = [drawn[i % 150] for i in range(300)]  # half of them twice
+    asked = [(q, [f"w{t}" for t in ts], r.uniform(least, 5, len(ts)).tolist() if q % 2 else [1.5] * len(ts)) for q in range(90) for ts in [np.unique(r.choice(300, size=words, p=share))]]
+    told = pa.table({"query_id": [q for q, ts, _ in asked for _ in ts], "term": [t for _, ts, _ in asked for t in ts], "w": [w for *_, ws in asked for w in ws]})
+    rows = pa.table({"doc_id": list(range(300)), "dl": [int(c.sum()) for _, c in docs], "terms": pa.array([[f"w{t}" for t in d] for d, _ in docs], pa.list_(pa.string())), "tfs": pa.array([c.tolist() for _, c in docs], pa.list_(pa.int32()))})
+    names = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("dl", pa.int64()), ("words", pa.string()), ("ws", pa.list_(pa.float64())), ("tfs", pa.list_(pa.int32()))])
+    lines = [(q, None, None, " ".join(ts), ws, None) for q, ts, ws in asked] + [(None, i, int(c.sum()), " ".join(f"w{t}" for t in d), None, c.tolist()) for i, (d, c) in enumerate(docs)]
+    table = pa.Table.from_pylist([dict(zip(names.names, line, strict=True)) for line in lines], names)
+    best = lambda found: sorted(zip(*(found.column(c).to_pylist() for c in ("query_id", "doc_id", "score")), strict=True))
+    wanted = best(inverted._dense(5, 30.0, 1.5, 0.75, most_cells=1_000_000)(told, rows))
+    for cells, most in ((1, 20), (700, 90), (1_000_000, 20)):
+        dense = inverted._dense(5, 30.0, 1.5, 0.75, most_cells=cells, most_words=most)
+        for size in (1, 64, 1000):
+            found = pa.Table.from_batches(inverted._streamed(dense, most_rows=40, most_posts=500, first_rows=3)(iter(table.to_batches(size))))
+            assert best(found) == wanted
