@@ -1,5 +1,6 @@
 """Joins, ranks and writes against brute force, with keys, intervals and partitions that hold a large share of all rows."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -50,6 +51,22 @@ def test_interval_pairs_are_dealt(spark):
         assert sum(tasks) == 17_600 and max(tasks) < 7000
 
 
+def test_points_are_shuffled_for_few_sizes():
+    """As at 36 million events: a point is a row of three sizes instead of 22; and no other sizes have fewer rows."""
+    kept = matching._sizes_kept({k: 540_000 for k in range(10)} | {k: 5_400 for k in range(10, 22)}, 36_000_000)
+    assert len(kept) == 3
+
+    def rows(kept, buckets, points):
+        return points * len(kept) + sum(n << (k - max(t for t in kept if t <= k)) for k, n in buckets.items())
+
+    draw = random.Random(6)
+    for _ in range(30):
+        buckets, points = {k: draw.randrange(1, 50) for k in draw.sample(range(12), draw.randrange(1, 8))}, draw.choice([1, 40, 900])
+        low, *others = sorted(buckets)
+        least = min(rows([low, *some], buckets, points) for n in range(len(others) + 1) for some in itertools.combinations(others, n))
+        assert rows(matching._sizes_kept(buckets, points), buckets, points) == least
+
+
 def test_containing_of_any_length(spark):
     draw = random.Random(5)
     word = lambda n: "".join(draw.choices("abAé1", k=n))
